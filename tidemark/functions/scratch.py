@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Below this estimated size a table may be held by one task or broadcast.
 SMALL_BYTES = 32 * 1024 * 1024
@@ -56,3 +57,23 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
 def bucket_count(df: DataFrame) -> int:
     """How many ordered buckets keep each one near ``BUCKET_BYTES``."""
     return min(MOST_BUCKETS, -(-estimated_bytes(df) // BUCKET_BYTES)) or 1
+
+
+# A lookup counted to hold at most this many rows is broadcast.
+LOOKUP_ROWS = 100_000
+
+
+def join_lookup(
+    df: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", most_rows: int = LOOKUP_ROWS
+) -> DataFrame:
+    """Join a table that is usually small, without trusting that it is.
+
+    The lookup is read up to ``most_rows``. If it ends there, those rows are
+    broadcast; otherwise both sides are shuffled and adaptive execution splits
+    skewed keys.
+    """
+    rows = lookup.limit(most_rows + 1).collect()
+    if len(rows) <= most_rows:
+        small = df.sparkSession.createDataFrame(rows, lookup.schema)
+        return df.join(F.broadcast(small), on, how)
+    return df.join(lookup, on, how)

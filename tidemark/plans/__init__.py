@@ -1,6 +1,6 @@
 """The named queries over the test tables, by family."""
 
-from . import profiling  # noqa: F401
+from . import preparation, profiling, selection  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
