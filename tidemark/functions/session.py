@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
@@ -24,3 +27,8 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship_code() -> None:
+    """Send this package's task functions by value, so that workers need no install."""
+    cloudpickle.register_pickle_by_value(sys.modules["tidemark"])
