@@ -93,6 +93,21 @@ def running_by_value(
     return running(bucketed, keys, [F.col(value)], sums, bucket=BUCKET).drop(BUCKET)
 
 
+def number_by_time(
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, newest_first: bool = False, buckets: int | None = None
+) -> DataFrame:
+    """Add ``position``, 1.. in time order within keys, over time ranges of equal size."""
+    seconds = F.col(ts).cast("timestamp").cast("double")
+    timed = df.withColumn("_t", -seconds if newest_first else seconds).withColumn("_one", F.lit(1).cast("long"))
+    order = [F.col("_t"), F.desc(tie) if newest_first else F.col(tie)]
+    buckets = bucket_count(df) if buckets is None else buckets
+    if buckets <= 1:
+        out = running(timed, keys, order, ["_one"])
+    else:
+        out = running(add_value_buckets(cut(timed), "_t", buckets), keys, order, ["_one"], bucket=BUCKET)
+    return out.select(*df.columns, F.col("upto__one").alias("position"))
+
+
 def hash_order(*columns: str | Column, seed: int = 42) -> Column:
     """A repeatable shuffle key: the MD5 hex of the columns and a seed."""
     parts = [F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns]

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_divide
-from ..functions.ordered import BUCKET, add_value_buckets, running
+from ..functions.ordered import BUCKET, add_value_buckets, number_by_time
 from ..functions.scratch import bucket_count, cut, join_lookup
 from .drift import drift_detected, ks_drift
 from .evaluate import classification_metrics, regression_columns
@@ -202,10 +202,8 @@ def last_rows(df: DataFrame, keys: Sequence[str], ts: str, tie: str, n: int = 10
     if n <= PUSHED_RANK:
         place = F.row_number().over(W.partitionBy(*keys).orderBy(*newest))
         return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
-    timed = df.withColumn("_back", -F.col(ts).cast("timestamp").cast("double")).withColumn("_one", F.lit(1).cast("long"))
-    bucketed = add_value_buckets(cut(timed), "_back", max(2, bucket_count(df)))
-    numbered = running(bucketed, keys, [F.col("_back"), F.desc(tie)], ["_one"], bucket=BUCKET)
-    return numbered.where(F.col("upto__one") <= n).select(*df.columns)
+    numbered = number_by_time(df, keys, ts, tie, newest_first=True)
+    return numbered.where(F.col("position") <= n).select(*df.columns)
 
 
 def attach_labels(predictions: DataFrame, labels: DataFrame, on: Sequence[str]) -> DataFrame:
