@@ -39,8 +39,8 @@ def calinski_harabasz(df: DataFrame, features: Sequence[str], cluster: str) -> D
     found = centroids(df, features, cluster)
     k = len(features)
     mean = F.array(*[F.sum(F.col("n") * F.col("center")[i]) / F.sum("n") for i in range(k)])
-    overall = found.agg(mean.alias("m")).scalar()
-    between = F.sum(F.col("n") * _square_gap(F.col("center"), overall))
+    overall = found.agg(mean.alias("m")).first()["m"]
+    between = F.sum(F.col("n") * _square_gap(F.col("center"), F.array(*map(F.lit, overall))))
     groups = F.count("*")
     score = safe_divide(between * (F.sum("n") - groups), F.sum("within") * (groups - 1))
     return found.agg(groups.alias("n_clusters"), F.when(groups > 1, score).alias("calinski_harabasz"))

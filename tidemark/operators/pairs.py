@@ -29,6 +29,8 @@ def block_pairs(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Union of ``reduce(left block, right block)`` over all pairs of blocks."""
+    # New column ids on the right, as both sides may come from one table.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     left_blocks = max(1, -(-left.count() // block_rows))
     right_blocks = max(1, -(-right.count() // block_rows))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -73,17 +75,19 @@ def vectors(df: DataFrame, key: str, features: Sequence[str] | str, keep: Sequen
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, k: int, p: int = 2,
-            block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """key, neighbour, distance, place: the k nearest right rows of every left row, never itself.
+            block_rows: int = BLOCK_ROWS, skip_self: bool = True) -> DataFrame:
+    """key, neighbour, distance, place: the k nearest right rows of every left row.
 
     Both tables are (key, features). Ties go to the smaller neighbour id.
+    ``skip_self`` leaves out the row with the same id, for a table against itself.
     """
 
     def reduce(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(key, kind="stable")
         ids = b[key].to_numpy()
         d = distances(matrix(a["features"]), matrix(b["features"]), p)
-        d[a[key].to_numpy()[:, None] == ids[None, :]] = np.inf
+        if skip_self:
+            d[a[key].to_numpy()[:, None] == ids[None, :]] = np.inf
         top = np.argsort(d, axis=1, kind="stable")[:, :k]
         found = np.take_along_axis(d, top, axis=1)
         out = pd.DataFrame(
@@ -108,7 +112,7 @@ def neighbour_vote(
 
     Weights are equal, or one over the distance; an exact match then outweighs the rest.
     """
-    found = nearest(new.select(key, "features"), train.select(key, "features"), key, k, p, block_rows)
+    found = nearest(new.select(key, "features"), train.select(key, "features"), key, k, p, block_rows, False)
     labels = train.select(F.col(key).alias("neighbour"), F.col(label).cast("double").alias("y"))
     voted = found.join(labels, "neighbour")
     if weights == "distance":
