@@ -52,6 +52,11 @@ def as_double(df: DataFrame, name: str) -> Column:
     return present(df, name).cast("double")
 
 
+def doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Only these columns, as doubles with NaN as null: computed once per row, however many aggregates follow."""
+    return df.select(*[as_double(df, c).alias(c) for c in columns])
+
+
 def normalise(df: DataFrame) -> DataFrame:
     """NaN to null in every floating column."""
     return df.select(*[present(df, c).alias(c) for c in df.columns])

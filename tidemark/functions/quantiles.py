@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import PASS_WIDTH, as_double, long_numbers, long_text, per_column, union_all
+from .columns import PASS_WIDTH, doubles, long_numbers, long_text, per_column, union_all
 from .ordered import running_by_value
 from .scratch import is_small
 
@@ -17,61 +18,91 @@ def quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     buckets: int | None = None,
+    accuracy: int = 10_000,
 ) -> DataFrame:
-    """feature, n, q array<double>: linear-interpolated quantiles per column.
+    """feature, n, q array<double>: exact linear-interpolated quantiles per column.
 
     Spark's ``percentile`` keeps every distinct value of a column in one task,
-    so it only serves tables checked to be small. Larger ones are counted by
-    value and ranked over buckets; the two rows around each rank are picked.
-    ``buckets`` forces the ranked form.
+    so it only serves tables checked to be small. For larger ones a sketch
+    brackets each quantile between two values. Where they are equal that is the
+    answer; elsewhere the rows below the bracket are counted and only the few
+    rows inside it are shuffled and ranked. ``buckets`` forces this form.
     """
-    slim = df.select(*columns)
-    if buckets is None and is_small(slim):
-        points = F.array(*[F.lit(float(p)) for p in probs])
-        return per_column(
-            slim,
-            columns,
-            {
-                "n": lambda c: F.count(as_double(slim, c)),
-                "q": lambda c: F.percentile(as_double(slim, c), points),
-            },
-        )
     parts = []
     for start in range(0, len(columns), PASS_WIDTH):
-        parts.append(_ranked(slim, columns[start : start + PASS_WIDTH], probs, buckets))
-    found = union_all(parts)
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
-    empty = F.array(*[F.lit(None).cast("double") for _ in probs])
-    return names.join(found, "feature", "left").select(
-        "feature", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("q", empty).alias("q")
+        chunk = columns[start : start + PASS_WIDTH]
+        slim = doubles(df, chunk)
+        if buckets is None and is_small(slim):
+            points = F.array(*[F.lit(float(p)) for p in probs])
+            measures = {"n": F.count, "q": lambda c: F.percentile(c, points)}
+            parts.append(per_column(slim, chunk, measures))
+        else:
+            parts.append(_bracketed(slim, chunk, probs, buckets, accuracy))
+    return union_all(parts)
+
+
+def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float], buckets: int | None, accuracy: int) -> DataFrame:
+    # The sketch is off by at most n / accuracy ranks; twice that is left on both sides.
+    slack = 2.0 / accuracy
+    points = [min(1.0, max(0.0, p + s)) for p in probs for s in (-slack, slack)]
+    sketch = per_column(
+        df,
+        columns,
+        {"n": F.count, "q": lambda c: F.percentile_approx(c, [float(p) for p in points], accuracy)},
     )
+    rows = {r["feature"]: (r["n"], r["q"]) for r in sketch.collect()}
+    known: dict[tuple[str, int], float] = {}
+    open_: list[tuple[str, int, float, float]] = []
+    for c in columns:
+        n, q = rows[c]
+        for i in range(len(probs) if n else 0):
+            low, high = q[2 * i], q[2 * i + 1]
+            if low == high:
+                known[c, i] = low
+            else:
+                open_.append((c, i, low, high))
+    if open_:
+        known.update(_ranked_inside(df, open_, {c: rows[c][0] for c in columns}, probs, buckets))
+    found = [(c, rows[c][0], [known.get((c, i)) for i in range(len(probs))]) for c in columns]
+    return df.sparkSession.createDataFrame(found, "feature string, n long, q array<double>")
 
 
-def _ranked(df: DataFrame, columns: Sequence[str], probs: Sequence[float], buckets: int | None) -> DataFrame:
+def _ranked_inside(df: DataFrame, brackets: list[tuple[str, int, float, float]], sizes: dict[str, int],
+                   probs: Sequence[float], buckets: int | None) -> dict[tuple[str, int], float]:
+    """The quantiles of the open brackets: one pass counts the rows below, one ranks those inside."""
+    below = df.agg(*[F.count_if(F.col(c) < low).alias(f"b_{j}") for j, (c, _, low, _) in enumerate(brackets)]).first()
+    inside = [F.col(c).between(low, high) for c, _, low, high in brackets]
+    cells = [
+        F.when(inside[j], F.struct(F.lit(j).alias("j"), F.col(c).alias("value"))) for j, (c, *_) in enumerate(brackets)
+    ]
+    any_inside = inside[0]
+    for condition in inside[1:]:
+        any_inside = any_inside | condition
     counts = (
-        long_numbers(df, columns)
-        .where(F.col("value").isNotNull())
-        .groupBy("feature", "value")
+        df.where(any_inside)
+        .select(F.explode(F.array_compact(F.array(*cells))).alias("s"))
+        .groupBy("s.j", "s.value")
         .agg(F.count("*").alias("n"))
     )
-    ranked = running_by_value(counts, ["feature"], "value", ["n"], buckets)
-    picks = []
-    for i, p in enumerate(probs):
-        target = F.lit(float(p)) * (F.col("total_n") - 1)
-        first, last = F.floor(target), F.ceil(target)
-        before = F.col("upto_n") - F.col("n")
-        covers_first = (before <= first) & (first < F.col("upto_n"))
-        covers_last = (before <= last) & (last < F.col("upto_n"))
-        picks += [
-            F.max(F.when(covers_first, F.col("value"))).alias(f"a_{i}"),
-            F.max(F.when(covers_last, F.col("value"))).alias(f"b_{i}"),
-        ]
-    found = ranked.groupBy("feature").agg(F.max("total_n").alias("n"), *picks)
-    values = []
-    for i, p in enumerate(probs):
-        target = F.lit(float(p)) * (F.col("n") - 1)
-        values.append(F.col(f"a_{i}") + (target - F.floor(target)) * (F.col(f"b_{i}") - F.col(f"a_{i}")))
-    return found.select("feature", "n", F.array(*values).alias("q"))
+    ranked = running_by_value(counts, ["j"], "value", ["n"], buckets)
+    # Ranks of the two rows around each quantile, within its bracket.
+    targets = [probs[i] * (sizes[c] - 1) for c, i, *_ in brackets]
+    ranks = [(math.floor(t) - below[j], math.ceil(t) - below[j]) for j, t in enumerate(targets)]
+    firsts = F.array(*[F.lit(r[0]) for r in ranks])[F.col("j")]
+    lasts = F.array(*[F.lit(r[1]) for r in ranks])[F.col("j")]
+    start = F.col("upto_n") - F.col("n")
+    holds = lambda rank: (start <= rank) & (rank < F.col("upto_n"))
+    picked = ranked.groupBy("j").agg(
+        F.max(F.when(holds(firsts), F.col("value"))).alias("a"), F.max(F.when(holds(lasts), F.col("value"))).alias("b")
+    )
+    out = {}
+    for r in picked.collect():
+        c, i, *_ = brackets[r["j"]]
+        if r["a"] is None or r["b"] is None:
+            raise RuntimeError(f"the sketch missed a quantile of {c}")
+        share = targets[r["j"]] - math.floor(targets[r["j"]])
+        out[c, i] = r["a"] + share * (r["b"] - r["a"])
+    return out
 
 
 def modes(df: DataFrame, columns: Sequence[str], text: bool) -> DataFrame:

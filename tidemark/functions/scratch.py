@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Below this estimated size a table may be held by one task or broadcast.
-SMALL_BYTES = 32 * 1024 * 1024
+# Below this estimated size one task may hold all values of a table.
+SMALL_BYTES = 1024 * 1024
 # Aimed-at size of one ordered bucket, and the most buckets ever made.
 BUCKET_BYTES = 64 * 1024 * 1024
 MOST_BUCKETS = 4096
@@ -56,6 +56,20 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table too small to fill the cores over all of them, before work that is heavy per row.
+
+    A table below two read splits is scanned by one or two tasks. Larger ones
+    are left as they are: their scan already has tasks enough, and moving them
+    would cost more than it gains.
+    """
+    spark = df.sparkSession
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if estimated_bytes(df) >= 2 * split:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
+
+
 def is_small(df: DataFrame, limit: int | None = None) -> bool:
     return estimated_bytes(df) <= (SMALL_BYTES if limit is None else limit)
 

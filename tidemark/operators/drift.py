@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import as_double, long_numbers, long_text, numeric_columns, per_column, safe_divide, union_all
+from ..functions.columns import doubles, long_numbers, long_text, numeric_columns, per_column, safe_divide, union_all
 from ..functions.ordered import running_by_value
 from .profile import bin_counts, describe
 from .select import above_mean, split_at_mean_time
@@ -86,9 +86,7 @@ def kl_drift(reference: DataFrame, new: DataFrame, columns: Sequence[str] | None
     columns = _shared(reference, new, columns, numeric=True)
 
     def edges(df: DataFrame) -> DataFrame:
-        return per_column(
-            df, columns, {"lo": lambda c: F.min(as_double(df, c)), "hi": lambda c: F.max(as_double(df, c))}
-        )
+        return per_column(doubles(df, columns), columns, {"lo": F.min, "hi": F.max})
 
     ref_edges, new_edges = edges(reference), edges(new)
     if mode == "shared":

@@ -28,8 +28,9 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultP
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_double, per_column
+from ..functions.columns import as_double, doubles, per_column
 from ..functions.ordered import number_by_hash
+from ..functions.scratch import spread
 from .pairs import neighbour_vote
 
 SEED = 42
@@ -226,7 +227,7 @@ def fit_family(df: DataFrame, name: str, features: Sequence[str], label: str | N
         classes = df.select(label).distinct().count()
     context = Context(df.count(), features, classes, id_col, weight_col)
     data = df if label in (None, "label") else df.withColumn("label", as_double(df, label))
-    return model_pipeline(name, params or {}, context, stages).fit(data)
+    return model_pipeline(name, params or {}, context, stages).fit(spread(data))
 
 
 class NeighbourEstimator(Estimator, DefaultParamsReadable, DefaultParamsWritable):
@@ -346,10 +347,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
 
 def form_bounds(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """feature, low, high, start: bounds and mean for entering one row by hand."""
-    x = lambda c: as_double(df, c)
-    return per_column(
-        df, features, {"low": lambda c: F.min(x(c)), "high": lambda c: F.max(x(c)), "start": lambda c: F.avg(x(c))}
-    )
+    return per_column(doubles(df, features), features, {"low": F.min, "high": F.max, "start": F.avg})
 
 
 def decision_grid(model: PipelineModel, df: DataFrame, x: str, y: str, step: float = 0.1, margin: float = 1.0) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import as_double, numeric_columns, per_column, present, text_columns
+from ..functions.columns import as_double, doubles, numeric_columns, per_column, present, text_columns
 from ..functions.ordered import dense_codes
 from ..functions.quantiles import modes, quantiles
 from .profile import fence_map, null_counts
@@ -74,7 +74,7 @@ class MissingFiller(Estimator, _Stage):
         strategy = self._option("strategy")
         fills: dict = {}
         if numbers and strategy == "mean":
-            rows = per_column(df, numbers, {"value": lambda c: F.avg(as_double(df, c))}).collect()
+            rows = per_column(doubles(df, numbers), numbers, {"value": F.avg}).collect()
             fills.update({r["feature"]: r["value"] for r in rows})
         elif numbers and strategy == "median":
             fills.update({r["feature"]: r["q"][0] for r in quantiles(df, numbers, [0.5]).collect()})
@@ -193,11 +193,7 @@ class OutlierHandler(Estimator, _Stage):
         if not columns:
             limits: dict = {}
         elif self._option("method") == "zscore":
-            rows = per_column(
-                df,
-                columns,
-                {"mean": lambda c: F.avg(as_double(df, c)), "std": lambda c: F.stddev_samp(as_double(df, c))},
-            ).collect()
+            rows = per_column(doubles(df, columns), columns, {"mean": F.avg, "std": F.stddev_samp}).collect()
             limits = {r["feature"]: [r["mean"], r["std"]] for r in rows}
         else:
             limits = {c: list(b) for c, b in fence_map(df, columns, limit).items()}
@@ -374,15 +370,15 @@ class Scaler(Estimator, _Stage):
         method = self._option("method")
         if not columns:
             return ScalerModel({"scales": {}})
-        x = lambda c: as_double(df, c)
+        slim = doubles(df, columns)
         if method == "robust":
             rows = quantiles(df, columns, [0.25, 0.5, 0.75]).collect()
             found = {r["feature"]: (r["q"][1], None if r["q"][0] is None else r["q"][2] - r["q"][0]) for r in rows}
         elif method == "minmax":
-            rows = per_column(df, columns, {"a": lambda c: F.min(x(c)), "b": lambda c: F.max(x(c)) - F.min(x(c))}).collect()
+            rows = per_column(slim, columns, {"a": F.min, "b": lambda c: F.max(c) - F.min(c)}).collect()
             found = {r["feature"]: (r["a"], r["b"]) for r in rows}
         else:
-            rows = per_column(df, columns, {"a": lambda c: F.avg(x(c)), "b": lambda c: F.stddev_pop(x(c))}).collect()
+            rows = per_column(slim, columns, {"a": F.avg, "b": F.stddev_pop}).collect()
             found = {r["feature"]: (r["a"], r["b"]) for r in rows}
         # A constant column is only centred.
         return ScalerModel({"scales": {c: [a or 0.0, b or 1.0] for c, (a, b) in found.items()}})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import (
     PASS_WIDTH,
     as_double,
+    doubles,
     long_numbers,
     long_text,
     numeric_columns,
@@ -40,21 +41,11 @@ def dataset_info(df: DataFrame) -> DataFrame:
     return rows.select(F.inline(pairs))
 
 
-def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    x = lambda c: as_double(df, c)
-    return per_column(
-        df,
-        columns,
-        {
-            "count": lambda c: F.count(x(c)),
-            "mean": lambda c: F.avg(x(c)),
-            "std": lambda c: F.stddev_samp(x(c)),
-            "min": lambda c: F.min(x(c)),
-            "max": lambda c: F.max(x(c)),
-            "g1": lambda c: F.skewness(x(c)),
-            "g2": lambda c: F.kurtosis(x(c)),
-        },
-    )
+def _moments(df: DataFrame, columns: Sequence[str], shape: bool = False) -> DataFrame:
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    if shape:
+        measures |= {"g1": F.skewness, "g2": F.kurtosis}
+    return per_column(doubles(df, columns), columns, measures)
 
 
 def _with_quartiles(moments: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -67,7 +58,7 @@ def _with_quartiles(moments: DataFrame, df: DataFrame, columns: Sequence[str]) -
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max of every numeric column."""
     columns = numeric_columns(df) if columns is None else columns
-    out = _with_quartiles(_moments(df, columns).drop("g1", "g2"), df, columns)
+    out = _with_quartiles(_moments(df, columns), df, columns)
     return out.select("feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
@@ -82,7 +73,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     flat = F.col("std") == 0
     skew = safe_divide(F.col("g1") * F.sqrt(n * (n - 1)), n - 2)
     kurt = safe_divide(((n + 1) * F.col("g2") + 6) * (n - 1), (n - 2) * (n - 3))
-    out = _with_quartiles(_moments(df, columns), df, columns)
+    out = _with_quartiles(_moments(df, columns, shape=True), df, columns)
     return out.select(
         "feature",
         "mean",
@@ -266,12 +257,13 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """
     columns = numeric_columns(df) if columns is None else columns
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    df = doubles(df, columns)
     parts = []
     for start in range(0, len(pairs), 2 * PASS_WIDTH):
         chunk = pairs[start : start + 2 * PASS_WIDTH]
         exprs = []
         for i, (a, b) in enumerate(chunk):
-            x, y = as_double(df, a), as_double(df, b)
+            x, y = F.col(a), F.col(b)
             both_x, both_y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
             spread = F.stddev_samp(both_x) * F.stddev_samp(both_y)
             r = safe_divide(F.covar_samp(both_x, both_y), spread)
@@ -301,9 +293,7 @@ def high_correlations(df: DataFrame, threshold: float = 0.8, columns: Sequence[s
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFrame:
     """feature, bin, low, high, n: equal-width bins, the last edge inclusive, empty bins left out."""
-    edges = per_column(
-        df, columns, {"lo": lambda c: F.min(as_double(df, c)), "hi": lambda c: F.max(as_double(df, c))}
-    )
+    edges = per_column(doubles(df, columns), columns, {"lo": F.min, "hi": F.max})
     return bin_counts(long_numbers(df, columns), edges, bins)
 
 
@@ -369,17 +359,8 @@ def missing_pattern_sample(df: DataFrame, id_col: str, n: int = 100, seed: int =
 def simple_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """mean, population std, min, max per column."""
     columns = numeric_columns(df) if columns is None else columns
-    x = lambda c: as_double(df, c)
-    return per_column(
-        df,
-        columns,
-        {
-            "mean": lambda c: F.avg(x(c)),
-            "std": lambda c: F.stddev_pop(x(c)),
-            "min": lambda c: F.min(x(c)),
-            "max": lambda c: F.max(x(c)),
-        },
-    )
+    measures = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
+    return per_column(doubles(df, columns), columns, measures)
 
 
 def feature_insight(df: DataFrame, column: str) -> DataFrame:

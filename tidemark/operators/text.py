@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import spread
+
 # A word is a run of letters, digits and underscores of any script.
 WORD = r"([\p{L}\p{N}_]+)"
 
@@ -20,7 +22,7 @@ def word_index(df: DataFrame, key: str, text: str) -> DataFrame:
     The index stays in rows: a common word occurs in most texts, and a list of
     them would not fit one row.
     """
-    return df.select(F.explode(words(text)).alias("word"), key)
+    return spread(df).select(F.explode(words(text)).alias("word"), key)
 
 
 def word_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -32,7 +34,7 @@ def search(df: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """key, matches: texts that hold any word of the query. No join: the query words are literals."""
     wanted = F.array_distinct(F.regexp_extract_all(F.lower(F.lit(query)), F.lit(WORD), F.lit(1)))
     common = F.size(F.array_intersect(words(text), wanted))
-    return df.select(key, common.cast("long").alias("matches")).where("matches > 0")
+    return spread(df).select(key, common.cast("long").alias("matches")).where("matches > 0")
 
 
 def related(df: DataFrame, key: str, text: str, current, k: int = 3) -> DataFrame:

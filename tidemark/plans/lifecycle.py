@@ -206,13 +206,13 @@ def related_texts(spark, sf):
 
 def _window_sql(width: str, closed: str = "") -> str:
     return f"""SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, strftime(w + INTERVAL {width}, '%Y-%m-%d %H:%M') AS window_end, event_type,
-  count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min, max(value) AS max
+  count(*) AS n, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS std, min(value) AS min, max(value) AS max
 FROM (SELECT *, time_bucket(INTERVAL {width}, ts) AS w FROM events) {closed} GROUP BY w, event_type"""
 
 
 def _readable(df):
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
-    return rounded(df.withColumns({"window_start": text("window_start"), "window_end": text("window_end")}), 6, "mean", "std")
+    return rounded(df.withColumns({"window_start": text("window_start"), "window_end": text("window_end")}), 9, "mean", "std")
 
 
 @query("tumbling_metrics", _window_sql("1 HOUR"))
@@ -223,7 +223,7 @@ def tumbling_metrics(spark, sf):
 @query(
     "sliding_metrics",
     """SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, strftime(w + INTERVAL 24 HOUR, '%Y-%m-%d %H:%M') AS window_end, event_type,
-  count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min, max(value) AS max
+  count(*) AS n, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS std, min(value) AS min, max(value) AS max
 FROM (SELECT event_type, value, time_bucket(INTERVAL 1 HOUR, ts) - to_hours(CAST(h AS INTEGER)) AS w FROM events, (SELECT unnest(range(24)) AS h))
 GROUP BY w, event_type""",
 )
