@@ -46,7 +46,8 @@ def kolmogorov_tail(statistic: Column, ref_rows: Column, new_rows: Column, terms
     series = F.lit(0.0)
     for k in range(1, terms + 1):
         series = series + (2.0 if k % 2 else -2.0) * F.exp(-2.0 * k * k * x * x)
-    return F.when(x < 0.3, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
+    tail = F.least(F.lit(1.0), F.greatest(F.lit(0.0), series))
+    return F.when(x.isNull(), F.lit(None)).when(x < 0.3, F.lit(1.0)).otherwise(tail)
 
 
 def ks_drift(reference: DataFrame, new: DataFrame, columns: Sequence[str] | None = None,

@@ -24,7 +24,14 @@ from pyspark.ml.feature import IndexToString, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLWritable,
+)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -249,7 +256,7 @@ class NeighbourEstimator(Estimator, DefaultParamsReadable, DefaultParamsWritable
         return NeighbourModel(options, df.select(key, vector_to_array("features").alias("features"), F.col("label").cast("double").alias("label")))
 
 
-class NeighbourModel(Model):
+class NeighbourModel(Model, MLReadable, MLWritable):
     options = Param(Params._dummy(), "options", "settings of the estimator", TypeConverters.identity)
 
     def __init__(self, options: dict | None = None, train: DataFrame | None = None):
@@ -267,17 +274,10 @@ class NeighbourModel(Model):
     def write(self) -> "_NeighbourWriter":
         return _NeighbourWriter(self)
 
-    def save(self, path: str) -> None:
-        self.write().save(path)
-
     @classmethod
     def read(cls) -> "_NeighbourReader":
         return _NeighbourReader(cls)
 
-    @classmethod
-    def load(cls, path: str) -> "NeighbourModel":
-        return cls.read().load(path)
-
 
 class _NeighbourWriter(DefaultParamsWriter):
     def saveImpl(self, path: str) -> None:

@@ -135,7 +135,7 @@ def _fold_scores(data: DataFrame, name: str, params: dict, context: Context, sta
         return metric_value(model.transform(data.where(F.col("fold") == i)), metric)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return list(pool.map(inheritable_thread_target(one), range(folds)))
+        return list(pool.map(inheritable_thread_target(data.sparkSession)(one), range(folds)))
 
 
 def _better(a: float | None, b: float | None, metric: str) -> bool:
