@@ -54,7 +54,7 @@ def test_search_predict_save_load(spark, classes, tmp_path):
     seen = []
     result = T.search(
         classes, FEATURES, "label", "id", models=["LogisticRegression", "LinearSVC"], trials=1, folds=2,
-        stages=[Scaler("standard", FEATURES)], fixed={"LogisticRegression": {"maxIter": 10}}, callback=lambda t, s: seen.append(t),
+        stages=[Scaler("standard", FEATURES)], fixed={"LogisticRegression": {"maxIter": 10}, "LinearSVC": {"maxIter": 5}}, callback=lambda t, s: seen.append(t),
     )
     assert result.task_type == "classification" and result.score > 0.5 and seen == [0, 1]
     assert result.model_type in ("LogisticRegression", "LinearSVC") and set(result.importance) == set(FEATURES)

@@ -123,6 +123,16 @@ def test_dropping_columns(spark):
     assert R.CorrelatedColumnDropper(exclude=["s"]).fit(df).transform(df).columns == ["a", "k", "s"]
 
 
+def test_first_by_hash(spark):
+    from tidemark.functions.ordered import first_by_hash, number_by_hash
+
+    df = spark.range(9000).select("id", (F.col("id") % 9 < 8).alias("k"))
+    for n in (1, 300, 1000, 5000):
+        want = number_by_hash(df, ["k"], "id").where(F.col("position") <= n).select("id")
+        got = first_by_hash(df, ["k"], "id", n).select("id")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_class_weights_and_undersampling(spark):
     df = spark.range(90).select("id", F.when(F.col("id") < 60, "a").when(F.col("id") < 80, "b").otherwise("c").alias("y"))
     weights = {r["y"]: r["weight"] for r in B.class_weights(df, "y").collect()}

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import bucket_count, cut
+from .scratch import bucket_count, cut, join_lookup
 
 BUCKET = "_bucket"
 
@@ -126,6 +126,27 @@ def number_by_hash(df: DataFrame, keys: Sequence[str], id_col: str, seed: int =
     return out.withColumnsRenamed({"upto__one": "position", "total__one": "group_size"}).drop("_h", "_one", BUCKET)
 
 
+def first_by_hash(df: DataFrame, keys: Sequence[str], id_col: str, n: int, seed: int = 42) -> DataFrame:
+    """The first n rows of every key in hash order, without moving the table.
+
+    Rows are counted by key and hash range. Ranges that fit whole are kept by a
+    filter; only the rows of the one range where the n-th row falls are ranked.
+    """
+    tagged = df.withColumn("_h", hash_order(id_col, seed=seed)).withColumn(BUCKET, F.substring("_h", 1, 3))
+    # At most 4096 rows per key.
+    cells = tagged.groupBy(*keys, BUCKET).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, W.currentRow))
+    ends = cells.select(*keys, BUCKET, "_n", upto.alias("_upto")).where(F.col("_upto") - F.col("_n") < n)
+    edge = ends.groupBy(*keys).agg(
+        F.max(BUCKET).alias("_last"), F.max_by(F.lit(n) - (F.col("_upto") - F.col("_n")), BUCKET).alias("_left")
+    )
+    marked = join_lookup(tagged, edge, list(keys))
+    whole = marked.where(F.col(BUCKET) < F.col("_last"))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("_h", id_col))
+    part = marked.where(F.col(BUCKET) == F.col("_last")).withColumn("_p", place).where(F.col("_p") <= F.col("_left"))
+    return whole.select(*df.columns).unionByName(part.select(*df.columns))
+
+
 def dense_codes(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
     """``column``, code: distinct values numbered 0.. in sorted order.
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Below this estimated size one task may hold all values of a table.
 SMALL_BYTES = 1024 * 1024
+# Two default read splits; a table below it may be scanned by one task.
+SPREAD_BYTES = 256 * 1024 * 1024
 # Aimed-at size of one ordered bucket, and the most buckets ever made.
 BUCKET_BYTES = 64 * 1024 * 1024
 MOST_BUCKETS = 4096
@@ -63,11 +65,9 @@ def spread(df: DataFrame) -> DataFrame:
     are left as they are: their scan already has tasks enough, and moving them
     would cost more than it gains.
     """
-    spark = df.sparkSession
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    if estimated_bytes(df) >= 2 * split:
+    if estimated_bytes(df) >= SPREAD_BYTES:
         return df
-    return df.repartition(spark.sparkContext.defaultParallelism)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def is_small(df: DataFrame, limit: int | None = None) -> bool:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -47,12 +48,17 @@ SEED = 42
 class Context:
     """What a factory needs to know about the data."""
 
-    rows: int
+    data: DataFrame
     features: Sequence[str]
     classes: int = 2
     id_col: str | None = None
     weight_col: str | None = None
 
+    @cached_property
+    def rows(self) -> int:
+        """Counted only for the families whose penalty depends on it."""
+        return self.data.count()
+
 
 @dataclass(frozen=True)
 class Family:
@@ -232,7 +238,7 @@ def fit_family(df: DataFrame, name: str, features: Sequence[str], label: str | N
     classes = 2
     if label is not None and FAMILIES[name].task == "classification":
         classes = df.select(label).distinct().count()
-    context = Context(df.count(), features, classes, id_col, weight_col)
+    context = Context(df, features, classes, id_col, weight_col)
     data = df if label in (None, "label") else df.withColumn("label", as_double(df, label))
     return model_pipeline(name, params or {}, context, stages).fit(spread(data))
 

@@ -97,7 +97,7 @@ def check_alerts(rules: DataFrame, metrics: DataFrame) -> DataFrame:
     held = F.lit(True)
     for name, test in OPERATORS.items():
         held = F.when(F.col("operator") == name, test(value, limit)).otherwise(held)
-    joined = join_lookup(metrics, rules.where("is_active"), ["model_id", "metric"], "right")
+    joined = join_lookup(rules.where("is_active"), metrics, ["model_id", "metric"], "left")
     return joined.groupBy("alert_id", "model_id").agg(
         F.count("*").alias("conditions"), F.bool_and(F.coalesce(held, F.lit(True))).alias("fires")
     )

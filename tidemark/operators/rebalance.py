@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, safe_divide
-from ..functions.ordered import number_by_hash
+from ..functions.ordered import first_by_hash
 from ..functions.quantiles import quantiles
 from ..functions.scratch import join_lookup
 
@@ -30,8 +30,7 @@ def undersample(df: DataFrame, label: str, id_col: str, seed: int = 42) -> DataF
     """As many rows of every class as the smallest has, picked in hash order of the id."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
     smallest = counts.agg(F.min("n")).first()[0] or 0
-    numbered = number_by_hash(df.where(F.col(label).isNotNull()), [label], id_col, seed)
-    return numbered.where(F.col("position") <= smallest).select(*df.columns)
+    return first_by_hash(df.where(F.col(label).isNotNull()), [label], id_col, smallest, seed)
 
 
 def target_means(df: DataFrame, column: str, label: str) -> DataFrame:

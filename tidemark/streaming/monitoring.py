@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ def window_metrics(df: DataFrame, ts: str, keys: Sequence[str], value: str, widt
     static table has no watermark.
     """
     timed = df.withColumn("_ts", F.col(ts).cast("timestamp"))
+    if slide and not df.isStreaming and pd.Timedelta(width) % pd.Timedelta(slide) == pd.Timedelta(0):
+        return _pane_metrics(timed, keys, value, width, slide)
     if df.isStreaming:
         timed = timed.withWatermark("_ts", late)
     frame = F.window("_ts", width, slide) if slide else F.window("_ts", width)
@@ -48,6 +51,31 @@ def window_metrics(df: DataFrame, ts: str, keys: Sequence[str], value: str, widt
     return stats.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n", "mean", "std", "min", "max")
 
 
+def _pane_metrics(timed: DataFrame, keys: Sequence[str], value: str, width: str, slide: str) -> DataFrame:
+    """Sliding windows from disjoint panes of one slide.
+
+    Every row is aggregated once; only the panes, not the rows, are repeated
+    for the windows they lie in.
+    """
+    v = F.col(value).cast("double")
+    panes = timed.groupBy(F.window("_ts", slide).alias("p"), *keys).agg(
+        F.count("*").alias("rows"), F.count(v).alias("c"), F.avg(v).alias("m"), F.var_pop(v).alias("s"), F.min(v).alias("lo"), F.max(v).alias("hi")
+    )
+    placed = panes.select(F.window("p.start", width, slide).alias("w"), *keys, "rows", "c", "m", "s", "lo", "hi")
+    # Spread of the whole: spread inside the panes and of their means around a
+    # mean of the key, which keeps the squares small.
+    center = placed.groupBy(*keys).agg(F.avg("m").alias("_center"))
+    placed = placed.join(center, list(keys)) if keys else placed.withColumn("_center", F.lit(0.0))
+    d = F.col("m") - F.col("_center")
+    n, first, second = F.sum("c"), F.sum(F.col("c") * d), F.sum(F.col("c") * (F.col("s") + d * d))
+    square = F.greatest(F.lit(0.0), second - F.try_divide(first * first, n))
+    stats = placed.groupBy("w", *keys).agg(
+        F.sum("rows").alias("n"), (F.try_divide(first, n) + F.first("_center")).alias("mean"),
+        F.when(n > 1, F.sqrt(square / (n - 1))).alias("std"), F.min("lo").alias("min"), F.max("hi").alias("max"),
+    )
+    return stats.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n", "mean", "std", "min", "max")
+
+
 def join_late_labels(predictions: DataFrame, labels: DataFrame, key: str, ts: str, label_ts: str, label: str,
                      within: str = "1 day", late: str = "10 minutes") -> DataFrame:
     """Predictions with the label that arrives within a time bound, null when none does.
