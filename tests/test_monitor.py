@@ -7,6 +7,7 @@ from tidemark.operators import drift as D
 from tidemark.operators import evaluate as E
 from tidemark.operators import monitor as M
 from tidemark.operators import select as S
+from tidemark.sources import alerts as A
 from tidemark.sources import logs as L
 from tidemark.sources import readers as R
 from tidemark.sources import registry as G
@@ -63,6 +64,33 @@ def test_alerts(spark):
     assert {r["alert_id"] for r in sent} == {1, 3, 4} and all("churn" in r["message"] and "acc: 0.75" in r["message"] for r in sent)
 
 
+def test_alert_store(spark, tmp_path):
+    root = str(tmp_path)
+    assert A.unread_notifications(spark, root).count() == 0
+    alert = A.create_alert(spark, root, 1, "quality", {"acc": {"operator": "less_than", "threshold": 0.8}, "mse": {"operator": "greater_than", "threshold": 2}})
+    A.create_alert(spark, root, 2, "quality", {"acc": {"operator": "less_than", "threshold": 0.1}})
+    rules = A.active_alerts(spark, root, 1)
+    assert rules.count() == 2
+    metrics = spark.createDataFrame([(1, "acc", 0.75)], "model_id long, metric string, value double")
+    models = spark.createDataFrame([(1, "churn")], "model_id long, name string")
+    sent = M.notifications(M.check_alerts(rules, metrics), rules, models, metrics)
+    A.store_notifications(sent, root, NOW)
+    waiting = A.unread_notifications(spark, root).collect()
+    assert [r["alert_id"] for r in waiting] == [alert]
+    A.mark_as_read(spark, root, [waiting[0]["id"]])
+    assert A.unread_notifications(spark, root).count() == 0
+
+
+def test_front_door(spark):
+    df = spark.range(40).select((F.col("id") % 2).alias("label"), (F.col("id") % 3 % 2).alias("prediction"), F.col("id").cast("double").alias("x"))
+    assert {k: v.count() for k, v in E.evaluate(df, "classification").items()} == {"metrics": 1, "report": 4, "confusion": 4}
+    assert E.evaluate(df, "regression")["report"].first()["label_mean"] == 0.5
+    found = E.evaluate(df, "clustering", features=["x"])
+    assert found["metrics"].first()["status"] == "success" and found["sizes"].count() == 2
+    with pytest.raises(ValueError):
+        E.evaluate(df, "other")
+
+
 def test_update_decision(spark):
     rows = [(True, 0.0, 5000), (False, 0.2, 5000), (False, 0.05, 5000), (True, 0.5, 10), (False, None, 5000)]
     report = spark.createDataFrame(rows, "drift_detected boolean, performance_drop double, data_size long")

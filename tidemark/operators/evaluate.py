@@ -255,8 +255,8 @@ def importance_percent(importances: DataFrame) -> DataFrame:
 
 
 def evaluate(df: DataFrame, task: str, label: str = "label", prediction: str = "prediction",
-             probability: str | None = None, features: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Named result tables for a task type."""
+             probability: str | None = None, features: Sequence[str] = (), **reduction) -> dict[str, DataFrame]:
+    """Named result tables for a task type: classification, regression, clustering or reduction."""
     if task == "classification":
         out = {
             "metrics": classification_metrics(df, label, prediction),
@@ -277,4 +277,8 @@ def evaluate(df: DataFrame, task: str, label: str = "label", prediction: str = "
         from .clusters import cluster_metrics, cluster_sizes
 
         return {"metrics": cluster_metrics(df, features, prediction), "sizes": cluster_sizes(df, prediction)}
+    if task == "reduction":
+        from .clusters import reduction_metrics
+
+        return {"metrics": reduction_metrics(df, **reduction)}
     raise ValueError(f"unknown task type: {task}")

@@ -356,6 +356,11 @@ def missing_pattern_sample(df: DataFrame, id_col: str, n: int = 100, seed: int =
     return df.orderBy(hash_order(id_col, seed=seed), id_col).limit(n).select(id_col, *flags)
 
 
+def row_sample(df: DataFrame, id_col: str, columns: Sequence[str], n: int = 1000, seed: int = 42) -> DataFrame:
+    """n rows in hash order of the id, for scatter views of two or more columns."""
+    return df.orderBy(hash_order(id_col, seed=seed), id_col).limit(n).select(id_col, *columns)
+
+
 def simple_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """mean, population std, min, max per column."""
     columns = numeric_columns(df) if columns is None else columns

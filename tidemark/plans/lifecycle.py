@@ -7,7 +7,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
+from ..operators import monitor as M
 from ..operators import text as X
+from ..operators import validate as V
+from ..sources import alerts as A
 from ..sources import logs as L
 from ..sources import readers as R
 from ..sources import registry as G
@@ -174,6 +177,33 @@ def saved_comparison(spark, sf):
     return rounded(J.load_comparison(spark, path), 4, "value")
 
 
+@query(
+    "saved_report",
+    """SELECT 'training_data' AS dataset, (SELECT count(*) FROM customer) AS total_rows, (SELECT count(DISTINCT c_name) FROM customer) AS names,
+  (SELECT max(c_acctbal) FROM customer) AS most""",
+)
+def saved_report(spark, sf):
+    """A validation report as JSON and back."""
+    path = J.save_report(V.validate_training(table(spark, sf, "customer"), "c_mktsegment"), scratch_path(spark, "report"))
+    report = J.load_report(spark, path, V.REPORT_SCHEMA)
+    return report.select(
+        "dataset", "total_rows", F.col("unique_values")["c_name"].alias("names"), F.col("numeric_stats")["c_acctbal"]["max"].alias("most")
+    )
+
+
+@query(
+    "recorded_statistics",
+    """SELECT 7 AS model_id, metric, round(value, 6) AS value FROM (SELECT unnest(['mean', 'std', 'min', 'max']) AS metric,
+  unnest([avg(value), stddev_pop(value), min(value), max(value)]) AS value FROM events)""",
+)
+def recorded_statistics(spark, sf):
+    """The statistics of the predictions, appended to the performance log and read back."""
+    root = scratch_path(spark, "logs")
+    A.record_metrics(M.prediction_statistics(table(spark, sf, "events"), "value"), root, 7, dt.datetime(2024, 2, 1))
+    rows = L.scan_log(spark, root, "performance_logs", dt.datetime(2024, 2, 1), dt.datetime(2024, 2, 1))
+    return rounded(L.map_long(rows, "metrics", [F.col("model_id").cast("int").alias("model_id")]), 6, "value")
+
+
 _WORDS_SQL = r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS word FROM documents"
 
 

@@ -308,6 +308,14 @@ def missing_pattern_sample(spark, sf):
     return P.missing_pattern_sample(df, "row_id", 100)
 
 
+@query(
+    "row_sample",
+    """SELECT o_orderkey, o_totalprice, o_custkey FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '|42'), o_orderkey LIMIT 100""",
+)
+def row_sample(spark, sf):
+    return P.row_sample(table(spark, sf, "orders"), "o_orderkey", ["o_totalprice", "o_custkey"], 100)
+
+
 @query(
     "simple_stats",
     union_sql(
