@@ -63,24 +63,39 @@ def normalise(df: DataFrame) -> DataFrame:
 
 
 def long_numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """``keep``, feature, value: one row per numeric cell, missing ones too."""
+    """``keep``, feature, value: one row per numeric cell, missing ones too.
+
+    ``feature`` is the place of the column in ``columns``: a number is cheaper
+    to hash and to shuffle than a name. ``named`` puts the names back.
+    """
     wide = df.select(*keep, *[as_double(df, c).alias(f"v_{i}") for i, c in enumerate(columns)])
     return _melt(wide, columns, keep)
 
 
 def long_text(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """``keep``, feature, value: one row per cell, values as text."""
+    """``keep``, feature (as in ``long_numbers``), value: one row per cell, values as text."""
     wide = df.select(*keep, *[present(df, c).cast("string").alias(f"v_{i}") for i, c in enumerate(columns)])
     return _melt(wide, columns, keep)
 
 
 def _melt(wide: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
     cells = F.array(
-        *[F.struct(F.lit(c).alias("feature"), F.col(f"v_{i}").alias("value")) for i, c in enumerate(columns)]
+        *[F.struct(F.lit(i).alias("feature"), F.col(f"v_{i}").alias("value")) for i in range(len(columns))]
     )
     return wide.select(*keep, F.inline(cells))
 
 
+def named(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Feature numbers back to column names."""
+    return df.withColumn("feature", F.array(*map(F.lit, columns))[F.col("feature")])
+
+
+def numbered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Column names to feature numbers."""
+    place = F.array_position(F.array(*map(F.lit, columns)), F.col("feature")) - 1
+    return df.withColumn("feature", place.cast("int"))
+
+
 def per_column(
     df: DataFrame,
     columns: Sequence[str],

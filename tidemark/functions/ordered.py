@@ -114,14 +114,20 @@ def hash_order(*columns: str | Column, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
+def _hash_range(df: DataFrame) -> Column:
+    """The leading hex digits that cut the hash into 4096 ranges, or a million for very large tables."""
+    digits = 3 if bucket_count(df) <= 4096 else 5
+    return F.substring("_h", 1, digits)
+
+
 def number_by_hash(df: DataFrame, keys: Sequence[str], id_col: str, seed: int = 42) -> DataFrame:
     """Add ``position`` (1..n within keys, in hash order) and ``group_size``.
 
-    The first three hex digits of the hash cut every key into 4096 equal
-    ranges, so a hot key is spread over as many tasks.
+    The first hex digits of the hash cut every key into equal ranges, so a hot
+    key is spread over as many tasks.
     """
     tagged = df.withColumn("_h", hash_order(id_col, seed=seed)).withColumn("_one", F.lit(1).cast("long"))
-    tagged = tagged.withColumn(BUCKET, F.substring("_h", 1, 3))
+    tagged = tagged.withColumn(BUCKET, _hash_range(df))
     out = running(tagged, keys, [F.col("_h"), F.col(id_col)], ["_one"], bucket=BUCKET)
     return out.withColumnsRenamed({"upto__one": "position", "total__one": "group_size"}).drop("_h", "_one", BUCKET)
 
@@ -132,8 +138,8 @@ def first_by_hash(df: DataFrame, keys: Sequence[str], id_col: str, n: int, seed:
     Rows are counted by key and hash range. Ranges that fit whole are kept by a
     filter; only the rows of the one range where the n-th row falls are ranked.
     """
-    tagged = df.withColumn("_h", hash_order(id_col, seed=seed)).withColumn(BUCKET, F.substring("_h", 1, 3))
-    # At most 4096 rows per key.
+    tagged = df.withColumn("_h", hash_order(id_col, seed=seed)).withColumn(BUCKET, _hash_range(df))
+    # One row per key and range.
     cells = tagged.groupBy(*keys, BUCKET).agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, W.currentRow))
     ends = cells.select(*keys, BUCKET, "_n", upto.alias("_upto")).where(F.col("_upto") - F.col("_n") < n)

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import PASS_WIDTH, doubles, long_numbers, long_text, per_column, union_all
+from .columns import PASS_WIDTH, doubles, long_numbers, long_text, named, per_column, union_all
 from .ordered import running_by_value
 from .scratch import is_small
 
@@ -114,4 +114,4 @@ def modes(df: DataFrame, columns: Sequence[str], text: bool) -> DataFrame:
     cells = long_text(df, columns) if text else long_numbers(df, columns)
     counts = cells.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("n"))
     best = counts.groupBy("feature").agg(F.min(F.struct((-F.col("n")).alias("neg"), "value")).alias("best"))
-    return best.select("feature", F.col("best.value").alias("value"), (-F.col("best.neg")).alias("n"))
+    return named(best, columns).select("feature", F.col("best.value").alias("value"), (-F.col("best.neg")).alias("n"))

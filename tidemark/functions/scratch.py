@@ -14,7 +14,7 @@ SMALL_BYTES = 1024 * 1024
 SPREAD_BYTES = 256 * 1024 * 1024
 # Aimed-at size of one ordered bucket, and the most buckets ever made.
 BUCKET_BYTES = 64 * 1024 * 1024
-MOST_BUCKETS = 4096
+MOST_BUCKETS = 32768
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import doubles, long_numbers, long_text, numeric_columns, per_column, safe_divide, union_all
+from ..functions.columns import doubles, long_numbers, long_text, named, numbered, numeric_columns, per_column, safe_divide, union_all
 from ..functions.ordered import running_by_value
 from .profile import bin_counts, describe
 from .select import above_mean, split_at_mean_time
@@ -27,7 +27,7 @@ def _shared(reference: DataFrame, new: DataFrame, columns: Sequence[str] | None,
 
 
 def _side_counts(reference: DataFrame, new: DataFrame, columns: Sequence[str], text: bool) -> DataFrame:
-    """feature, value, ref, new: rows with each value on either side, in one shuffle."""
+    """feature (its number), value, ref, new: rows with each value on either side, in one shuffle."""
     cells = long_text if text else long_numbers
     tagged = cells(reference, columns).select("*", F.lit(1).alias("_r"), F.lit(0).alias("_n")).unionByName(
         cells(new, columns).select("*", F.lit(0).alias("_r"), F.lit(1).alias("_n"))
@@ -60,6 +60,7 @@ def ks_drift(reference: DataFrame, new: DataFrame, columns: Sequence[str] | None
     found = ranked.groupBy("feature").agg(
         F.max("total_ref").alias("ref_rows"), F.max("total_new").alias("new_rows"), F.max(gap).alias("statistic")
     )
+    found = named(found, columns)
     p_value = kolmogorov_tail(F.col("statistic"), F.col("ref_rows"), F.col("new_rows"))
     return found.withColumn("p_value", p_value).withColumn(
         "has_drift", F.coalesce(F.col("p_value") < threshold, F.lit(False))
@@ -95,7 +96,7 @@ def kl_drift(reference: DataFrame, new: DataFrame, columns: Sequence[str] | None
         ref_edges = new_edges = both.groupBy("feature").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
     def shares(df: DataFrame, df_edges: DataFrame, name: str) -> DataFrame:
-        counts = bin_counts(long_numbers(df, columns), df_edges, bins)
+        counts = named(bin_counts(long_numbers(df, columns), numbered(df_edges, columns), bins), columns)
         totals = counts.groupBy("feature").agg(F.sum("n").alias("_t"))
         height = safe_divide(F.col("n"), F.col("_t"))
         if mode == "own":
@@ -118,7 +119,7 @@ def category_shares(reference: DataFrame, new: DataFrame, columns: Sequence[str]
     counts = _side_counts(reference, new, columns, text=True)
     totals = counts.groupBy("feature").agg(F.sum("ref").alias("_r"), F.sum("new").alias("_n"))
     # One row per feature.
-    return counts.join(F.broadcast(totals), "feature").select(
+    return named(counts.join(F.broadcast(totals), "feature"), columns).select(
         "feature",
         "value",
         F.coalesce(safe_divide(F.col("ref"), F.col("_r")), F.lit(0.0)).alias("p"),
@@ -200,7 +201,7 @@ def chi_square_drift(reference: DataFrame, new: DataFrame, columns: Sequence[str
     found = per_value.groupBy("feature").agg(
         F.sum("part").alias("statistic"), (F.count("*") - 1).cast("int").alias("freedom")
     )
-    return found.withColumn("p_value", chi_square_tail("statistic", "freedom")).withColumn(
+    return named(found, columns).withColumn("p_value", chi_square_tail("statistic", "freedom")).withColumn(
         "has_drift", F.coalesce(F.col("p_value") < threshold / max(1, len(columns)), F.lit(False))
     )
 

@@ -238,9 +238,14 @@ def fit_family(df: DataFrame, name: str, features: Sequence[str], label: str | N
     classes = 2
     if label is not None and FAMILIES[name].task == "classification":
         classes = df.select(label).distinct().count()
-    context = Context(df, features, classes, id_col, weight_col)
     data = df if label in (None, "label") else df.withColumn("label", as_double(df, label))
-    return model_pipeline(name, params or {}, context, stages).fit(spread(data))
+    context = Context(df, features, classes, id_col, weight_col)
+    # Every stage and most estimators read the rows several times.
+    held = spread(data).persist()
+    try:
+        return model_pipeline(name, params or {}, context, stages).fit(held)
+    finally:
+        held.unpersist()
 
 
 class NeighbourEstimator(Estimator, DefaultParamsReadable, DefaultParamsWritable):

@@ -14,6 +14,8 @@ from ..functions.columns import (
     doubles,
     long_numbers,
     long_text,
+    named,
+    numbered,
     numeric_columns,
     per_column,
     present,
@@ -165,7 +167,7 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5)
         .agg(F.count("*").alias("n"))
     )
     place = F.row_number().over(W.partitionBy("feature").orderBy(F.desc("n"), "value"))
-    return counts.withColumn("place", place).where(F.col("place") <= k)
+    return named(counts.withColumn("place", place).where(F.col("place") <= k), columns)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -294,7 +296,7 @@ def high_correlations(df: DataFrame, threshold: float = 0.8, columns: Sequence[s
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFrame:
     """feature, bin, low, high, n: equal-width bins, the last edge inclusive, empty bins left out."""
     edges = per_column(doubles(df, columns), columns, {"lo": F.min, "hi": F.max})
-    return bin_counts(long_numbers(df, columns), edges, bins)
+    return named(bin_counts(long_numbers(df, columns), numbered(edges, columns), bins), columns)
 
 
 def bin_counts(cells: DataFrame, edges: DataFrame, bins: int, keep: Sequence[str] = ()) -> DataFrame:
