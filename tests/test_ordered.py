@@ -38,6 +38,16 @@ def test_number_by_time(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, back.collect()))
 
 
+def test_null_keys_are_kept(spark):
+    from tidemark.operators.monitor import series_changes
+
+    df = skewed(spark).withColumn("k", F.when(F.col("k") != "hot", F.col("k"))).withColumn("ts", F.timestamp_seconds("v"))
+    assert number_by_hash(df, ["k"], "id").count() == 3000
+    assert number_by_time(df, ["k"], "ts", "id", buckets=6).count() == 3000
+    a = series_changes(df, ["k"], "ts", "v", "id", buckets=6).select("id", "previous").collect()
+    assert sorted(map(str, a)) == sorted(map(str, series_changes(df, ["k"], "ts", "v", "id", buckets=1).select("id", "previous").collect()))
+
+
 def test_dense_codes(spark):
     df = spark.range(2000).select(F.concat(F.lit("v"), (F.col("id") * 13 % 500).cast("string")).alias("c"))
     want = {v: i for i, v in enumerate(sorted({r["c"] for r in df.collect()}))}

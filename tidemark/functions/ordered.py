@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .scratch import bucket_count, cut, join_lookup
 
 BUCKET = "_bucket"
+KEY = "_key"
 
 
 def add_value_buckets(df: DataFrame, value: str, buckets: int) -> DataFrame:
@@ -33,7 +34,8 @@ def add_value_buckets(df: DataFrame, value: str, buckets: int) -> DataFrame:
     ) if bounds else None
     if cutter is None:
         return df.withColumn(BUCKET, F.lit(0.0))
-    return cutter.transform(df)
+    # Missing values come first in every order used here.
+    return cutter.transform(df).withColumn(BUCKET, F.coalesce(BUCKET, F.lit(-1.0)))
 
 
 def running(
@@ -50,7 +52,11 @@ def running(
     split by it; without, the window runs per key and the caller vouches that
     no key is large.
     """
-    cells = [*keys, bucket] if bucket else list(keys)
+    columns = df.columns
+    if bucket:
+        # As one struct, a key with nulls still meets itself in the join below.
+        df = df.withColumn(KEY, F.struct(*keys))
+    cells = [KEY, bucket] if bucket else list(keys)
     upto = W.partitionBy(*cells).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = df.select("*", *[F.sum(s).over(upto).alias(f"upto_{s}") for s in sums])
     if not bucket:
@@ -59,15 +65,15 @@ def running(
 
     # One row per key and bucket: the window below sees at most that many.
     totals = df.groupBy(*cells).agg(*[F.sum(s).alias(f"cell_{s}") for s in sums])
-    earlier = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(KEY).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *cells,
         *[F.coalesce(F.sum(f"cell_{s}").over(earlier), F.lit(0)).alias(f"off_{s}") for s in sums],
-        *[F.sum(f"cell_{s}").over(W.partitionBy(*keys)).alias(f"total_{s}") for s in sums],
+        *[F.sum(f"cell_{s}").over(W.partitionBy(KEY)).alias(f"total_{s}") for s in sums],
     )
     joined = local.join(offsets, cells)
     return joined.select(
-        *df.columns,
+        *columns,
         *[(F.col(f"upto_{s}") + F.col(f"off_{s}")).alias(f"upto_{s}") for s in sums],
         *[f"total_{s}" for s in sums],
     )
@@ -138,17 +144,18 @@ def first_by_hash(df: DataFrame, keys: Sequence[str], id_col: str, n: int, seed:
     Rows are counted by key and hash range. Ranges that fit whole are kept by a
     filter; only the rows of the one range where the n-th row falls are ranked.
     """
-    tagged = df.withColumn("_h", hash_order(id_col, seed=seed)).withColumn(BUCKET, _hash_range(df))
+    tagged = df.withColumns({"_h": hash_order(id_col, seed=seed), KEY: F.struct(*keys)})
+    tagged = tagged.withColumn(BUCKET, _hash_range(df))
     # One row per key and range.
-    cells = tagged.groupBy(*keys, BUCKET).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, W.currentRow))
-    ends = cells.select(*keys, BUCKET, "_n", upto.alias("_upto")).where(F.col("_upto") - F.col("_n") < n)
-    edge = ends.groupBy(*keys).agg(
+    cells = tagged.groupBy(KEY, BUCKET).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy(KEY).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, W.currentRow))
+    ends = cells.select(KEY, BUCKET, "_n", upto.alias("_upto")).where(F.col("_upto") - F.col("_n") < n)
+    edge = ends.groupBy(KEY).agg(
         F.max(BUCKET).alias("_last"), F.max_by(F.lit(n) - (F.col("_upto") - F.col("_n")), BUCKET).alias("_left")
     )
-    marked = join_lookup(tagged, edge, list(keys))
+    marked = join_lookup(tagged, edge, [KEY])
     whole = marked.where(F.col(BUCKET) < F.col("_last"))
-    place = F.row_number().over(W.partitionBy(*keys).orderBy("_h", id_col))
+    place = F.row_number().over(W.partitionBy(KEY).orderBy("_h", id_col))
     part = marked.where(F.col(BUCKET) == F.col("_last")).withColumn("_p", place).where(F.col("_p") <= F.col("_left"))
     return whole.select(*df.columns).unionByName(part.select(*df.columns))
 

@@ -365,10 +365,14 @@ def decision_grid(model: PipelineModel, df: DataFrame, x: str, y: str, step: flo
     """x, y, prediction over a grid around the data, for models of two features."""
     row = df.agg(*[f(c).alias(f"{n}_{c}") for c in (x, y) for n, f in (("lo", F.min), ("hi", F.max))]).first()
 
-    def axis(c: str):
+    def axis(c: str) -> tuple[float, int]:
         low = float(row[f"lo_{c}"]) - margin
-        steps = int((float(row[f"hi_{c}"]) + margin - low) / step + 1e-9)
-        return F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.lit(low) + i * step)).alias(c)
-
-    cells = df.sparkSession.range(1).select(axis(x)).select(x, axis(y))
+        return low, int((float(row[f"hi_{c}"]) + margin - low) / step + 1e-9) + 1
+
+    (left, columns), (low, lines) = axis(x), axis(y)
+    # One range over all cells, so that the grid is made in parallel.
+    number = F.col("id")
+    cells = df.sparkSession.range(columns * lines).select(
+        (F.lit(left) + F.floor(number / lines) * step).alias(x), (F.lit(low) + number % lines * step).alias(y)
+    )
     return model.transform(cells).select(x, y, "prediction")

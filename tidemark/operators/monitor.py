@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_divide
-from ..functions.ordered import BUCKET, add_value_buckets, number_by_time
+from ..functions.ordered import BUCKET, KEY, add_value_buckets, number_by_time
 from ..functions.scratch import bucket_count, cut, join_lookup
 from .drift import drift_detected, ks_drift
 from .evaluate import classification_metrics, regression_columns
@@ -135,14 +135,15 @@ def series_changes(df: DataFrame, keys: Sequence[str], ts: str, value: str, tie:
         timed = add_value_buckets(cut(timed), "_t", buckets)
     else:
         timed = timed.withColumn(BUCKET, F.lit(0.0))
-    inside = F.lag(value).over(W.partitionBy(*keys, BUCKET).orderBy("_t", tie))
-    first = F.row_number().over(W.partitionBy(*keys, BUCKET).orderBy("_t", tie)) == 1
+    timed = timed.withColumn(KEY, F.struct(*keys))
+    inside = F.lag(value).over(W.partitionBy(KEY, BUCKET).orderBy("_t", tie))
+    first = F.row_number().over(W.partitionBy(KEY, BUCKET).orderBy("_t", tie)) == 1
     local = timed.select("*", inside.alias("_inside"), first.alias("_first"))
     if buckets > 1:
         # One row per series and range.
-        ends = timed.groupBy(*keys, BUCKET).agg(F.max_by(value, F.struct("_t", tie)).alias("_end"))
-        earlier = ends.select(*keys, BUCKET, F.lag("_end").over(W.partitionBy(*keys).orderBy(BUCKET)).alias("_before"))
-        local = local.join(earlier, [*keys, BUCKET])
+        ends = timed.groupBy(KEY, BUCKET).agg(F.max_by(F.struct(value), F.struct("_t", tie)).alias("_end"))
+        before = F.lag(F.col("_end")[value]).over(W.partitionBy(KEY).orderBy(BUCKET))
+        local = local.join(ends.select(KEY, BUCKET, before.alias("_before")), [KEY, BUCKET])
         previous = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_inside"))
     else:
         previous = F.col("_inside")
