@@ -224,9 +224,31 @@ def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, threshol
 
 
 def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 1.5) -> DataFrame:
-    """``describe`` with outlier count and bounds."""
+    """``describe`` with outlier count and bounds: quartiles first, then all else in one pass with them as literals."""
     columns = numeric_columns(df) if columns is None else columns
-    return describe(df, columns).join(outlier_counts(df, columns, threshold).drop("rows"), "feature")
+    slim = doubles(df, columns)
+    quartiles = {r["feature"]: r["q"] for r in quantiles(slim, columns, QUARTILES).collect()}
+
+    def bound(c: str, side: int):
+        q1, _, q3 = quartiles[c]
+        return None if q1 is None else (q1, q3)[side > 0] + side * threshold * (q3 - q1)
+
+    known = lambda value: F.max(F.lit(value).cast("double"))
+    return per_column(
+        slim,
+        columns,
+        {
+            "count": F.count,
+            "mean": F.avg,
+            "std": F.stddev_samp,
+            "min": F.min,
+            **{f"q{int(p * 100)}": lambda c, i=i: known(quartiles[c][i]) for i, p in enumerate(QUARTILES)},
+            "max": F.max,
+            "outliers": lambda c: F.count_if(outside(slim, c, (bound(c, -1), bound(c, 1)))),
+            "lower_bound": lambda c: known(bound(c, -1)),
+            "upper_bound": lambda c: known(bound(c, 1)),
+        },
+    )
 
 
 def outlier_rows(df: DataFrame, column: str, threshold: float = 1.5) -> DataFrame:

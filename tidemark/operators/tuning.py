@@ -40,6 +40,9 @@ METRICS = {
 }
 DEFAULT_METRIC = {"classification": "accuracy", "regression": "mse"}
 
+# Fits run at a time.
+PARALLEL_FITS = 4
+
 TRIAL_SCHEMA = """trial int, model string, params map<string,string>, metric string, score double, score_std double,
 train_seconds double, status string, error string"""
 
@@ -137,14 +140,19 @@ class SearchResult:
     trials: DataFrame
 
 
+def _each_fold(data: DataFrame, work: Callable[[int], object], folds: int, parallelism: int) -> list:
+    """Run the folds side by side: their jobs share the cluster."""
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(inheritable_thread_target(data.sparkSession)(work), range(folds)))
+
+
 def _fold_scores(data: DataFrame, name: str, params: dict, context: Context, stages: Sequence, metric: str,
                  folds: int, parallelism: int) -> list[float]:
     def one(i: int) -> float:
         model = model_pipeline(name, params, context, stages).fit(data.where(F.col("fold") != i).drop("fold"))
         return metric_value(model.transform(data.where(F.col("fold") == i)), metric)
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return list(pool.map(inheritable_thread_target(data.sparkSession)(one), range(folds)))
+    return _each_fold(data, one, folds, parallelism)
 
 
 def _better(a: float | None, b: float | None, metric: str) -> bool:
@@ -167,7 +175,7 @@ def search(
     folds: int = 5,
     stages: Sequence = (),
     seed: int = SEED,
-    parallelism: int = 2,
+    parallelism: int = PARALLEL_FITS,
     fixed: dict[str, dict] | None = None,
     exact_folds: bool = True,
     callback: Callable[[int, float | None], None] | None = None,
@@ -263,16 +271,18 @@ def stopping_report(trials: DataFrame, smaller_is_better: bool = False) -> DataF
 
 def _curve_rows(data: DataFrame, name: str, params: dict, features: Sequence[str], id_col: str, metric: str,
                 folds: int, stages: Sequence, share: float = 1.0) -> tuple[list[float], list[float]]:
-    train_scores, valid_scores = [], []
-    for i in range(folds):
+
+    def one(i: int) -> tuple[float, float]:
         train = data.where(F.col("fold") != i)
         if share < 1.0:
             train = train.where(F.col("share") < share)
         context = Context(train, list(features), train.select("label").distinct().count(), id_col)
         model = model_pipeline(name, params, context, stages).fit(train)
-        train_scores.append(metric_value(model.transform(train), metric))
-        valid_scores.append(metric_value(model.transform(data.where(F.col("fold") == i)), metric))
-    return train_scores, valid_scores
+        valid = data.where(F.col("fold") == i)
+        return metric_value(model.transform(train), metric), metric_value(model.transform(valid), metric)
+
+    scores = _each_fold(data, one, folds, PARALLEL_FITS)
+    return [s[0] for s in scores], [s[1] for s in scores]
 
 
 def _curve_data(df: DataFrame, label: str, id_col: str, task: str, folds: int) -> DataFrame:
