@@ -179,6 +179,21 @@ def test_one_cluster_has_no_metrics(classes):
     assert r["n_clusters"] == 1 and r["status"] == "insufficient_clusters"
 
 
+def test_cluster_search_finds_the_blobs(spark):
+    """Three blobs far apart: the trial with three clusters wins by every measure."""
+    blob = spark.range(90).select("id", (F.col("id") % 3 * 50 + F.sin("id")).alias("x"), F.cos(F.col("id") * 2).alias("y"))
+    for metric in T.CLUSTER_METRICS:
+        scores = {}
+        for k in (2, 3):
+            fixed = {"KMeans": {"k": k, "maxIter": 10, "initMode": "k-means||"}}
+            scores[k] = T.search_clusters(blob, ["x", "y"], ["KMeans"], metric, trials=1, fixed=fixed).score
+        assert (scores[3] > scores[2]) == T.CLUSTER_METRICS[metric]
+    found = T.search_clusters(blob, ["x", "y"], ["KMeans"], "silhouette", trials=1, fixed={"KMeans": {"k": 3, "maxIter": 10}})
+    assert found.model.transform(blob).select("prediction").distinct().count() == 3
+    with pytest.raises(ValueError):
+        T.search_clusters(blob, ["x", "y"], metric="other")
+
+
 def test_permuted_keeps_the_values(classes):
     out = E.permuted(classes, "f0", "id")
     pick = lambda df: sorted(r["f0"] for r in df.select("f0").collect())

@@ -5,7 +5,7 @@ from oracle import compare, duck
 
 from tidemark.plans import QUERIES, SQL
 
-SLOW = {"model_search", "retrained_model", "learning_curve", "validation_curve", "best_trials"}
+SLOW = {"model_search", "cluster_search", "retrained_model", "learning_curve", "validation_curve", "best_trials"}
 
 
 @pytest.fixture(scope="module")

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import as_double
 from ..functions.ordered import hash_order, number_by_hash
+from .clusters import calinski_harabasz, davies_bouldin
 from .evaluate import classification_metrics, regression_metrics, roc_auc
 from .estimators import FAMILIES, SEED, Context, families_for, feature_importance, model_pipeline
 
@@ -245,6 +247,61 @@ def search(
         data.unpersist()
 
 
+# Measures of a clustering; True where a larger value is better.
+CLUSTER_METRICS = {"silhouette": True, "calinski_harabasz": True, "davies_bouldin": False}
+
+
+def cluster_score(clustered: DataFrame, features: Sequence[str], metric: str) -> float:
+    """One measure of a table with ``features`` and ``prediction``.
+
+    The silhouette here is by squared distance, which needs one pass; the
+    euclidean one compares all rows (``clusters.silhouette``).
+    """
+    if metric == "silhouette":
+        return ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(clustered)
+    if metric == "calinski_harabasz":
+        return calinski_harabasz(clustered, features, "prediction").first()[metric]
+    if metric == "davies_bouldin":
+        return davies_bouldin(clustered, features, "prediction").first()[metric]
+    raise ValueError(f"unknown metric: {metric}")
+
+
+def search_clusters(df: DataFrame, features: Sequence[str], models: Sequence[str] | None = None, metric: str = "silhouette",
+                    trials: int = 30, stages: Sequence = (), seed: int = SEED, fixed: dict[str, dict] | None = None,
+                    callback: Callable[[int, float | None], None] | None = None) -> SearchResult:
+    """Try clustering families with random parameters and keep the best model by one measure."""
+    if metric not in CLUSTER_METRICS:
+        raise ValueError(f"unknown metric: {metric}")
+    data = df.persist()
+    try:
+        context = Context(data, list(features))
+        log: list[tuple] = []
+        best: tuple = (None, "", {}, None)
+        for name in families_for("clustering", models):
+            rng = random.Random(f"{seed}-{name}")
+            for _ in range(trials):
+                params = {**draw(FAMILIES[name].space, rng), **(fixed or {}).get(name, {})}
+                began, score, error, model = time.time(), None, None, None
+                try:
+                    model = model_pipeline(name, params, context, stages).fit(data)
+                    score = cluster_score(model.transform(data), features, metric)
+                except Exception as failure:  # noqa: BLE001 - a trial may fail for any reason of its model
+                    error = f"{type(failure).__name__}: {failure}"[:500]
+                texts = {k: str(v) for k, v in params.items()}
+                status = "completed" if error is None else "failed"
+                log.append((len(log), name, texts, metric, score, None, time.time() - began, status, error))
+                if callback:
+                    callback(len(log) - 1, score)
+                if score is not None and (best[0] is None or (score > best[0]) == CLUSTER_METRICS[metric] and score != best[0]):
+                    best = (score, name, params, model)
+        if best[0] is None:
+            raise ValueError("every trial failed: " + "; ".join(sorted({str(r[8]) for r in log})))
+        table = df.sparkSession.createDataFrame(log, TRIAL_SCHEMA)
+        return SearchResult("clustering", best[1], best[2], metric, best[0], {metric: best[0]}, {}, best[3], table)
+    finally:
+        data.unpersist()
+
+
 def best_trials(trials: DataFrame, smaller_is_better: bool) -> DataFrame:
     """model, trial, score of the best trial of every model."""
     done = trials.where("status = 'completed'")

@@ -236,6 +236,17 @@ def bisecting_kmeans(spark, sf):
     return _clustered(spark, sf, "BisectingKMeans", {"k": 4})
 
 
+@query("cluster_search")
+def cluster_search(spark, sf):
+    """Trials of two families over the first principal axes."""
+    df = embeddings(spark, sf)
+    axes, _ = D.principal_components(df, "embedding", DIMS, 4)
+    names = [f"z{i}" for i in range(4)]
+    wide = D.project(df, "embedding", axes, "z").select("vec_id", *[F.col("z")[i].alias(n) for i, n in enumerate(names)])
+    fixed = {"KMeans": {"maxIter": 10}, "BisectingKMeans": {"k": 4, "maxIter": 5}}
+    return T.search_clusters(wide, names, ["KMeans", "BisectingKMeans"], trials=1, fixed=fixed).trials
+
+
 @query("density_clusters")
 def density_clusters(spark, sf):
     df = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
