@@ -32,7 +32,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = F.col("_hash")
     if not odd.isEmpty():
         # A true collision: its rows are told apart by the second hash as well.
-        rows = rows.join(odd.withColumn("_odd", F.lit(True)), ["_hash", "_sha"], "left")
+        rows = rows.join(odd.distinct().withColumn("_odd", F.lit(True)), ["_hash", "_sha"], "left")
         key = F.when("_odd", F.concat("_hash", F.unhex("_sha"))).otherwise(F.col("_hash"))
         rows = cut(rows.select("_id", key.alias("_hash"), "_sha", "_row"))
         copies = cut(_groups(rows, "_hash", keep).where("_n > 1"))
@@ -60,7 +60,7 @@ def _collisions(hashed: DataFrame, copies: DataFrame, keep: str) -> DataFrame:
     members = join_narrow(hashed, copies.select("_hash", "_keep"), ["_hash"], "inner")
     kept = members.where(F.col("_id").eqNullSafe(F.col("_keep"))).select("_hash", F.col("_norm").alias("_first"))
     different = members.join(kept, "_hash").where(F.col("_norm") != F.col("_first"))
-    return different.select("_hash", F.sha2("_norm", 256).alias("_sha")).distinct()
+    return different.select("_hash", F.sha2("_norm", 256).alias("_sha"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
