@@ -141,7 +141,7 @@ def _pack_pools(left: DataFrame, pools: int, size: int, level: int) -> DataFrame
         # The order of rows in a group may change when a task is repeated.
         pdf = pdf.sort_values(["length", "_row"], ignore_index=True)
         bins, offsets = pack_lengths(pdf["length"].tolist(), size)
-        pdf["sequence_id"] = (level << 56) + (pdf["_pool"].astype("int64") << 24) + pd.Series(bins, dtype="int64")
+        pdf["sequence_id"] = (level << 56) + pdf["_pool"].astype("int64") * (1 << 24) + pd.Series(bins, dtype="int64")
         pdf["offset"] = pd.Series(offsets, dtype="int64")
         pdf["_full"] = pdf.groupby("sequence_id")["length"].transform("sum") == size
         return pdf[["_row", "length", "sequence_id", "offset", "_full"]]
