@@ -3,7 +3,7 @@
 Nothing else in the library imports this subpackage.
 """
 
-from . import exact_dedup, jaccard, mixing, packing, tokens, toxicity  # noqa: F401
+from . import exact_dedup, jaccard, licenses, mixing, packing, tokens, toxicity, urls  # noqa: F401
 from .common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
