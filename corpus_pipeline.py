@@ -11,30 +11,56 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.functions.scratch import scratch_path
 from tidemark.functions.session import ship_code
 from tidemark.llm.exact_dedup import drop_copies
+from tidemark.llm.jaccard import drop_near_copies
 from tidemark.llm.mixing import mixed_documents
+from tidemark.llm.packing import pack
+from tidemark.llm.toxicity import drop_toxic
 
 ship_code()
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents more likely toxic than not go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return drop_toxic(docs.select(COLUMNS), labels)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id stays."""
     return drop_copies(docs.select(COLUMNS))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similar shingles, the one with the smallest id stays: five words, 0.8 or more."""
+    return drop_near_copies(docs.select(COLUMNS), width=5, percent=80)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are drawn to their target weights; a document drawn twice is there twice."""
     return mixed_documents(docs.select(COLUMNS))
 
 
-STAGES = [("exact dedup", exact_dedup), ("mixing sources to target weights", mixing)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes in sequences of 2048 tokens."""
+    return pack(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("mixing sources to target weights", mixing),
+    ("best-fit packing", packing),
+]
 
 # Learned scores and packing have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of ``documents`` after all stages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name.replace(" ", "-"))

@@ -300,7 +300,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
 
 
 def drop_near_copies(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; rows without an id or words stay."""
+    """The rows of ``docs`` whose id is the smallest of its component.
+
+    Rows without an id or words stay. Rows that share an id stay or go together.
+    """
     found = similar_sets(docs, width, percent, id_col, text_col)
     gone = cut(found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct())
     return join_narrow(docs, gone, [id_col], "left_anti").select(*docs.columns)

@@ -228,54 +228,80 @@ class Tagger:
         return at, out[::-1]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, held_out_of: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """One row per row of ``docs``: id, held_out, score, predicted, spans.
+def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, held_out_of: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field | None:
+    """A field trained on labelled rows whose crc32 of the id, as text, is not divisible by ``held_out_of``.
 
-    Learned from labelled rows whose crc32 of the id, as text, is not divisible
-    by ``held_out_of``; at most about ``most_labelled`` toxic rows and three
-    times as many clean ones are used, picked by a hash of the id. The score is the probability that some cue
-    word is toxic, taking their marginals as independent; without a cue it is
-    the share the field gives a plain word, and 0 without any word. ``spans``
-    has start, end (characters) and p of each run of words more likely toxic
-    than not.
-
-    A null text is empty. Rows without an id or label teach nothing; without
-    two classes of labels every score is 0. Repeated rows are scored one by
-    one; an id with several labels counts as toxic if any is. Labels, language
-    and source are no inputs of a score.
+    At most about ``most_labelled`` toxic rows and three times as many clean
+    ones are used, picked by a hash of the id. Rows without an id or label teach
+    nothing, and an id with several labels counts as toxic if any is. None where
+    there are no labels of both kinds.
     """
-    tagged = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    fold = F.pmod(F.crc32(F.col("_id").cast("string").cast("binary")), F.lit(held_out_of))
     given = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).where("_id IS NOT NULL AND _toxic IS NOT NULL")
-    given = given.where(fold != 0).groupBy("_id").agg((F.max("_toxic") > 0).cast("int").alias("_toxic"))
+    given = given.where(_fold(F.col("_id"), held_out_of) != 0).groupBy("_id").agg((F.max("_toxic") > 0).cast("int").alias("_toxic"))
     sizes = {r["_toxic"]: r["n"] for r in given.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
-    held = F.coalesce(fold == 0, F.lit(False))
     if len(sizes) < 2:
-        return tagged.select(F.col("_id").alias(id_col), held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast(_SPANS).alias("spans"))
+        return None
     rate = F.when(F.col("_toxic") == 1, min(1.0, most_labelled / sizes[1])).otherwise(min(1.0, 3 * most_labelled / sizes[0]))
     picked = given.where(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 20)) < rate * (1 << 20)).limit(5 * most_labelled)
     # Bounded by most_labelled, so it may be broadcast.
-    train = tagged.join(F.broadcast(picked), "_id").withColumn("_h", F.xxhash64("_text"))
+    train = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(picked), "_id")
     # A text that is there many times teaches once.
-    train = cut(train.dropDuplicates(["_h", "_toxic"]).drop("_h"))
+    train = train.withColumn("_h", F.xxhash64("_text")).dropDuplicates(["_h", "_toxic"]).drop("_h")
+    train = cut(train)
     n = {r["_toxic"]: r["n"] for r in train.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
-    field = train_field(train, n.get(1, 0), n.get(0, 0))
+    return train_field(train, n.get(1, 0), n.get(0, 0)) if len(n) == 2 else None
+
+
+def _fold(id_: Column, of: int) -> Column:
+    return F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(of))
+
+
+def scored(rows: DataFrame, field: Field | None) -> DataFrame:
+    """score and spans for rows of (_row, _text); ``_row`` is carried along, whatever it is."""
+    if field is None:
+        return rows.select("_row", F.lit(0.0).alias("score"), F.array().cast(_SPANS).alias("spans"))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger, word = Tagger(field), re.compile(_WORD)
         for batch in batches:
             found, spans = [], []
             for text in batch.column(1).to_pylist():
+                text = text or ""
                 words = word.findall(text)
                 at, p = tagger.marginals(tagger.scores(words))
                 clean = float(np.prod([1.0 - x for x in p])) if p else 1.0 - tagger.floor * bool(words)
                 found.append(min(1.0, max(0.0, 1.0 - clean)))
                 spans.append(_spans(text, word, [(i, x) for i, x in zip(at, p) if x >= 0.5]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), pa.array(spans, _SPAN_ARROW)], ["_id", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), pa.array(spans, _SPAN_ARROW)], ["_row", "score", "spans"])
+
+    kind = rows.schema["_row"].dataType.simpleString()
+    return rows.select("_row", "_text").mapInArrow(score, f"_row {kind}, score double, spans {_SPANS}")
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of ``docs``: id, held_out, score, predicted, spans.
+
+    The field is trained by ``learn``, which takes the other options. The score
+    is the probability that some cue word is toxic, taking their marginals as
+    independent; without a cue it is the share the field gives a plain word, and
+    0 without any word. ``spans`` has start, end (characters) and p of each run
+    of words more likely toxic than not.
+
+    A null text is empty. Without labels of both kinds every score is 0.
+    Repeated rows are scored one by one. Labels, language, source and the id are
+    no inputs of a score; other columns are ignored.
+    """
+    field = learn(docs, labels, held_out_of=held_out_of, id_col=id_col, text_col=text_col, **options)
+    out = scored(docs.select(F.col(id_col).alias("_row"), F.col(text_col).alias("_text")), field)
+    held = F.coalesce(_fold(F.col("_row"), held_out_of) == 0, F.lit(False))
+    return out.select(F.col("_row").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
 
-    kind = tagged.schema["_id"].dataType.simpleString()
-    out = tagged.mapInArrow(score, f"_id {kind}, score double, spans {_SPANS}")
-    return out.select(F.col("_id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with a score under one half, all columns as they are. Decided row by row, without a join."""
+    field = learn(docs, labels, text_col=text_col, **options)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    return scored(rows, field).where("score < 0.5").select("_row.*")
 
 
 _SPANS = "array<struct<start:int,end:int,p:double>>"
