@@ -33,11 +33,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     if not rounds:
         kind = edges.schema["a"].dataType
         return edges.sparkSession.createDataFrame([], "node long, component long").select(F.col("node").cast(kind), F.col("component").cast(kind))
-    # From the last round back: each name's own name, as far as it goes.
+    # From the last round back: each name's own name, as far as it goes. Later rounds are ever smaller.
     final = rounds.pop()
     while rounds:
         step = rounds.pop().alias("s")
         later = final.alias("f")
         final = step.join(later, F.col("s.to") == F.col("f.node"), "left").select("s.node", F.coalesce("f.to", "s.to").alias("to"))
-        final = cut(final)
-    return final.withColumnRenamed("to", "component")
+    return cut(final.withColumnRenamed("to", "component"))

@@ -175,13 +175,12 @@ def similar_sets(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     band = F.floor(F.ln("n_shingles") / math.log(BAND_RATIO) + 1e-9).cast("int")
     counts = {r["b"]: r["n"] for r in classes.groupBy(band.alias("b")).agg(F.count("*").alias("n")).collect()}
     bands = plan_bands(counts, percent)
-    links = _links(sets, classes, bands, width, percent, kind)
-    parts = connected_components(links)
+    links, parts = _links(sets, classes, bands, width, percent, kind)
     number = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     # One row per class that has a link, and the smallest id of its component.
     least = parts.groupBy("component").agg(F.min("node").alias("component_id"))
     linked = parts.join(least, "component").select(F.col("node").alias("class_id"), "component_id").join(number, "class_id", "left")
-    named = cut(classes.join(cut(linked), "class_id", "left"))
+    named = cut(classes.join(linked, "class_id", "left"))
     out = digests.alias("d").join(named.alias("c"), ["_d1", "_d2", "n_shingles"], "left")
     own = F.when(F.col("d._id").isNotNull(), F.coalesce("component_id", "class_id", "d._id"))
     return out.select(
@@ -221,14 +220,19 @@ def _signature_rows(width: int, bands: list[Band], percent: int):
     return sign
 
 
-def _links(sets: DataFrame, classes: DataFrame, bands: list[Band], width: int, percent: int, kind: str) -> DataFrame:
-    """a, b: links between classes, named by their smallest ids, that connect every component.
+#: Pairs that a last round may compare at once, for each member of an open group.
+PAIRS_A_MEMBER = 4
+
+
+def _links(sets: DataFrame, classes: DataFrame, bands: list[Band], width: int, percent: int, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between classes, named by their smallest ids, and the components (node, component) they make.
 
     Sets that meet in a signature are a group. In a round some heads of each
-    group, one at first and twice as many each time, are compared with the
-    members of other components, and leave the group. Rounds end when no group
-    holds members of two components. So a group of copies costs one comparison
-    a member, and no pair that could connect two components is left out.
+    group, one at first and four times as many each time, are compared with the
+    members of other components, and leave the group. As soon as the pairs left
+    over are few for the members left, all of them are compared. So a group of
+    copies costs one comparison a member, and no pair that could connect two
+    components is left out.
     """
     ids = classes.select(F.col("class_id").alias("_id"))
     signed = sets.where("_id IS NOT NULL").mapInArrow(_signature_rows(width, bands, percent), f"_id {kind}, _sigs array<long>")
@@ -237,32 +241,43 @@ def _links(sets: DataFrame, classes: DataFrame, bands: list[Band], width: int, p
     rows = signed.select(F.explode("_sigs").alias("_sig"), "_id")
     first = rows.groupBy("_sig").agg(F.min("_id").alias("_h"), F.max("_id").alias("_l")).where("_h <> _l").select("_sig", "_h")
     heads = cut(first)
-    groups = cut(rows.join(heads.select("_sig").hint("shuffle_hash"), "_sig"))
+    groups = cut(rows.join(heads.hint("shuffle_hash"), "_sig"))
     sizes = classes.select(F.col("class_id").alias("_id"), "n_shingles")
 
-    spark = sets.sparkSession
-    links = known = cut(spark.createDataFrame([], f"a {kind}, b {kind}"))
-    named = groups.withColumn("_part", F.col("_id"))
-    heads, step = heads.withColumn("_p", F.col("_h")), 1
+    links = known = parts = None
+    pairs = groups.where("_h <> _id").select(F.least("_id", "_h").alias("a"), F.greatest("_id", "_h").alias("b")).distinct()
+    # The head of a group has met all others; a group of two is settled by that.
+    named, step, last = groups.where("_h <> _id").select("_sig", "_id"), 1, False
     while True:
-        met = named.join(heads, "_sig").where("_part <> _p")
+        fresh = _near_sizes(pairs, sizes, percent)
+        fresh = cut(fresh if known is None else fresh.join(known, ["a", "b"], "left_anti"))
+        found = cut(_verified(fresh, sets, width, percent))
+        known = fresh if known is None else known.unionByName(fresh)
+        links = found if links is None else links.unionByName(found)
+        parts = connected_components(links)
+        if last:
+            return links, parts
+        part = parts.select(F.col("node").alias("_id"), F.col("component").alias("_part"))
+        left = cut(named.join(part, "_id", "left").select("_sig", "_id", F.coalesce("_part", "_id").alias("_part")))
+        cells = left.groupBy("_sig", "_part").agg(F.count("*").alias("_n"))
+        n = F.col("_all")
+        open_ = cells.groupBy("_sig").agg(F.sum("_n").alias("_all"), F.sum(F.col("_n") * F.col("_n")).alias("_sq")).where(n * n > F.col("_sq"))
+        open_ = cut(open_.select("_sig", n.alias("_all"), ((n * n - F.col("_sq")) / 2).alias("_pairs")))
+        members, across = open_.agg(F.sum("_all"), F.sum("_pairs")).first()
+        if not across:
+            return links, parts
+        left = cut(left.join(open_.select("_sig"), "_sig"))
+        last = across <= PAIRS_A_MEMBER * members
+        step *= 4
+        if last:
+            heads = left.select("_sig", F.col("_id").alias("_h"), F.col("_part").alias("_p"))
+        else:
+            # Any members will do; least ids by parts of a group need no sorting of it.
+            pick = left.groupBy("_sig", F.pmod(F.xxhash64("_id"), F.lit(step))).agg(F.min(F.struct(F.col("_id").alias("h"), F.col("_part").alias("p"))).alias("_m"))
+            heads = cut(pick.select("_sig", F.col("_m.h").alias("_h"), F.col("_m.p").alias("_p")))
+        met = left.join(heads, "_sig").where("_part <> _p" + (" AND _id < _h" if last else ""))
         pairs = met.select(F.least("_id", "_h").alias("a"), F.greatest("_id", "_h").alias("b")).distinct()
-        fresh = cut(_near_sizes(pairs, sizes, percent).join(known, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            known = cut(known.unionByName(fresh))
-            links = cut(links.unionByName(_verified(fresh, sets, width, percent)))
-        gone = heads.select("_sig", F.col("_h").alias("_id"))
-        parts = connected_components(links).select(F.col("node").alias("_id"), F.col("component").alias("_part"))
-        left = named.drop("_part").join(gone, ["_sig", "_id"], "left_anti").join(parts, "_id", "left")
-        left = cut(left.withColumn("_part", F.coalesce("_part", "_id")))
-        several = left.groupBy("_sig").agg(F.min("_part").alias("_x"), F.max("_part").alias("_y")).where("_x <> _y")
-        named = cut(left.join(cut(several.select("_sig")), "_sig"))
-        if named.isEmpty():
-            return links
-        step *= 2
-        # Any members will do; least ids by parts of a group need no sorting of it.
-        pick = named.groupBy("_sig", F.pmod(F.xxhash64("_id"), F.lit(step))).agg(F.min(F.struct(F.col("_id").alias("h"), F.col("_part").alias("p"))).alias("_m"))
-        heads = cut(pick.select("_sig", F.col("_m.h").alias("_h"), F.col("_m.p").alias("_p")))
+        named = left.join(heads.select("_sig", F.col("_h").alias("_id")), ["_sig", "_id"], "left_anti").select("_sig", "_id")
 
 
 def _near_sizes(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
