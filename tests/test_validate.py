@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.profile import distinct_counts, null_counts
-from tidemark.operators.validate import DataValidationError, Limits, issues, suitability, validate_scoring, validate_training
+from tidemark.operators.validate import Limits, NothingToValidate, issues, suitability, validate_scoring, validate_training
 
 
 @pytest.fixture(scope="module")
@@ -35,22 +35,30 @@ def test_training_report(sample):
     assert report["numeric_stats"]["numeric"]["q50"] == 3.0
 
 
+def test_report_holds_the_issues(sample):
+    listed = {(r["severity"], r["rule"], r["feature"], r["ratio"]) for r in issues(sample).collect()}
+    report = validate_training(sample, "target").first()
+    assert {(i["severity"], i["rule"], i["feature"], i["ratio"]) for i in report["issues"]} == listed
+    assert len(report["validation_errors"]) + len(report["warnings"]) == len(listed)
+
+
 def test_null_target_is_an_error(sample):
     report = validate_training(sample, "numeric").first()
-    assert "Target column contains missing values" in report["validation_errors"]
+    assert report["issues"][0]["rule"] == "missing target" and report["issues"][0]["ratio"] == 0.2
+    assert report["validation_errors"][0].startswith("numeric: missing target")
 
 
 def test_scoring_report(spark):
     df = spark.createDataFrame([(1, "A", 1), (2, "B", 2), (3, "C", 3)], "numeric long, categorical string, extra_col long")
     report = validate_scoring(df, ["numeric", "categorical"]).first()
     assert any("extra_col" in w for w in report["warnings"])
-    assert not any("Missing columns" in e for e in report["validation_errors"])
+    assert not [i for i in report["issues"] if i["rule"] == "absent column"]
 
 
 def test_errors(spark, sample):
-    with pytest.raises(DataValidationError):
+    with pytest.raises(NothingToValidate):
         validate_training(sample.limit(0), "target")
-    with pytest.raises(DataValidationError):
+    with pytest.raises(NothingToValidate):
         validate_training(spark.createDataFrame([(1,), (2,), (3,)], "feature long"), "target")
 
 

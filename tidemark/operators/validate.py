@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, per_column, present, safe_divide, text_columns, union_all
+from ..functions.columns import numeric_columns, per_column, safe_divide, text_columns, union_all
 from .profile import null_counts, distinct_counts, numeric_stats, outlier_counts
 from .select import column_match
 
@@ -17,11 +17,29 @@ STAT_NAMES = ("count", "mean", "std", "min", "q25", "q50", "q75", "max", "outlie
 
 REPORT_SCHEMA = """created_at timestamp, dataset string, total_rows bigint, total_columns int,
 missing_values map<string,bigint>, data_types map<string,string>, unique_values map<string,bigint>,
-numeric_stats map<string,map<string,double>>, validation_errors array<string>, warnings array<string>"""
+numeric_stats map<string,map<string,double>>, validation_errors array<string>, warnings array<string>,
+issues array<struct<severity:string,rule:string,feature:string,ratio:double,limit:double>>"""
 
 
-class DataValidationError(Exception):
-    """The table cannot be validated at all."""
+class NothingToValidate(ValueError):
+    """The table has no rows, or not the column that is to be checked."""
+
+
+@dataclass(frozen=True)
+class Issue:
+    """One broken rule. ``ratio`` is the share of rows that break it, or of distinct values; ``limit`` what is allowed."""
+
+    severity: str
+    rule: str
+    feature: str
+    ratio: float | None = None
+    limit: float | None = None
+
+    def __str__(self) -> str:
+        parts = [f"{self.feature}: {self.rule}"]
+        if self.ratio is not None:
+            parts.append(f"{self.ratio:.4f}" + (f", limit {self.limit:g}" if self.limit is not None else ""))
+        return " = ".join(parts)
 
 
 @dataclass(frozen=True)
@@ -79,41 +97,44 @@ def issues(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return union_all(parts)
 
 
-def _messages(facts: dict, stats: dict, mixed: list, limits: Limits) -> tuple[list[str], list[str]]:
-    errors, warnings = [], []
-    for name, (rows, missing, _) in facts.items():
-        if missing / rows > limits.most_missing:
-            errors.append(f"Column '{name}' has {missing / rows:.2%} missing values (limit {limits.most_missing:.2%})")
-    for name, kinds in mixed:
-        warnings.append(f"Column '{name}' contains mixed data types: {kinds}")
-    for name, (rows, _, distinct) in facts.items():
-        if distinct / rows < limits.least_unique:
-            warnings.append(f"Column '{name}' has very few unique values ({distinct / rows:.2%})")
-        elif distinct / rows > limits.most_unique:
-            warnings.append(f"Column '{name}' has too many unique values ({distinct / rows:.2%})")
-    for name, stat in stats.items():
-        if stat["outliers"]:
-            rows = facts[name][0]
-            warnings.append(f"Column '{name}' has {stat['outliers']:.0f} outliers ({stat['outliers'] / rows:.2%} of values)")
-    return errors, warnings
-
-
-def _report(df: DataFrame, dataset: str, limits: Limits, errors: list[str], warnings: list[str]) -> DataFrame:
-    """One report row. Only per-column aggregates reach the driver."""
+def _broken_rules(facts: dict, outliers: dict, mixed: dict, limits: Limits) -> list[Issue]:
+    """The records of ``issues()``, from facts per column that are on the driver already."""
+    out = []
+    for feature, (rows, missing, distinct) in facts.items():
+        gaps, unique = missing / rows, distinct / rows
+        if gaps > limits.most_missing:
+            out.append(Issue("error", "missing", feature, gaps, limits.most_missing))
+        if unique < limits.least_unique:
+            out.append(Issue("warning", "few unique", feature, unique, limits.least_unique))
+        if unique > limits.most_unique:
+            out.append(Issue("warning", "many unique", feature, unique, limits.most_unique))
+        if feature in mixed:
+            out.append(Issue("warning", "mixed types", feature, mixed[feature]))
+        if outliers.get(feature):
+            out.append(Issue("warning", "outliers", feature, outliers[feature] / rows))
+    return out
+
+
+def _report(df: DataFrame, dataset: str, limits: Limits, given: list[Issue], filled: str | None = None) -> DataFrame:
+    """One report row. Only per-column aggregates reach the driver; ``filled`` must hold no missing value."""
     facts = {r["feature"]: (r["rows"], r["missing"], r["distinct"]) for r in column_facts(df).collect()}
     facts = {c: facts[c] for c in df.columns}
+    if not next(iter(facts.values()))[0]:
+        raise NothingToValidate(f"no rows in {dataset}")
     numbers, texts = numeric_columns(df), text_columns(df)
     stats = {}
     if numbers:
         found = {r["feature"]: r for r in numeric_stats(df, numbers).collect()}
         stats = {c: {s: None if found[c][s] is None else float(found[c][s]) for s in STAT_NAMES} for c in numbers}
-    mixed = []
-    if texts:
-        for r in mixed_types(df, texts).collect():
-            kinds = [k for k in ("nulls", "numbers", "texts") if r[k] > 0]
-            if r["texts"] > 0 and len(kinds) > 1:
-                mixed.append((r["feature"], ", ".join(kinds)))
-    more_errors, more_warnings = _messages(facts, stats, mixed, limits)
+    mixed = {}
+    for r in mixed_types(df, texts).collect() if texts else []:
+        kinds = [r[k] for k in ("nulls", "numbers", "texts")]
+        if r["texts"] > 0 and sum(k > 0 for k in kinds) > 1:
+            mixed[r["feature"]] = r["texts"] / sum(kinds)
+    found_issues = given + _broken_rules(facts, {c: s["outliers"] for c, s in stats.items()}, mixed, limits)
+    if filled and facts[filled][1]:
+        found_issues.insert(0, Issue("error", "missing target", filled, facts[filled][1] / facts[filled][0], 0.0))
+    of = lambda severity: [str(i) for i in found_issues if i.severity == severity]
     row = (
         dt.datetime.now(),
         dataset,
@@ -123,28 +144,25 @@ def _report(df: DataFrame, dataset: str, limits: Limits, errors: list[str], warn
         {f.name: f.dataType.simpleString() for f in df.schema.fields},
         {c: f[2] for c, f in facts.items()},
         stats,
-        more_errors + errors,
-        warnings + more_warnings,
+        of("error"),
+        of("warning"),
+        [(i.severity, i.rule, i.feature, i.ratio, i.limit) for i in found_issues],
     )
     return df.sparkSession.createDataFrame([row], REPORT_SCHEMA)
 
 
 def validate_training(df: DataFrame, target: str, limits: Limits = Limits()) -> DataFrame:
-    if df.isEmpty():
-        raise DataValidationError("Dataset is empty")
+    """The report row of a training table, whose target must be there in every row."""
     if target not in df.columns:
-        raise DataValidationError(f"Target column '{target}' not found")
-    holes = not df.where(present(df, target).isNull()).isEmpty()
-    return _report(df, "training_data", limits, ["Target column contains missing values"] if holes else [], [])
+        raise NothingToValidate(f"no column {target}")
+    return _report(df, "training_data", limits, [], filled=target)
 
 
 def validate_scoring(df: DataFrame, training_columns: Sequence[str], limits: Limits = Limits()) -> DataFrame:
-    if df.isEmpty():
-        raise DataValidationError("Dataset is empty")
+    """The report row of a table to score: columns of training that are absent, columns that training had not."""
     absent, extra = column_match(df, training_columns)
-    errors = [f"Missing columns: {', '.join(absent)}"] if absent else []
-    warnings = [f"Extra columns will be ignored: {', '.join(extra)}"] if extra else []
-    return _report(df, "prediction_data", limits, errors, warnings)
+    given = [Issue("error", "absent column", c) for c in absent] + [Issue("warning", "column not used", c) for c in extra]
+    return _report(df, "prediction_data", limits, given)
 
 
 def suitability(df: DataFrame, features: Sequence[str], gives_probability: bool = True,
