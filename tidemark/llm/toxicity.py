@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, query, table
+from .jaccard import WordHashes, hashed_shingles, words_of
 
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -104,7 +105,7 @@ def _windows(train: DataFrame, cues: dict[str, bool]) -> DataFrame:
     return train.select("_text", "_toxic").mapInArrow(find, "at array<int>, cue array<int>, toxic long")
 
 
-def train_field(train: DataFrame, n_toxic: int, n_clean: int, most_windows: int = 40_000, rounds: int = 120) -> Field:
+def train_field(train: DataFrame, n_toxic: int, n_clean: int, most_windows: int = 10_000, rounds: int = 80) -> Field:
     """Fit the field on at most about ``most_windows`` windows with a cue; those without are counted in full."""
     cues = toxic_cues(train, n_toxic, n_clean)
     windows = cut(_windows(train, cues))
@@ -245,13 +246,25 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, held_ou
     picked = given.where(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 20)) < rate * (1 << 20)).limit(5 * most_labelled)
     # Bounded by most_labelled, so it may be broadcast.
     train = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(picked), "_id")
-    # A text that is there many times teaches once.
-    train = train.withColumn("_h", F.xxhash64("_text")).dropDuplicates(["_h", "_toxic"]).drop("_h")
-    train = cut(train)
+    # Copies of a text, near ones too, teach once: mostly they have the same least hash of three words.
+    train = cut(_with_least_hash(train).dropDuplicates(["_h", "_toxic"]).drop("_h"))
     n = {r["_toxic"]: r["n"] for r in train.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     return train_field(train, n.get(1, 0), n.get(0, 0)) if len(n) == 2 else None
 
 
+def _with_least_hash(train: DataFrame) -> DataFrame:
+    """_text, _toxic and _h, the least hash of three neighbouring words, by which copies are known."""
+
+    def least(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            found = [hashed_shingles(words_of(t), 3, known) for t in batch.column(0).to_pylist()]
+            h = np.array([f[0] if len(f) else 0 for f in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h)], ["_text", "_toxic", "_h"])
+
+    return train.select("_text", "_toxic").mapInArrow(least, "_text string, _toxic int, _h long")
+
+
 def _fold(id_: Column, of: int) -> Column:
     return F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(of))
 
@@ -269,8 +282,7 @@ def scored(rows: DataFrame, field: Field | None) -> DataFrame:
                 text = text or ""
                 words = word.findall(text)
                 at, p = tagger.marginals(tagger.scores(words))
-                clean = float(np.prod([1.0 - x for x in p])) if p else 1.0 - tagger.floor * bool(words)
-                found.append(min(1.0, max(0.0, 1.0 - clean)))
+                found.append(min(1.0, max(p, default=tagger.floor * bool(words))))
                 spans.append(_spans(text, word, [(i, x) for i, x in zip(at, p) if x >= 0.5]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), pa.array(spans, _SPAN_ARROW)], ["_row", "score", "spans"])
 
@@ -282,9 +294,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, id_col: s
     """One row per row of ``docs``: id, held_out, score, predicted, spans.
 
     The field is trained by ``learn``, which takes the other options. The score
-    is the probability that some cue word is toxic, taking their marginals as
-    independent; without a cue it is the share the field gives a plain word, and
-    0 without any word. ``spans`` has start, end (characters) and p of each run
+    is the largest marginal of any word, so it does not rise with a text's
+    length; without a cue it is the share the field gives a plain word, and 0
+    without any word. ``spans`` has start, end (characters) and p of each run
     of words more likely toxic than not.
 
     A null text is empty. Without labels of both kinds every score is 0.
