@@ -72,14 +72,16 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = cut(gone.join(stay, gone[id_col].eqNullSafe(stay[id_col]), "left_semi"))
     if both.isEmpty():
         return join_narrow(docs, gone, [id_col], "left_anti").select(*docs.columns)
-    ids = F.col(f"d.{id_col}").eqNullSafe(F.col(f"o.{id_col}"))
-    rest = docs.alias("d").join(gone.alias("o"), ids, "left_anti")
+    # Whole rows in one column, so that none of their names can clash.
     sha = F.unhex(F.sha2(lowered(F.col(text_col)), 256))
-    again = docs.alias("d").join(both.alias("o"), ids, "left_semi").withColumn("_sha", sha)
-    place = F.row_number().over(W.partitionBy(id_col, "_sha").orderBy(F.lit(0)))
+    rows = docs.select(F.struct(*docs.columns).alias("_all"), F.col(id_col).alias("_id"), sha.alias("_sha"))
+    same = lambda other: F.col("d._id").eqNullSafe(F.col(f"o.{other}"))
+    rest = rows.alias("d").join(gone.alias("o"), same(id_col), "left_anti").select("_all.*")
+    again = rows.alias("d").join(both.alias("o"), same(id_col), "left_semi")
+    place = F.row_number().over(W.partitionBy("_id", "_sha").orderBy(F.lit(0)))
     again = again.withColumn("_place", place).where("_place = 1")
-    again = again.alias("d").join(stay.alias("o"), ids & (F.col("d._sha") == F.col("o._sha")), "left_semi")
-    return rest.select(*docs.columns).unionByName(again.select(*docs.columns))
+    again = again.alias("d").join(stay.alias("o"), same(id_col) & (F.col("d._sha") == F.col("o._sha")), "left_semi")
+    return rest.unionByName(again.select("_all.*"))
 
 
 @query(

@@ -146,23 +146,23 @@ def _edge_documents(placed: DataFrame, drawn: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 7, **options) -> DataFrame:
     """The drawn rows of ``docs``, one per draw, dealt to their shards and shuffled inside each.
 
-    Repeated rows share their draws: with m rows of one id and text, each row
-    stands for the draws of one of them.
+    Repeated rows, of one id and text, share their draws.
     """
     found = mix(docs, shards=shards, seed=seed, **options).where("copies > 0")
-    draws = cut(found.groupBy("doc_id", "_h").agg(F.flatten(F.collect_list("shards")).alias("_shards"), F.count("*").alias("_rows")))
-    text = docs.select("*", F.xxhash64("text").alias("_h"))
-    joined = text.alias("d").join(draws.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d._h") == F.col("m._h")))
+    draws = found.groupBy(F.col("doc_id").alias("_id"), "_h").agg(F.flatten(F.collect_list("shards")).alias("_shards"), F.count("*").alias("_rows"))
+    draws = cut(draws)
+    # Whole rows in one column, so that none of their names can clash.
+    text = docs.select(F.struct(*docs.columns).alias("_all"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"))
+    joined = text.alias("d").join(draws.alias("m"), F.col("d._id").eqNullSafe(F.col("m._id")) & (F.col("d._h") == F.col("m._h")))
     once = joined.select("d.*", "m._shards", "m._rows")
     # Of repeated rows one stands for all draws; other rows need no numbering.
-    many = once.where("_rows > 1")
     if not draws.where("_rows > 1").limit(1).isEmpty():
-        place = F.row_number().over(W.partitionBy("doc_id", "_h").orderBy(F.lit(0)))
-        many = many.withColumn("_p", place).where("_p = 1").drop("_p")
+        place = F.row_number().over(W.partitionBy("_id", "_h").orderBy(F.lit(0)))
+        many = once.where("_rows > 1").withColumn("_p", place).where("_p = 1").drop("_p")
         once = once.where("_rows = 1").unionByName(many)
     rows = once.withColumn("_shard", F.explode("_shards"))
-    rows = rows.repartition(shards, "_shard").sortWithinPartitions("_shard", F.xxhash64("doc_id", "_h", F.lit(seed)))
-    return rows.select(*docs.columns)
+    rows = rows.repartition(shards, "_shard").sortWithinPartitions("_shard", F.xxhash64("_id", "_h", F.lit(seed)))
+    return rows.select("_all.*")
 
 
 @query("op6_mixing")

@@ -246,23 +246,25 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, held_ou
     picked = given.where(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 20)) < rate * (1 << 20)).limit(5 * most_labelled)
     # Bounded by most_labelled, so it may be broadcast.
     train = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(picked), "_id")
-    # Copies of a text, near ones too, teach once: mostly they have the same least hash of three words.
-    train = cut(_with_least_hash(train).dropDuplicates(["_h", "_toxic"]).drop("_h"))
+    # Copies of a text, near ones too, teach once: mostly they have the same least hashes.
+    train = cut(_with_least_hashes(train).dropDuplicates(["_h", "_toxic"]).drop("_h"))
     n = {r["_toxic"]: r["n"] for r in train.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     return train_field(train, n.get(1, 0), n.get(0, 0)) if len(n) == 2 else None
 
 
-def _with_least_hash(train: DataFrame) -> DataFrame:
-    """_text, _toxic and _h, the least hash of three neighbouring words, by which copies are known."""
+def _with_least_hashes(train: DataFrame) -> DataFrame:
+    """_text, _toxic and _h, of three hash functions the least values of three neighbouring words, by which copies are known."""
+
+    factors = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
     def least(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             found = [hashed_shingles(words_of(t), 3, known) for t in batch.column(0).to_pylist()]
-            h = np.array([f[0] if len(f) else 0 for f in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h)], ["_text", "_toxic", "_h"])
+            h = [b"".join((f * factor).min().tobytes() for factor in factors) if len(f) else b"" for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h, pa.binary())], ["_text", "_toxic", "_h"])
 
-    return train.select("_text", "_toxic").mapInArrow(least, "_text string, _toxic int, _h long")
+    return train.select("_text", "_toxic").mapInArrow(least, "_text string, _toxic int, _h binary")
 
 
 def _fold(id_: Column, of: int) -> Column:
