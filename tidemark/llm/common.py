@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scratch import cut
+from ..functions.scratch import cut, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,6 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and go on from it.
+
+    For loops: unlike a checkpoint, what is read back carries no constraints
+    of the plan before, whose number would grow from round to round.
+    """
+    path = scratch_path(df.sparkSession, "rounds")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lowered(text: Column) -> Column:
     """The text with A-Z in lower case and every other character as it is; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
@@ -55,4 +66,4 @@ def join_narrow(df: DataFrame, narrow: DataFrame, on: list[str], how: str) -> Da
     return df.join(F.broadcast(narrow) if fits_broadcast(narrow) else narrow, on, how)
 
 
-__all__ = ["QUERIES", "SQL", "SPACE", "cut", "fits_broadcast", "join_narrow", "lowered", "query", "table"]
+__all__ = ["QUERIES", "SQL", "SPACE", "cut", "fits_broadcast", "join_narrow", "lowered", "query", "stored", "table"]

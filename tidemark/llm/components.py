@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -19,17 +19,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     and loops link nothing.
     """
     ends = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
-    live = cut(ends.where("a <> b").distinct())
+    live = stored(ends.where("a <> b").distinct())
     rounds: list[DataFrame] = []
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
         first = both.groupBy("a").agg(F.min(order("b")).alias("_m")).select("a", F.least("_m", order("a"))["n"].alias("to"))
-        first = cut(first)
+        first = stored(first)
         rounds.append(first.withColumnRenamed("a", "node"))
         left = live.join(first.select("a", F.col("to").alias("x")), "a").select("x", "b")
         right = left.join(first.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
-        live = cut(right.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        live = stored(right.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if not rounds:
         kind = edges.schema["a"].dataType
         return edges.sparkSession.createDataFrame([], "node long, component long").select(F.col("node").cast(kind), F.col("component").cast(kind))
@@ -39,4 +39,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         step = rounds.pop().alias("s")
         later = final.alias("f")
         final = step.join(later, F.col("s.to") == F.col("f.node"), "left").select("s.node", F.coalesce("f.to", "s.to").alias("to"))
-    return cut(final.withColumnRenamed("to", "component"))
+    return stored(final.withColumnRenamed("to", "component"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fits_broadcast, join_narrow, query, table
+from .common import fits_broadcast, join_narrow, query, stored, table
 from .components import connected_components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -168,9 +168,9 @@ def similar_sets(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     """
     sets = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = sets.schema["_id"].dataType.simpleString()
-    digests = cut(sets.mapInArrow(_digest_rows(width), f"_id {kind}, n_shingles long, _d1 long, _d2 long"))
+    digests = stored(sets.mapInArrow(_digest_rows(width), f"_id {kind}, n_shingles long, _d1 long, _d2 long"))
     classes = digests.where("n_shingles > 0 AND _id IS NOT NULL").groupBy("_d1", "_d2", "n_shingles").agg(F.min("_id").alias("class_id"))
-    classes = cut(classes)
+    classes = stored(classes)
 
     band = F.floor(F.ln("n_shingles") / math.log(BAND_RATIO) + 1e-9).cast("int")
     counts = {r["b"]: r["n"] for r in classes.groupBy(band.alias("b")).agg(F.count("*").alias("n")).collect()}
@@ -180,7 +180,7 @@ def similar_sets(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     # One row per class that has a link, and the smallest id of its component.
     least = parts.groupBy("component").agg(F.min("node").alias("component_id"))
     linked = parts.join(least, "component").select(F.col("node").alias("class_id"), "component_id").join(number, "class_id", "left")
-    named = cut(classes.join(linked, "class_id", "left"))
+    named = stored(classes.join(linked, "class_id", "left"))
     out = digests.alias("d").join(named.alias("c"), ["_d1", "_d2", "n_shingles"], "left")
     own = F.when(F.col("d._id").isNotNull(), F.coalesce("component_id", "class_id", "d._id"))
     return out.select(
@@ -237,11 +237,11 @@ def _links(sets: DataFrame, classes: DataFrame, bands: list[Band], width: int, p
     ids = classes.select(F.col("class_id").alias("_id"))
     signed = sets.where("_id IS NOT NULL").mapInArrow(_signature_rows(width, bands, percent), f"_id {kind}, _sigs array<long>")
     # One list per class; an id that is repeated may have several, which does no harm.
-    signed = cut(join_narrow(signed, ids, ["_id"], "left_semi"))
+    signed = stored(join_narrow(signed, ids, ["_id"], "left_semi"))
     rows = signed.select(F.explode("_sigs").alias("_sig"), "_id")
     first = rows.groupBy("_sig").agg(F.min("_id").alias("_h"), F.max("_id").alias("_l")).where("_h <> _l").select("_sig", "_h")
-    heads = cut(first)
-    groups = cut(rows.join(heads.hint("shuffle_hash"), "_sig"))
+    heads = stored(first)
+    groups = stored(rows.join(heads.hint("shuffle_hash"), "_sig"))
     sizes = classes.select(F.col("class_id").alias("_id"), "n_shingles")
 
     links = known = parts = None
@@ -250,23 +250,23 @@ def _links(sets: DataFrame, classes: DataFrame, bands: list[Band], width: int, p
     named, step, last = groups.where("_h <> _id").select("_sig", "_id"), 1, False
     while True:
         fresh = _near_sizes(pairs, sizes, percent)
-        fresh = cut(fresh if known is None else fresh.join(known, ["a", "b"], "left_anti"))
-        found = cut(_verified(fresh, sets, width, percent))
+        fresh = stored(fresh if known is None else fresh.join(known, ["a", "b"], "left_anti"))
+        found = stored(_verified(fresh, sets, width, percent))
         known = fresh if known is None else known.unionByName(fresh)
         links = found if links is None else links.unionByName(found)
         parts = connected_components(links)
         if last:
             return links, parts
         part = parts.select(F.col("node").alias("_id"), F.col("component").alias("_part"))
-        left = cut(named.join(part, "_id", "left").select("_sig", "_id", F.coalesce("_part", "_id").alias("_part")))
+        left = stored(named.join(part, "_id", "left").select("_sig", "_id", F.coalesce("_part", "_id").alias("_part")))
         cells = left.groupBy("_sig", "_part").agg(F.count("*").alias("_n"))
         n = F.col("_all")
         open_ = cells.groupBy("_sig").agg(F.sum("_n").alias("_all"), F.sum(F.col("_n") * F.col("_n")).alias("_sq")).where(n * n > F.col("_sq"))
-        open_ = cut(open_.select("_sig", n.alias("_all"), ((n * n - F.col("_sq")) / 2).alias("_pairs")))
+        open_ = stored(open_.select("_sig", n.alias("_all"), ((n * n - F.col("_sq")) / 2).alias("_pairs")))
         members, across = open_.agg(F.sum("_all"), F.sum("_pairs")).first()
         if not across:
             return links, parts
-        left = cut(left.join(open_.select("_sig"), "_sig"))
+        left = stored(left.join(open_.select("_sig"), "_sig"))
         last = across <= PAIRS_A_MEMBER * members
         step *= 4
         if last:
@@ -274,7 +274,7 @@ def _links(sets: DataFrame, classes: DataFrame, bands: list[Band], width: int, p
         else:
             # Any members will do; least ids by parts of a group need no sorting of it.
             pick = left.groupBy("_sig", F.pmod(F.xxhash64("_id"), F.lit(step))).agg(F.min(F.struct(F.col("_id").alias("h"), F.col("_part").alias("p"))).alias("_m"))
-            heads = cut(pick.select("_sig", F.col("_m.h").alias("_h"), F.col("_m.p").alias("_p")))
+            heads = stored(pick.select("_sig", F.col("_m.h").alias("_h"), F.col("_m.p").alias("_p")))
         met = left.join(heads, "_sig").where("_part <> _p" + (" AND _id < _h" if last else ""))
         pairs = met.select(F.least("_id", "_h").alias("a"), F.greatest("_id", "_h").alias("b")).distinct()
         named = left.join(heads.select("_sig", F.col("_h").alias("_id")), ["_sig", "_id"], "left_anti").select("_sig", "_id")
@@ -289,10 +289,10 @@ def _near_sizes(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs that link, decided on the words themselves."""
-    involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+    involved = stored(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
     texts = sets.where("_id IS NOT NULL")
     texts = texts.join(F.broadcast(involved), "_id", "left_semi") if fits_broadcast(involved) else texts.join(involved, "_id", "left_semi")
-    texts = cut(texts)
+    texts = stored(texts)
     kinds = {c: pairs.schema[c].dataType.simpleString() for c in "ab"}
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +320,7 @@ def drop_near_copies(docs: DataFrame, width: int = 3, percent: int = 90, id_col:
     Rows without an id or words stay. Rows that share an id stay or go together.
     """
     found = similar_sets(docs, width, percent, id_col, text_col)
-    gone = cut(found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct())
+    gone = stored(found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct())
     return join_narrow(docs, gone, [id_col], "left_anti").select(*docs.columns)
 
 
