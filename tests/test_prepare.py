@@ -107,6 +107,20 @@ def test_too_many_values_are_refused(spark):
         R.IndicatorEncoder(["c"]).fit(df)
 
 
+def test_many_values_are_encoded(spark, tmp_path):
+    df = spark.range(100_500).select("id", F.format_string("v%07d", "id").alias("c"))
+    model = R.LabelEncoder(["c"]).fit(df)
+    assert model.transform(df).where("c <> id").count() == 0
+    model.save(str(tmp_path / "codes"))
+    new = spark.createDataFrame([(1, "v0000003"), (2, "other")], "id long, c string")
+    assert [r["c"] for r in R.LabelEncoderModel.load(str(tmp_path / "codes")).transform(new).orderBy("id").collect()] == [3, 100_500]
+
+
+def test_settings_are_saved(tmp_path):
+    R.OrdinalEncoder({"c": ["a"]}, unknown="null").save(str(tmp_path / "o"))
+    assert R.OrdinalEncoder.load(str(tmp_path / "o")).getOrDefault("unknown") == "null"
+
+
 def test_pipelines_are_saved(sample, fresh, tmp_path):
     stages = [R.MissingFiller("median"), R.OutlierHandler(), R.LabelEncoder(), R.Scaler("robust", exclude=["target"]), R.FloatCaster()]
     model = Pipeline(stages=stages).fit(sample)

@@ -88,13 +88,13 @@ def running_by_value(
 ) -> DataFrame:
     """``running`` along a numeric column, one row per keys and value.
 
-    A result estimated to fit one bucket runs as one window per key.
-    Otherwise the rows are written once, sketched and bucketed.
+    The rows are written once and counted; they are then sketched and bucketed,
+    unless they were found to fit one bucket.
     """
-    buckets = bucket_count(df) if buckets is None else buckets
-    if buckets <= 1:
-        return running(df, keys, [F.col(value)], sums)
     held = cut(df)
+    buckets = bucket_count(held.count()) if buckets is None else buckets
+    if buckets <= 1:
+        return running(held, keys, [F.col(value)], sums)
     bucketed = add_value_buckets(held, value, buckets)
     return running(bucketed, keys, [F.col(value)], sums, bucket=BUCKET).drop(BUCKET)
 
@@ -106,11 +106,12 @@ def number_by_time(
     seconds = F.col(ts).cast("timestamp").cast("double")
     timed = df.withColumn("_t", -seconds if newest_first else seconds).withColumn("_one", F.lit(1).cast("long"))
     order = [F.col("_t"), F.desc(tie) if newest_first else F.col(tie)]
-    buckets = bucket_count(df) if buckets is None else buckets
+    held = cut(timed)
+    buckets = bucket_count(held.count()) if buckets is None else buckets
     if buckets <= 1:
-        out = running(timed, keys, order, ["_one"])
+        out = running(held, keys, order, ["_one"])
     else:
-        out = running(add_value_buckets(cut(timed), "_t", buckets), keys, order, ["_one"], bucket=BUCKET)
+        out = running(add_value_buckets(held, "_t", buckets), keys, order, ["_one"], bucket=BUCKET)
     return out.select(*df.columns, F.col("upto__one").alias("position"))
 
 
@@ -120,10 +121,9 @@ def hash_order(*columns: str | Column, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
-def _hash_range(df: DataFrame) -> Column:
-    """The leading hex digits that cut the hash into 4096 ranges, or a million for very large tables."""
-    digits = 3 if bucket_count(df) <= 4096 else 5
-    return F.substring("_h", 1, digits)
+def _hash_range() -> Column:
+    """The leading hex digits that cut the hash into 65536 ranges."""
+    return F.substring("_h", 1, 4)
 
 
 def number_by_hash(df: DataFrame, keys: Sequence[str], id_col: str, seed: int = 42) -> DataFrame:
@@ -133,7 +133,7 @@ def number_by_hash(df: DataFrame, keys: Sequence[str], id_col: str, seed: int =
     key is spread over as many tasks.
     """
     tagged = df.withColumn("_h", hash_order(id_col, seed=seed)).withColumn("_one", F.lit(1).cast("long"))
-    tagged = tagged.withColumn(BUCKET, _hash_range(df))
+    tagged = tagged.withColumn(BUCKET, _hash_range())
     out = running(tagged, keys, [F.col("_h"), F.col(id_col)], ["_one"], bucket=BUCKET)
     return out.withColumnsRenamed({"upto__one": "position", "total__one": "group_size"}).drop("_h", "_one", BUCKET)
 
@@ -145,7 +145,7 @@ def first_by_hash(df: DataFrame, keys: Sequence[str], id_col: str, n: int, seed:
     filter; only the rows of the one range where the n-th row falls are ranked.
     """
     tagged = df.withColumns({"_h": hash_order(id_col, seed=seed), KEY: F.struct(*keys)})
-    tagged = tagged.withColumn(BUCKET, _hash_range(df))
+    tagged = tagged.withColumn(BUCKET, _hash_range())
     # One row per key and range.
     cells = tagged.groupBy(KEY, BUCKET).agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(W.partitionBy(KEY).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, W.currentRow))
@@ -160,17 +160,14 @@ def first_by_hash(df: DataFrame, keys: Sequence[str], id_col: str, n: int, seed:
     return whole.select(*df.columns).unionByName(part.select(*df.columns))
 
 
-def dense_codes(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
+def dense_codes(df: DataFrame, column: str) -> DataFrame:
     """``column``, code: distinct values numbered 0.. in sorted order.
 
-    Any sortable type. A small set is numbered by one window. A large one is
-    range-sorted over all tasks and written; a row's number is its place in
-    its partition plus the sizes of the partitions before it.
+    Any sortable type. The values are range-sorted over all tasks and written; a
+    value's number is its place in its partition plus the sizes of the
+    partitions before it.
     """
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    if (bucket_count(values) if buckets is None else buckets) <= 1:
-        number = F.row_number().over(W.orderBy(column)) - 1
-        return values.select(column, number.cast("long").alias("code"))
     placed = cut(values.orderBy(column).select(column, F.monotonically_increasing_id().alias("_place")))
     part = F.shiftright(F.col("_place"), 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))

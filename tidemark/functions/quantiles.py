@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from .columns import PASS_WIDTH, doubles, long_numbers, long_text, named, per_column, union_all
 from .ordered import running_by_value
-from .scratch import is_small
 
 
 def quantiles(
@@ -22,22 +21,16 @@ def quantiles(
 ) -> DataFrame:
     """feature, n, q array<double>: exact linear-interpolated quantiles per column.
 
-    Spark's ``percentile`` keeps every distinct value of a column in one task,
-    so it only serves tables checked to be small. For larger ones a sketch
-    brackets each quantile between two values. Where they are equal that is the
-    answer; elsewhere the rows below the bracket are counted and only the few
-    rows inside it are shuffled and ranked. ``buckets`` forces this form.
+    Spark's ``percentile`` keeps every distinct value of a column in one task.
+    Here a sketch brackets each quantile between two values. Where they are
+    equal that is the answer; elsewhere the rows below the bracket are counted
+    and only the few rows inside it are shuffled and ranked.
     """
     parts = []
     for start in range(0, len(columns), PASS_WIDTH):
         chunk = columns[start : start + PASS_WIDTH]
         slim = doubles(df, chunk)
-        if buckets is None and is_small(slim):
-            points = F.array(*[F.lit(float(p)) for p in probs])
-            measures = {"n": F.count, "q": lambda c: F.percentile(c, points)}
-            parts.append(per_column(slim, chunk, measures))
-        else:
-            parts.append(_bracketed(slim, chunk, probs, buckets, accuracy))
+        parts.append(_bracketed(slim, chunk, probs, buckets, accuracy))
     return union_all(parts)
 
 

@@ -1,4 +1,4 @@
-"""Cutting lineage, and size checks made before a plan is chosen."""
+"""Cutting lineage, and counts made before a plan is chosen."""
 
 from __future__ import annotations
 
@@ -8,13 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Below this estimated size one task may hold all values of a table.
-SMALL_BYTES = 1024 * 1024
-# Two default read splits; a table below it may be scanned by one task.
-SPREAD_BYTES = 256 * 1024 * 1024
-# Aimed-at size of one ordered bucket, and the most buckets ever made.
-BUCKET_BYTES = 64 * 1024 * 1024
-MOST_BUCKETS = 32768
+# Aimed-at rows of one ordered bucket.
+BUCKET_ROWS = 500_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -48,35 +43,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the result; runs no job.
+def spread(df: DataFrame, parts: int = 64) -> DataFrame:
+    """Deal a table over ``parts`` tasks, before work that is heavy per row on a table read by few tasks.
 
-    It never falls below the real size for scans, projections, filters and
-    aggregates, and overshoots for joins, so it is safe as an upper check.
+    The number is the caller's: what a model learns must not hang on the cores
+    of a cluster or on a guess of the table's size.
     """
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    return df.repartition(parts)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a table too small to fill the cores over all of them, before work that is heavy per row.
-
-    A table below two read splits is scanned by one or two tasks. Larger ones
-    are left as they are: their scan already has tasks enough, and moving them
-    would cost more than it gains.
-    """
-    if estimated_bytes(df) >= SPREAD_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    return estimated_bytes(df) <= (SMALL_BYTES if limit is None else limit)
-
-
-def bucket_count(df: DataFrame) -> int:
-    """How many ordered buckets keep each one near ``BUCKET_BYTES``."""
-    return min(MOST_BUCKETS, -(-estimated_bytes(df) // BUCKET_BYTES)) or 1
+def bucket_count(rows: int) -> int:
+    """How many ordered buckets keep each one near ``BUCKET_ROWS`` of a table whose rows were counted."""
+    return -(-rows // BUCKET_ROWS) or 1
 
 
 # A lookup counted to hold at most this many rows is broadcast.

@@ -202,12 +202,13 @@ FAMILIES: dict[str, Family] = {
 }
 
 # Families tried when none are named; the others are opt-in.
+# Neighbour models compare all rows with all, so they are searched only where the caller names them.
 DEFAULT_FAMILIES = {
     "classification": [
-        "RandomForestClassifier", "GradientBoostingClassifier", "LogisticRegression", "LinearSVC", "KNeighborsClassifier", "GaussianNB",
+        "RandomForestClassifier", "GradientBoostingClassifier", "LogisticRegression", "LinearSVC", "GaussianNB",
     ],
     "regression": [
-        "RandomForestRegressor", "GradientBoostingRegressor", "LinearRegression", "Ridge", "Lasso", "LinearSVR", "KNeighborsRegressor",
+        "RandomForestRegressor", "GradientBoostingRegressor", "LinearRegression", "Ridge", "Lasso", "LinearSVR",
     ],
     "clustering": ["KMeans", "GaussianMixture", "BisectingKMeans"],
 }

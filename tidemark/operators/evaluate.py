@@ -13,9 +13,6 @@ from pyspark.sql import types as T
 from ..functions.columns import safe_divide, union_all
 from ..functions.ordered import running_by_value
 
-# Classes up to which the confusion matrix is filled out with zero cells.
-MOST_CLASSES = 1000
-
 
 def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """label, prediction, n: the only shuffle of the scored rows, combined on the map side."""
@@ -23,14 +20,14 @@ def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "pre
     return pair.where("label IS NOT NULL").groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
-def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """label, prediction, n over all classes seen in either column, zero cells included."""
+def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction", classes: Sequence | None = None) -> DataFrame:
+    """label, prediction, n of every pair that occurs; with ``classes``, of all their pairs, zero cells included."""
     counts = confusion_counts(df, label, prediction)
-    seen = counts.select(F.explode(F.array("label", "prediction")).alias("c")).where("c IS NOT NULL").distinct()
-    classes = [r["c"] for r in seen.orderBy("c").limit(MOST_CLASSES + 1).collect()]
-    if len(classes) > MOST_CLASSES:
+    if classes is None:
         return counts
-    grid = seen.select(F.col("c").alias("label"), F.explode(F.array(*map(F.lit, classes))).alias("prediction"))
+    # The caller holds the classes, so their pairs are made from literals.
+    each = lambda name: F.explode(F.array(*[F.lit(c).cast(df.schema[name].dataType) for c in classes]))
+    grid = df.sparkSession.range(1).select(each(label).alias("label")).select("label", each(prediction).alias("prediction"))
     return grid.join(counts, ["label", "prediction"], "left").select("label", "prediction", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -16,7 +16,6 @@ from .drift import drift_detected, ks_drift
 from .evaluate import classification_metrics, regression_columns
 
 # The optimizer limits a ranked window before its shuffle up to this rank.
-PUSHED_RANK = 1000
 
 # A metric of the user's own: (label, prediction) -> aggregate expression.
 Metric = Callable[[Column, Column], Column]
@@ -130,9 +129,10 @@ def series_changes(df: DataFrame, keys: Sequence[str], ts: str, value: str, tie:
     """
     seconds = F.col(ts).cast("timestamp").cast("double")
     timed = df.withColumn("_t", seconds)
-    buckets = bucket_count(df) if buckets is None else buckets
+    timed = cut(timed)
+    buckets = bucket_count(timed.count()) if buckets is None else buckets
     if buckets > 1:
-        timed = add_value_buckets(cut(timed), "_t", buckets)
+        timed = add_value_buckets(timed, "_t", buckets)
     else:
         timed = timed.withColumn(BUCKET, F.lit(0.0))
     timed = timed.withColumn(KEY, F.struct(*keys))
@@ -193,18 +193,32 @@ def prediction_log_summary(df: DataFrame, ok: str = "ok") -> DataFrame:
 
 
 def last_rows(df: DataFrame, keys: Sequence[str], ts: str, tie: str, n: int = 1000) -> DataFrame:
-    """The n newest rows of every series.
+    """The n newest rows of every series, without moving the log.
 
-    Up to ``PUSHED_RANK`` the optimizer keeps n rows per series and task before
-    the shuffle. Above it rows are numbered over time ranges, so that no series
-    is sorted in one task.
+    Rows are counted by series and time range. Ranges that are kept whole are a
+    filter; only the rows of the one range where the n-th newest falls are
+    ranked, so neither n nor a long series decides how much one task sorts.
     """
-    newest = [F.desc(ts), F.desc(tie)]
-    if n <= PUSHED_RANK:
-        place = F.row_number().over(W.partitionBy(*keys).orderBy(*newest))
-        return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
-    numbered = number_by_time(df, keys, ts, tie, newest_first=True)
-    return numbered.where(F.col("position") <= n).select(*df.columns)
+    seconds = F.col(ts).cast("timestamp").cast("double")
+    # Rows without a time are the oldest, in a range of their own.
+    timed = df.withColumns({"_t": seconds, KEY: F.struct(*keys)})
+    low, high, rows = timed.agg(F.min("_t"), F.max("_t"), F.count("*")).first()
+    if not rows:
+        return df
+    ranges = 64 * bucket_count(rows)
+    width = ((high - low) / ranges if low is not None else 0.0) or 1.0
+    timed = timed.withColumn(BUCKET, F.coalesce(F.floor((F.lit(high) - F.col("_t")) / width), F.lit(1 << 40)).cast("long"))
+    cells = timed.groupBy(KEY, BUCKET).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy(KEY).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, W.currentRow))
+    newest = cells.select(KEY, BUCKET, "_n", upto.alias("_upto")).where(F.col("_upto") - F.col("_n") < n)
+    edge = newest.groupBy(KEY).agg(
+        F.max(BUCKET).alias("_last"), F.max_by(F.lit(n) - (F.col("_upto") - F.col("_n")), BUCKET).alias("_left")
+    )
+    marked = join_lookup(timed, edge, [KEY])
+    whole = marked.where(F.col(BUCKET) < F.col("_last"))
+    place = F.row_number().over(W.partitionBy(KEY).orderBy(F.desc(ts), F.desc(tie)))
+    part = marked.where(F.col(BUCKET) == F.col("_last")).withColumn("_p", place).where(F.col("_p") <= F.col("_left"))
+    return whole.select(*df.columns).unionByName(part.select(*df.columns))
 
 
 def attach_labels(predictions: DataFrame, labels: DataFrame, on: Sequence[str]) -> DataFrame:

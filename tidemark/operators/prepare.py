@@ -13,20 +13,18 @@ from collections.abc import Sequence
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLWritable
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import as_double, doubles, numeric_columns, per_column, present, text_columns
+from ..functions.columns import as_double, doubles, long_text, named, numeric_columns, per_column, present, text_columns
 from ..functions.ordered import dense_codes
 from ..functions.quantiles import modes, quantiles
+from ..functions.scratch import cut
 from .profile import fence_map, null_counts
 
 MISSING = "MISSING"
-# Distinct values a saved code table or an indicator projection may hold.
-MOST_CODES = 100_000
-MOST_INDICATORS = 200
 
 
 def _param(name: str, doc: str) -> Param:
@@ -240,10 +238,18 @@ def encode_by_table(df: DataFrame, column: str, codes: DataFrame, output: str |
     return joined.select(*names, *([code.alias(output)] if output else []))
 
 
-def code_table(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
+def code_table(df: DataFrame, column: str) -> DataFrame:
     """value, code: codes 0.. in sorted order of the text, nulls as their own text. Any number of values."""
-    texts = df.select(F.coalesce(present(df, column).cast("string"), F.lit(MISSING)).alias("value"))
-    return dense_codes(texts, "value", buckets)
+    return code_tables(df, [column]).select("value", "code")
+
+
+def code_tables(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """feature, value, code: the code tables of several columns, numbered in one sort."""
+    texts = named(long_text(df, columns), columns).select("feature", F.coalesce("value", F.lit(MISSING)).alias("value"))
+    placed = dense_codes(texts.select(F.struct("feature", "value").alias("cell")), "cell")
+    # One row per column: where its codes begin.
+    starts = placed.groupBy(F.col("cell.feature").alias("feature")).agg(F.min("code").alias("_start"))
+    return placed.select("cell.*", "code").join(F.broadcast(starts), "feature").select("feature", "value", (F.col("code") - F.col("_start")).alias("code"))
 
 
 def _known_values(df: DataFrame, column: str, most: int, advice: str) -> list[str]:
@@ -255,8 +261,23 @@ def _known_values(df: DataFrame, column: str, most: int, advice: str) -> list[st
     return sorted((r["value"] for r in rows), key=lambda v: v.encode())
 
 
+def _fit_codes(df: DataFrame, columns: Sequence[str], unknown: str, orders: dict | None = None) -> "LabelEncoderModel":
+    """The code table is written once; only its size per column comes to the driver."""
+    orders = orders or {}
+    spark = df.sparkSession
+    given = [(c, v, i) for c, order in orders.items() for i, v in enumerate(order)]
+    codes = spark.createDataFrame(given, "feature string, value string, code long")
+    if columns:
+        codes = codes.unionByName(code_tables(df, columns))
+    codes = cut(codes)
+    sizes = codes.groupBy("feature").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 16).alias("bytes")).collect()
+    found = {r["feature"]: {"n": r["n"], "bytes": r["bytes"]} for r in sizes}
+    learned = {c: found.get(c, {"n": 0, "bytes": 0}) for c in [*orders, *columns]}
+    return LabelEncoderModel({"columns": learned, "unknown": unknown}, codes)
+
+
 class LabelEncoder(Estimator, _Stage):
-    """Text to code 0..k-1 in sorted order. New values get k (keep), null, or an error."""
+    """Text to code 0..k-1 in sorted order, for any number of values. New values get k (keep), null, or an error."""
 
     columns = _param("columns", "text columns, all when absent")
     unknown = _param("unknown", "keep, null or error")
@@ -271,63 +292,92 @@ class LabelEncoder(Estimator, _Stage):
     def _fit(self, df: DataFrame) -> "LabelEncoderModel":
         skip = set(self._option("exclude"))
         columns = [c for c in self._option("columns") or text_columns(df) if c not in skip]
-        advice = "use code_table and encode_by_table"
-        return LabelEncoderModel(
-            {"values": {c: _known_values(df, c, MOST_CODES, advice) for c in columns}, "unknown": self._option("unknown")}
-        )
+        return _fit_codes(df, columns, self._option("unknown"))
 
 
 class OrdinalEncoder(Estimator, _Stage):
     """Label codes in a given order of values; columns without an order use sorted order."""
 
     orders = _param("orders", "column -> ordered values")
+    unknown = _param("unknown", "keep, null or error")
 
     def __init__(self, orders=None, unknown="keep"):
         super().__init__()
-        self._set(orders=orders or {})
-        self._unknown = unknown
+        self._set(orders=orders or {}, unknown=unknown)
 
     def _fit(self, df: DataFrame) -> "LabelEncoderModel":
         given = self._option("orders")
-        rest = [c for c in text_columns(df) if c not in given]
-        learned = {c: _known_values(df, c, MOST_CODES, "give an order") for c in rest}
-        return LabelEncoderModel({"values": {**learned, **given}, "unknown": self._unknown})
+        return _fit_codes(df, [c for c in text_columns(df) if c not in given], self._option("unknown"), given)
+
+
+class LabelEncoderModel(_Learned, MLWritable):
+    """Codes by a table (feature, value, code), which is saved as Parquet beside the parameters."""
+
+    #: A column's code table of at most so many bytes, as counted by fit, is broadcast.
+    BROADCAST_BYTES = 8 * 1024 * 1024
 
+    def __init__(self, learned: dict | None = None, codes: DataFrame | None = None):
+        super().__init__(learned)
+        self.codes = codes
 
-class LabelEncoderModel(_Learned):
     def _transform(self, df: DataFrame) -> DataFrame:
         order = df.columns
-        for c, known in self.values["values"].items():
+        for c, size in self.values["columns"].items():
             if c not in df.columns:
                 continue
-            codes = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(known)], "value string, code long")
-            fallback = len(known) if self.values["unknown"] == "keep" else None
-            # At most MOST_CODES rows, checked at fit.
-            df = encode_by_table(df, c, codes, unknown=fallback, broadcast=True)
+            codes = self.codes.where(F.col("feature") == c).select("value", "code")
+            fallback = size["n"] if self.values["unknown"] == "keep" else None
+            df = encode_by_table(df, c, codes, unknown=fallback, broadcast=size["bytes"] <= self.BROADCAST_BYTES)
             if self.values["unknown"] == "error":
                 stop = F.raise_error(F.lit(f"value of {c} not seen in training")).cast("long")
                 df = df.withColumn(c, F.coalesce(F.col(c), stop))
         return df.select(*order)
 
-    def labels(self, column: str) -> list[str]:
-        return self.values["values"][column]
+    def labels(self, column: str) -> DataFrame:
+        """value, code of one column."""
+        return self.codes.where(F.col("feature") == column).select("value", "code")
+
+    def write(self) -> "_CodesWriter":
+        return _CodesWriter(self)
+
+    @classmethod
+    def read(cls) -> "_CodesReader":
+        return _CodesReader(cls)
+
+
+class _CodesWriter(DefaultParamsWriter):
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        self.instance.codes.write.mode("overwrite").parquet(f"{path}/codes")
+
+
+class _CodesReader(DefaultParamsReader):
+    def load(self, path: str) -> LabelEncoderModel:
+        model = super().load(path)
+        model.codes = SparkSession.active().read.parquet(f"{path}/codes")
+        return model
 
 
 class IndicatorEncoder(Estimator, _Stage):
-    """Replace a text column by one 0/1 column per value seen in training."""
+    """Replace a text column by one 0/1 column per value seen in training.
+
+    Each value is a column of the result, so the caller says how many are
+    bearable; ``indicator_vector`` has no such bound.
+    """
 
     columns = _param("columns", "text columns, all when absent")
     exclude = _param("exclude", "columns left as they are")
+    mostValues = _param("mostValues", "values of one column, as many columns of the result, beyond which fit fails")
 
-    def __init__(self, columns=None, exclude=()):
+    def __init__(self, columns=None, exclude=(), mostValues=200):
         super().__init__()
-        self._set(columns=columns, exclude=list(exclude))
+        self._set(columns=columns, exclude=list(exclude), mostValues=mostValues)
 
     def _fit(self, df: DataFrame) -> "IndicatorEncoderModel":
         skip = set(self._option("exclude"))
         columns = [c for c in self._option("columns") or text_columns(df) if c not in skip]
-        advice = "use indicator_vector"
-        return IndicatorEncoderModel({"values": {c: _known_values(df, c, MOST_INDICATORS, advice) for c in columns}})
+        advice = "raise mostValues or use indicator_vector"
+        return IndicatorEncoderModel({"values": {c: _known_values(df, c, self._option("mostValues"), advice) for c in columns}})
 
 
 class IndicatorEncoderModel(_Learned):

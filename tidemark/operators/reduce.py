@@ -1,40 +1,21 @@
-"""Dimension reduction: principal components and truncated singular values."""
+"""Dimension reduction: principal components and truncated singular values, by Spark's own."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .pairs import matrix
 
-_GRAM = T.StructType([T.StructField(n, k) for n, k in (("i", T.IntegerType()), ("j", T.IntegerType()), ("g", T.DoubleType()))])
-
-
-def gram(df: DataFrame, vector: str, dims: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """rows, column sums, and the dims x dims matrix of column products.
-
-    Every task sends one small matrix; only their sum reaches the driver.
-    """
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((dims + 1, dims + 1))
-        for batch in batches:
-            if len(batch):
-                x = np.hstack([np.ones((len(batch), 1)), matrix(batch["x"])])
-                total += x.T @ x
-        i, j = np.indices(total.shape)
-        yield pd.DataFrame({"i": i.ravel().astype("int32"), "j": j.ravel().astype("int32"), "g": total.ravel()})
-
-    parts = df.select(F.col(vector).cast("array<double>").alias("x")).where("x IS NOT NULL").mapInPandas(partial, _GRAM)
-    out = np.zeros((dims + 1, dims + 1))
-    for r in parts.groupBy("i", "j").agg(F.sum("g").alias("g")).collect():
-        out[r["i"], r["j"]] = r["g"]
-    return int(round(out[0, 0])), out[0, 1:], out[1:, 1:]
+def _vectors(df: DataFrame, vector: str) -> DataFrame:
+    values = df.select(F.col(vector).cast("array<double>").alias("x")).where("x IS NOT NULL")
+    return values.select(array_to_vector("x").alias("x"))
 
 
 def _signed(vectors: np.ndarray) -> np.ndarray:
@@ -45,22 +26,17 @@ def _signed(vectors: np.ndarray) -> np.ndarray:
 
 def principal_components(df: DataFrame, vector: str, dims: int, keep: int | float) -> tuple[np.ndarray, np.ndarray]:
     """(dims x k components, explained variance shares). A fraction keeps the fewest that reach it."""
-    n, sums, products = gram(df, vector, dims)
-    center = sums / n
-    values, vectors = np.linalg.eigh((products - n * np.outer(center, center)) / (n - 1))
-    order = np.argsort(values)[::-1]
-    shares = np.clip(values[order], 0, None)
-    shares = shares / shares.sum()
+    model = PCA(k=keep if isinstance(keep, int) else dims, inputCol="x", outputCol="z").fit(_vectors(df, vector))
+    shares, components = model.explainedVariance.toArray(), model.pc.toArray()
     k = keep if isinstance(keep, int) else int(np.searchsorted(np.cumsum(shares), keep - 1e-12) + 1)
-    return _signed(vectors[:, order[:k]]), shares[:k]
+    return _signed(components[:, :k]), shares[:k]
 
 
 def singular_vectors(df: DataFrame, vector: str, dims: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(dims x k right singular vectors, singular values), without centring."""
-    _, _, products = gram(df, vector, dims)
-    values, vectors = np.linalg.eigh(products)
-    order = np.argsort(values)[::-1][:k]
-    return _signed(vectors[:, order]), np.sqrt(np.clip(values[order], 0, None))
+    rows = MLUtils.convertVectorColumnsFromML(_vectors(df, vector), "x").rdd.map(lambda r: r[0])
+    found = RowMatrix(rows, numCols=dims).computeSVD(k)
+    return _signed(found.V.toArray()), found.s.toArray()
 
 
 def project(df: DataFrame, vector: str, components: np.ndarray, output: str) -> DataFrame:

@@ -120,13 +120,25 @@ def metric_value(scored: DataFrame, metric: str) -> float:
         raise ValueError(f"unknown metric: {metric}")
     if metric == "auc":
         column = "probability" if "probability" in scored.columns else "rawPrediction"
-        scores = scored.select("label", vector_to_array(column)[1].alias("score"))
-        return roc_auc(scores, "label", "score").first()["auc"]
+        return _auc(scored.select("label", vector_to_array(column).alias("p")))
     if metric in ("r2", "mse", "rmse", "mae", "mape"):
         return regression_metrics(scored).first()[metric]
     return classification_metrics(scored).first()[metric]
 
 
+def _auc(scored: DataFrame) -> float | None:
+    """Area under the curve; with more than two classes the mean of one class against the rest, over classes that occur."""
+    row = scored.first()
+    width = len(row["p"]) if row else 0
+    curves = [1] if width == 2 else range(width)
+    areas = []
+    for c in curves:
+        one = scored.select((F.col("label") == c).cast("int").alias("label"), F.col("p")[c].alias("score"))
+        areas.append(roc_auc(one, "label", "score").first()["auc"])
+    known = [a for a in areas if a is not None]
+    return sum(known) / len(known) if known else None
+
+
 @dataclass
 class SearchResult:
     """The best fitted pipeline, and one row per trial."""

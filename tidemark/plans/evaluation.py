@@ -29,7 +29,7 @@ FROM (SELECT unnest(['A', 'N', 'R']) AS a) CROSS JOIN (SELECT unnest(['A', 'N',
 LEFT JOIN three ON label = a AND prediction = b GROUP BY 1, 2""",
 )
 def confusion_matrix(spark, sf):
-    return E.confusion_matrix(three_way(spark, sf))
+    return E.confusion_matrix(three_way(spark, sf), classes=["A", "N", "R"])
 
 
 @query(

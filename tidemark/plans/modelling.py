@@ -33,7 +33,7 @@ def embedding_columns(spark, sf):
 
 def lines(spark, sf):
     """Line items with a row id, class and number labels."""
-    row_id = F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")
+    row_id = F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber")
     flags = F.array(*map(F.lit, "ANR"))
     return table(spark, sf, "lineitem").select(
         row_id.alias("row_id"),
@@ -51,8 +51,8 @@ def lines(spark, sf):
 NUMBERS = ["l_quantity", "l_discount", "l_tax", "ship_day"]
 
 
-def texts(spark, sf):
-    """Labelled documents with a few text measures."""
+def texts(spark, sf, unlabelled=False):
+    """Documents with a few text measures: those with a label, or all of them."""
     t = F.col("text")
     share = lambda pattern: F.length(F.regexp_replace(t, pattern, "")) / F.greatest(F.length(t), F.lit(1))
     docs = table(spark, sf, "documents").select(
@@ -64,7 +64,7 @@ def texts(spark, sf):
         "lang",
     )
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    return docs.join(labels, "doc_id")
+    return docs.join(labels, "doc_id", "left" if unlabelled else "inner")
 
 
 MEASURES = ["size", "digits", "breaks", "capitals"]
@@ -333,16 +333,16 @@ def fit_boosting_many_classes(spark, sf):
 
 @query("fit_neighbours")
 def fit_neighbours(spark, sf):
-    """Trained on the labelled documents, scored on the same: the neighbours include the row itself."""
+    """Trained on the labelled documents, all scored: the neighbours of a labelled one include the row itself."""
     df = texts(spark, sf)
     model = E.fit_family(df, "KNeighborsClassifier", MEASURES, "label", {"k": 5}, [Scaler("standard", MEASURES)], id_col="doc_id")
-    return E.score(model, df, ["doc_id"])
+    return E.score(model, texts(spark, sf, unlabelled=True), ["doc_id"])
 
 
 @query(
     "least_squares_fit",
     """WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)
-SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS row_id, round(a + b * l_quantity, 2) AS predicted_value FROM lineitem, f""",
+SELECT l_orderkey || '-' || l_partkey || '-' || l_linenumber AS row_id, round(a + b * l_quantity, 2) AS predicted_value FROM lineitem, f""",
 )
 def least_squares_fit(spark, sf):
     df = lines(spark, sf)
@@ -355,7 +355,7 @@ def scored_texts(spark, sf):
     """All documents scored by a model of the labelled ones, class numbers back as texts."""
     df = texts(spark, sf)
     model = E.fit_family(df, "LogisticRegression", MEASURES, "label", {"C": 1.0}, [Scaler("standard", MEASURES)])
-    return E.score(model, df, ["doc_id"], labels=["poor", "good"])
+    return E.score(model, texts(spark, sf, unlabelled=True), ["doc_id"], labels=["poor", "good"])
 
 
 @query("feature_importance")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import prepare as R
@@ -131,7 +132,31 @@ SELECT c_custkey, code AS c_name FROM customer JOIN codes ON c_name = v""",
 def label_codes_of_many(spark, sf):
     """The form for columns with too many values to hold in one place."""
     df = table(spark, sf, "customer").select("c_custkey", "c_name")
-    return R.encode_by_table(df, "c_name", R.code_table(df, "c_name", buckets=8))
+    return R.encode_by_table(df, "c_name", R.code_table(df, "c_name"))
+
+
+@query(
+    "label_encoded_many",
+    """WITH v AS (SELECT DISTINCT c_name AS v FROM customer), codes AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM v)
+SELECT c_custkey, code AS c_name FROM customer JOIN codes ON c_name = v""",
+)
+def label_encoded_many(spark, sf):
+    """The encoder itself on a column where every row has its own value."""
+    df = table(spark, sf, "customer").select("c_custkey", "c_name")
+    return R.LabelEncoder(["c_name"]).fit(df).transform(df)
+
+
+@query(
+    "indicator_vector",
+    f"""WITH {GAPS_SQL}, v AS (SELECT DISTINCT coalesce(l_returnflag, 'MISSING') AS v FROM gaps),
+codes AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM v)
+SELECT {KEY_SQL}, code AS place, 1.0::DOUBLE AS total FROM gaps JOIN codes ON coalesce(l_returnflag, 'MISSING') = v""",
+)
+def indicator_vector(spark, sf):
+    df = gappy_lineitem(spark, sf).select(*KEY, "l_returnflag")
+    out = R.indicator_vector("l_returnflag", "v").fit(df).transform(df).withColumn("a", vector_to_array("v"))
+    total = F.aggregate("a", F.lit(0.0), lambda acc, x: acc + x)
+    return out.select(*KEY, (F.array_position("a", F.lit(1.0)) - 1).alias("place"), total.alias("total"))
 
 
 @query(

@@ -295,13 +295,13 @@ def box_summary(spark, sf):
 
 @query(
     "missing_pattern_sample",
-    f"""WITH {GAPS_SQL}, ids AS (SELECT *, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS row_id FROM gaps)
+    f"""WITH {GAPS_SQL}, ids AS (SELECT *, l_orderkey || '-' || l_partkey || '-' || l_linenumber AS row_id FROM gaps)
 SELECT row_id, CAST(l_quantity IS NULL AS INTEGER) AS l_quantity, CAST(l_discount IS NULL AS INTEGER) AS l_discount,
   CAST(l_tax IS NULL AS INTEGER) AS l_tax, CAST(l_returnflag IS NULL AS INTEGER) AS l_returnflag
 FROM ids ORDER BY md5(CAST(row_id AS VARCHAR) || '|42'), row_id LIMIT 100""",
 )
 def missing_pattern_sample(spark, sf):
-    row_id = F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")
+    row_id = F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber")
     df = gappy_lineitem(spark, sf).select(
         row_id.alias("row_id"), "l_quantity", "l_discount", "l_tax", "l_returnflag"
     )
