@@ -203,8 +203,17 @@ def metrics_long(models: DataFrame, name: str = "model") -> DataFrame:
     return models.select(F.col(name).alias("model"), F.explode("metrics").alias("metric", "value"))
 
 
-def compare_models(long: DataFrame, metrics: Sequence[str], digits: int = 4) -> DataFrame:
-    """One row per model, one rounded column per metric."""
+def metric_texts(long: DataFrame, digits: int = 4) -> DataFrame:
+    """model, label, text: metric names as words in title case, values with thousands set apart."""
+    label = F.initcap(F.replace(F.col("metric"), F.lit("_"), F.lit(" ")))
+    return long.select("model", label.alias("label"), F.format_number("value", digits).alias("text"))
+
+
+def compare_models(long: DataFrame, metrics: Sequence[str], digits: int = 4, seconds: DataFrame | None = None) -> DataFrame:
+    """One row per model, one rounded column per metric; with ``seconds`` (model, train_seconds) the training time too."""
+    if seconds is not None:
+        timed = seconds.select("model", F.lit("train_seconds").alias("metric"), F.col("train_seconds").cast("double").alias("value"))
+        long, metrics = long.select("model", "metric", "value").unionByName(timed), [*metrics, "train_seconds"]
     wide = long.where(F.col("metric").isin(*metrics)).groupBy("model").pivot("metric", list(metrics)).agg(F.first("value"))
     return wide.select("model", *[F.round(m, digits).alias(m) for m in metrics])
 

@@ -178,6 +178,28 @@ def metrics_long(spark, sf):
     return rounded(model_metrics(spark, sf), 4, "value")
 
 
+@query(
+    "metric_texts",
+    f"""WITH {_MODEL_SQL} SELECT model, array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(replace(metric, '_', ' '), ' ')], ' ') AS label,
+  format('{{:,.4f}}', value) AS text FROM long""",
+)
+def metric_texts(spark, sf):
+    return E.metric_texts(rounded(model_metrics(spark, sf), 9, "value"))
+
+
+@query(
+    "compare_models_timed",
+    f"""WITH {_MODEL_SQL} SELECT model, round(max(CASE WHEN metric = 'mean_price' THEN value END), 4) AS mean_price,
+  round(max(seconds), 4) AS train_seconds FROM long
+JOIN (SELECT 'model ' || l_linenumber AS model, sum(l_quantity) / 1000 AS seconds FROM lineitem GROUP BY 1) USING (model) GROUP BY 1""",
+)
+def compare_models_timed(spark, sf):
+    """Quantities stand in for the seconds of a training run."""
+    name = F.concat(F.lit("model "), "l_linenumber").alias("model")
+    seconds = table(spark, sf, "lineitem").groupBy(name).agg((F.sum("l_quantity") / 1000).alias("train_seconds"))
+    return E.compare_models(model_metrics(spark, sf), ["mean_price"], seconds=seconds)
+
+
 @query(
     "compare_models",
     f"""WITH {_MODEL_SQL} SELECT model, round(max(CASE WHEN metric = 'mean_price' THEN value END), 4) AS mean_price,
