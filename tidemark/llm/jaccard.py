@@ -175,7 +175,8 @@ def similar_sets(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     band = F.floor(F.ln("n_shingles") / math.log(BAND_RATIO) + 1e-9).cast("int")
     counts = {r["b"]: r["n"] for r in classes.groupBy(band.alias("b")).agg(F.count("*").alias("n")).collect()}
     bands = plan_bands(counts, percent)
-    links, parts = _links(sets, classes, bands, width, percent, kind)
+    copies = digests.where("n_shingles > 0").join(classes, ["_d1", "_d2", "n_shingles"]).where("_id <> class_id").select("_id").distinct()
+    links, parts = _links(sets, classes, stored(copies.join(classes.select(F.col("class_id").alias("_id")), "_id", "left_anti")), bands, width, percent, kind)
     number = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     # One row per class that has a link, and the smallest id of its component.
     least = parts.groupBy("component").agg(F.min("node").alias("component_id"))
@@ -224,7 +225,7 @@ def _signature_rows(width: int, bands: list[Band], percent: int):
 PAIRS_A_MEMBER = 4
 
 
-def _links(sets: DataFrame, classes: DataFrame, bands: list[Band], width: int, percent: int, kind: str) -> tuple[DataFrame, DataFrame]:
+def _links(sets: DataFrame, classes: DataFrame, copies: DataFrame, bands: list[Band], width: int, percent: int, kind: str) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between classes, named by their smallest ids, and the components (node, component) they make.
 
     Sets that meet in a signature are a group. In a round some heads of each
@@ -234,10 +235,10 @@ def _links(sets: DataFrame, classes: DataFrame, bands: list[Band], width: int, p
     copies costs one comparison a member, and no pair that could connect two
     components is left out.
     """
-    ids = classes.select(F.col("class_id").alias("_id"))
     signed = sets.where("_id IS NOT NULL").mapInArrow(_signature_rows(width, bands, percent), f"_id {kind}, _sigs array<long>")
-    # One list per class; an id that is repeated may have several, which does no harm.
-    signed = stored(join_narrow(signed, ids, ["_id"], "left_semi"))
+    # One list per class; an id that is repeated may have several, which does no harm. Copies are mostly
+    # fewer than classes, so they are what is taken out.
+    signed = stored(join_narrow(signed, copies, ["_id"], "left_anti"))
     rows = signed.select(F.explode("_sigs").alias("_sig"), "_id")
     first = rows.groupBy("_sig").agg(F.min("_id").alias("_h"), F.max("_id").alias("_l")).where("_h <> _l").select("_sig", "_h")
     heads = stored(first)
