@@ -23,10 +23,12 @@ HEADLINE = [
     "correlations",
     "quantiles_by_rank",
     "validation_issues",
+    "training_report",
     "fill_median",
     "outliers_clipped",
     "label_encoded",
     "label_codes_of_many",
+    "label_encoded_many",
     "scaled_robust",
     "full_preparation",
     "undersampled",
@@ -38,6 +40,8 @@ HEADLINE = [
     "chi_square_drift",
     "check_alerts",
     "series_changes_by_range",
+    "last_many",
+    "number_versions",
     "classification_report",
     "roc_auc",
     "regression_report",
