@@ -222,14 +222,14 @@ def _signature_rows(width: int, bands: list[Band], percent: int):
 
 
 #: Pairs that a last round may compare at once, for each member of an open group.
-PAIRS_A_MEMBER = 4
+PAIRS_A_MEMBER = 16
 
 
 def _links(sets: DataFrame, classes: DataFrame, copies: DataFrame, bands: list[Band], width: int, percent: int, kind: str) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between classes, named by their smallest ids, and the components (node, component) they make.
 
     Sets that meet in a signature are a group. In a round some heads of each
-    group, one at first and four times as many each time, are compared with the
+    group, one at first and eight times as many each time, are compared with the
     members of other components, and leave the group. As soon as the pairs left
     over are few for the members left, all of them are compared. So a group of
     copies costs one comparison a member, and no pair that could connect two
@@ -243,15 +243,12 @@ def _links(sets: DataFrame, classes: DataFrame, copies: DataFrame, bands: list[B
     first = rows.groupBy("_sig").agg(F.min("_id").alias("_h"), F.max("_id").alias("_l")).where("_h <> _l").select("_sig", "_h")
     heads = stored(first)
     groups = stored(rows.join(heads.hint("shuffle_hash"), "_sig"))
-    sizes = classes.select(F.col("class_id").alias("_id"), "n_shingles")
-
     links = known = parts = None
     pairs = groups.where("_h <> _id").select(F.least("_id", "_h").alias("a"), F.greatest("_id", "_h").alias("b")).distinct()
     # The head of a group has met all others; a group of two is settled by that.
     named, step, last = groups.where("_h <> _id").select("_sig", "_id"), 1, False
     while True:
-        fresh = _near_sizes(pairs, sizes, percent)
-        fresh = stored(fresh if known is None else fresh.join(known, ["a", "b"], "left_anti"))
+        fresh = stored(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
         found = stored(_verified(fresh, sets, width, percent))
         known = fresh if known is None else known.unionByName(fresh)
         links = found if links is None else links.unionByName(found)
@@ -267,9 +264,9 @@ def _links(sets: DataFrame, classes: DataFrame, copies: DataFrame, bands: list[B
         members, across = open_.agg(F.sum("_all"), F.sum("_pairs")).first()
         if not across:
             return links, parts
-        left = stored(left.join(open_.select("_sig"), "_sig"))
+        left = left.join(open_.select("_sig"), "_sig")
         last = across <= PAIRS_A_MEMBER * members
-        step *= 4
+        step *= 8
         if last:
             heads = left.select("_sig", F.col("_id").alias("_h"), F.col("_part").alias("_p"))
         else:
@@ -281,13 +278,6 @@ def _links(sets: DataFrame, classes: DataFrame, copies: DataFrame, bands: list[B
         named = left.join(heads.select("_sig", F.col("_h").alias("_id")), ["_sig", "_id"], "left_anti").select("_sig", "_id")
 
 
-def _near_sizes(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose set sizes allow the similarity."""
-    one = pairs.join(sizes.select(F.col("_id").alias("a"), F.col("n_shingles").alias("_na")), "a")
-    two = one.join(sizes.select(F.col("_id").alias("b"), F.col("n_shingles").alias("_nb")), "b")
-    return two.where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")).select("a", "b")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs that link, decided on the words themselves."""
     involved = stored(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
@@ -304,8 +294,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
                 if last != (a, x):
                     last, held = (a, x), shingles(words_of(x), width)
                 other = shingles(words_of(y), width)
-                common = len(held & other)
-                keep.append(100 * common >= percent * (len(held) + len(other) - common))
+                # Sizes too far apart need no comparison.
+                near = 100 * min(len(held), len(other)) >= percent * max(len(held), len(other))
+                common = len(held & other) if near else 0
+                keep.append(near and 100 * common >= percent * (len(held) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_x"))
