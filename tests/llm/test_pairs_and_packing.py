@@ -5,6 +5,7 @@ import pytest
 from text_samples import prose
 from tokenizers import Tokenizer
 
+from tidemark.llm import jaccard
 from tidemark.llm.jaccard import Band, drop_near_copies, hashed_shingles, plan_bands, shingles, signatures, similar_sets, words_of, WordHashes
 from tidemark.llm.neighbours import hilbert_index, nearest
 from tidemark.llm.packing import fullest, pack, pack_lengths
@@ -31,7 +32,10 @@ def components(sets, percent):
 
 
 @pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
-def test_components_by_brute_force(spark, sf, width, percent):
+@pytest.mark.parametrize("listed", [48, 2])
+def test_components_by_brute_force(spark, sf, width, percent, listed, monkeypatch):
+    monkeypatch.setattr(jaccard, "LISTED", listed)
+    monkeypatch.setattr(jaccard, "TILE", 5)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     # Chains of near copies, and many texts that share most of a passage.

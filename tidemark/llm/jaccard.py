@@ -221,19 +221,19 @@ def _signature_rows(width: int, bands: list[Band], percent: int):
     return sign
 
 
-#: Pairs that a last round may compare at once, for each member of an open group.
-PAIRS_A_MEMBER = 16
+#: Members up to which a group's pairs are listed; larger groups are compared in tiles of about so many sets.
+LISTED, TILE = 48, 256
 
 
 def _links(sets: DataFrame, classes: DataFrame, copies: DataFrame, bands: list[Band], width: int, percent: int, kind: str) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between classes, named by their smallest ids, and the components (node, component) they make.
 
-    Sets that meet in a signature are a group. In a round some heads of each
-    group, one at first and eight times as many each time, are compared with the
-    members of other components, and leave the group. As soon as the pairs left
-    over are few for the members left, all of them are compared. So a group of
-    copies costs one comparison a member, and no pair that could connect two
-    components is left out.
+    Sets that meet in a signature are a group, and its smallest id is the head.
+    First all members are compared with their head: one comparison a member,
+    which settles groups of copies. Two members that meet share a head, so what
+    is left are pairs of members of one head that are in different components.
+    Where a head has few members they are listed; where it has many, they are
+    compared in tiles, which give one link for each two components they connect.
     """
     signed = sets.where("_id IS NOT NULL").mapInArrow(_signature_rows(width, bands, percent), f"_id {kind}, _sigs array<long>")
     # One list per class; an id that is repeated may have several, which does no harm. Copies are mostly
@@ -242,48 +242,43 @@ def _links(sets: DataFrame, classes: DataFrame, copies: DataFrame, bands: list[B
     rows = signed.select(F.explode("_sigs").alias("_sig"), "_id")
     first = rows.groupBy("_sig").agg(F.min("_id").alias("_h"), F.max("_id").alias("_l")).where("_h <> _l").select("_sig", "_h")
     heads = stored(first)
-    groups = stored(rows.join(heads.hint("shuffle_hash"), "_sig"))
-    links = known = parts = None
-    pairs = groups.where("_h <> _id").select(F.least("_id", "_h").alias("a"), F.greatest("_id", "_h").alias("b")).distinct()
-    # The head of a group has met all others; a group of two is settled by that.
-    named, step, last = groups.where("_h <> _id").select("_sig", "_id"), 1, False
-    while True:
-        fresh = stored(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
-        found = stored(_verified(fresh, sets, width, percent))
-        known = fresh if known is None else known.unionByName(fresh)
-        links = found if links is None else links.unionByName(found)
-        parts = connected_components(links)
-        if last:
-            return links, parts
-        part = parts.select(F.col("node").alias("_id"), F.col("component").alias("_part"))
-        left = stored(named.join(part, "_id", "left").select("_sig", "_id", F.coalesce("_part", "_id").alias("_part")))
-        cells = left.groupBy("_sig", "_part").agg(F.count("*").alias("_n"))
-        n = F.col("_all")
-        open_ = cells.groupBy("_sig").agg(F.sum("_n").alias("_all"), F.sum(F.col("_n") * F.col("_n")).alias("_sq")).where(n * n > F.col("_sq"))
-        open_ = stored(open_.select("_sig", n.alias("_all"), ((n * n - F.col("_sq")) / 2).alias("_pairs")))
-        members, across = open_.agg(F.sum("_all"), F.sum("_pairs")).first()
-        if not across:
-            return links, parts
-        left = left.join(open_.select("_sig"), "_sig")
-        last = across <= PAIRS_A_MEMBER * members
-        step *= 8
-        if last:
-            heads = left.select("_sig", F.col("_id").alias("_h"), F.col("_part").alias("_p"))
-        else:
-            # Any members will do; least ids by parts of a group need no sorting of it.
-            pick = left.groupBy("_sig", F.pmod(F.xxhash64("_id"), F.lit(step))).agg(F.min(F.struct(F.col("_id").alias("h"), F.col("_part").alias("p"))).alias("_m"))
-            heads = stored(pick.select("_sig", F.col("_m.h").alias("_h"), F.col("_m.p").alias("_p")))
-        met = left.join(heads, "_sig").where("_part <> _p" + (" AND _id < _h" if last else ""))
-        pairs = met.select(F.least("_id", "_h").alias("a"), F.greatest("_id", "_h").alias("b")).distinct()
-        named = left.join(heads.select("_sig", F.col("_h").alias("_id")), ["_sig", "_id"], "left_anti").select("_sig", "_id")
+    groups = stored(rows.join(heads.hint("shuffle_hash"), "_sig").where("_h <> _id"))
+    pairs = stored(groups.select(F.col("_h").alias("a"), F.col("_id").alias("b")).distinct())
+    links = stored(_verified(pairs, sets, width, percent))
+    parts = connected_components(links)
+
+    part = parts.select(F.col("node").alias("b"), F.col("component").alias("_part"))
+    members = stored(pairs.join(part, "b", "left").select("a", "b", F.coalesce("_part", "b").alias("_part")))
+    found = members.groupBy("a").agg(F.count("*").alias("_n"), F.min("_part").alias("_x"), F.max("_part").alias("_y"))
+    open_ = stored(found.where("_x <> _y").select("a", "_n"))
+    if open_.isEmpty():
+        return links, parts
+    few = open_.where(F.col("_n") <= LISTED).select(F.col("a").alias("_h"))
+    listed = groups.join(few, "_h").join(members.select(F.col("a").alias("_h"), F.col("b").alias("_id"), "_part"), ["_h", "_id"])
+    one, other = listed.select("_sig", F.col("_id").alias("a"), F.col("_part").alias("_p")), listed.select("_sig", F.col("_id").alias("b"), F.col("_part").alias("_q"))
+    near = one.join(other, "_sig").where("a < b AND _p <> _q").select("a", "b").distinct()
+    tiled = _tiles(members.join(open_.where(F.col("_n") > LISTED), "a"), sets, width, percent, kind)
+    more = stored(near.unionByName(tiled).distinct())
+    links = links.unionByName(stored(_verified(more, sets, width, percent)))
+    return links, connected_components(links)
+
+
+def _texts_of(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """_id, _text of the written distinct ids."""
+    texts = sets.where("_id IS NOT NULL")
+    return texts.join(F.broadcast(ids) if fits_broadcast(ids) else ids, "_id", "left_semi")
+
+
+def _both_texts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with both texts, sorted by a: a set that many are compared with is built once."""
+    texts = stored(_texts_of(stored(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()), sets))
+    left = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_x"))
+    right = texts.select(F.col("_id").alias("b"), F.col("_text").alias("_y"))
+    return pairs.join(right, "b").join(left, "a")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs that link, decided on the words themselves."""
-    involved = stored(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
-    texts = sets.where("_id IS NOT NULL")
-    texts = texts.join(F.broadcast(involved), "_id", "left_semi") if fits_broadcast(involved) else texts.join(involved, "_id", "left_semi")
-    texts = stored(texts)
     kinds = {c: pairs.schema[c].dataType.simpleString() for c in "ab"}
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,13 +295,82 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
                 keep.append(near and 100 * common >= percent * (len(held) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_x"))
-    right = texts.select(F.col("_id").alias("b"), F.col("_text").alias("_y"))
-    # Sorted by a at the end: a set that many are compared with is built once.
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "_x", "_y")
+    both = _both_texts(pairs, sets).select("a", "b", "_x", "_y")
     return both.mapInArrow(compare, f"a {kinds['a']}, b {kinds['b']}").distinct()
 
 
+def _tiles(members: DataFrame, sets: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
+    """a, b: for each two components of a head's members that a tile connects, one pair that does, by hashes.
+
+    A member is carried as what it and its head do not share, which is little for
+    copies: of two members, what they do not share follows from that. A head's
+    members are dealt to blocks, and each two blocks are a row of their own, so
+    a large group is as many rows of equal size, and no pair is emitted that
+    connects nothing new.
+    """
+    def unlike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, last, head = WordHashes(), None, None
+        for batch in batches:
+            sizes, deltas = [], []
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                if last != (a, x):
+                    last, head = (a, x), hashed_shingles(words_of(x), width, known)
+                own = hashed_shingles(words_of(y), width, known)
+                sizes.append(len(own))
+                deltas.append(np.setxor1d(head, own, assume_unique=True).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(sizes, pa.int64()), pa.array(deltas, pa.list_(pa.int64()))], ["a", "b", "_part", "_blocks", "_s", "_d"])
+
+    blocks = F.ceil(F.col("_n") / TILE).cast("int").alias("_blocks")
+    texts = _both_texts(stored(members.select("a", "b", "_part", blocks)), sets).select("a", "b", "_part", "_blocks", "_x", "_y")
+    carried = texts.mapInArrow(unlike, f"a {kind}, b {kind}, _part {kind}, _blocks int, _s long, _d array<long>")
+    block = F.pmod(F.xxhash64("b"), F.col("_blocks")).cast("int")
+    held = carried.groupBy("a", block.alias("_i")).agg(F.first("_blocks").alias("_blocks"), F.collect_list(F.struct("b", "_part", "_s", "_d")).alias("_m"))
+    held = stored(held)
+    each = held.select("a", "_i", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_j")).where("_i <= _j")
+    left, right = held.select("a", "_i", F.col("_m").alias("_l")), held.select("a", F.col("_i").alias("_j"), F.col("_m").alias("_r"))
+    tiles = each.join(left, ["a", "_i"]).join(right, ["a", "_j"]).select("_l", "_r")
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                found = _connecting(batch.column(0)[row].values, batch.column(1)[row].values, percent)
+                if found is not None:
+                    yield found
+
+    return tiles.mapInArrow(meet, f"a {kind}, b {kind}").distinct()
+
+
+def _connecting(left: pa.StructArray, right: pa.StructArray, percent: int) -> pa.RecordBatch | None:
+    """One linking pair of each two components of two blocks of members of one head."""
+    ids, parts, sizes, deltas = zip(*[[side.field(i) for i in range(4)] for side in (left, right)])
+    code = pa.concat_arrays(parts).dictionary_encode().indices.to_numpy()
+    p, q = code[: len(left)], code[len(left) :]
+    flat = [np.asarray(d.flatten()) for d in deltas]
+    counts = [np.asarray(d.value_lengths()) for d in deltas]
+    _, place = np.unique(np.concatenate(flat), return_inverse=True)
+    at = [place[: len(flat[0])], place[len(flat[0]) :]]
+    owner = [np.repeat(np.arange(len(c)), c) for c in counts]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    # The product of two 0/1 matrices, some thousand shingles at a time.
+    for begin in range(0, int(place.max()) + 1 if len(place) else 0, 8192):
+        sides = []
+        for k, n in ((0, len(left)), (1, len(right))):
+            m = np.zeros((n, 8192), np.float32)
+            here = (at[k] >= begin) & (at[k] < begin + 8192)
+            m[owner[k][here], at[k][here] - begin] = 1.0
+            sides.append(m)
+        shared += sides[0] @ sides[1].T
+    s, t = (np.asarray(x).astype(np.int64) for x in sizes)
+    unlike = counts[0][:, None] + counts[1][None, :] - 2 * shared.astype(np.int64)
+    common = (s[:, None] + t[None, :] - unlike) // 2
+    i, j = np.nonzero((100 * common >= percent * (s[:, None] + t[None, :] - common)) & (p[:, None] != q[None, :]))
+    if not len(i):
+        return None
+    both = np.minimum(p[i], q[j]).astype(np.int64) * (int(code.max()) + 1) + np.maximum(p[i], q[j])
+    _, one = np.unique(both, return_index=True)
+    return pa.RecordBatch.from_arrays([ids[0].take(pa.array(i[one])), ids[1].take(pa.array(j[one]))], ["a", "b"])
+
+
 def drop_near_copies(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component.
 
