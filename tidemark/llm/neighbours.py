@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ordered import BUCKET, add_value_buckets
 from .common import cut, query, table
 
 _SLACK = 1e-9
@@ -204,36 +205,33 @@ def _window_rows(window: int, k: int):
     return meet
 
 
-def _tiles(sorted_rows: DataFrame, size: int, schema_more: str = "") -> DataFrame:
-    """One row per ``size`` neighbouring rows: tile, ids, limits, flat vectors, centre, radius."""
-
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, count = 0, [], 0
-
-        def pack(held):
-            t = pa.Table.from_batches(held)
-            v = _matrix(t.column("v").combine_chunks())
-            centre = v.mean(0)
-            radius = float(np.sqrt(((v - centre) ** 2).sum(1)).max())
-            return [t.column("id").to_pylist(), t.column("limit").to_numpy().tolist(), v.reshape(-1), centre, radius, float(np.linalg.norm(v, axis=1).max()), float(np.min(t.column("limit").to_numpy()))]
-
-        def rows(out):
-            names = ["ids", "limits", "flat", "centre", "radius", "longest", "least"]
-            kinds = [pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(out, kinds)], names)
+def _tiles(rows: DataFrame, n: int, size: int, kind: str) -> DataFrame:
+    """One row per about ``size`` neighbours on the curve: ids, limits, flat vectors, centre, radius, longest, least.
 
+    Tiles are ranges of the curve, by a sketch of the keys. Where one key holds
+    more rows than a tile, as of a vector that is there many times, they are
+    dealt to several by id. So a tile is bounded whatever the data.
+    """
+    ranged = add_value_buckets(rows.withColumn("_k", F.col("key").cast("double")), "_k", -(-max(n, 1) // size))
+    counts = cut(ranged.groupBy(BUCKET).agg(F.ceil(F.count("*") / size).alias("_parts")))
+    # One narrow row per tile.
+    dealt = ranged.join(F.broadcast(counts), BUCKET).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")))
+    lists = dealt.groupBy(BUCKET, "_part").agg(F.collect_list(F.struct("id", "limit", "v")).alias("m")).select("m")
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64()]
+        names = ["ids", "limits", "flat", "centre", "radius", "longest", "least"]
         for batch in batches:
-            while batch.num_rows:
-                take = min(size - count, batch.num_rows)
-                held.append(batch.slice(0, take))
-                count, batch = count + take, batch.slice(take)
-                if count == size:
-                    yield rows(pack(held))
-                    held, count, number = [], 0, number + 1
-        if count:
-            yield rows(pack(held))
+            for row in range(batch.num_rows):
+                members = batch.column(0)[row].values
+                ids, limits = np.asarray(members.field(0)), np.asarray(members.field(1))
+                v = _matrix(members.field(2))
+                centre = v.mean(0)
+                radius = float(np.sqrt(((v - centre) ** 2).sum(1)).max())
+                out = [ids, limits, v.reshape(-1), centre, radius, float(np.linalg.norm(v, axis=1).max()), float(limits.min())]
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(out, kinds)], names)
 
-    return sorted_rows.mapInArrow(gather, "ids array<long>, limits array<double>, flat array<double>, centre array<double>, radius double, longest double, least double")
+    return lists.mapInArrow(pack, "ids array<long>, limits array<double>, flat array<double>, centre array<double>, radius double, longest double, least double")
 
 
 def _widened(rows: DataFrame, keyed: DataFrame, limit: DataFrame, n: int, k: int, tile: int, every: int, kind: str) -> DataFrame:
@@ -243,13 +241,10 @@ def _widened(rows: DataFrame, keyed: DataFrame, limit: DataFrame, n: int, k: int
     pair of tiles is one row, so work is dealt evenly whatever the data.
     """
     first = keyed.where("curve = 0")
-    order = ["key", "id"]
     blocks = first.where("NOT q").select("key", "id", "v", F.lit(0.0).alias("limit"))
     asks = first.where("q").join(limit, F.col("id") == F.col("qid"), "left").select("key", "id", "v", F.coalesce("limit", F.lit(float("-inf"))).alias("limit"))
-    parts = lambda rows_: max(1, -(-rows_ // (4 * tile)))
-    spread = lambda df, m: df.repartitionByRange(m, *order).sortWithinPartitions(*order)
-    blocks = cut(_tiles(spread(blocks, parts(n)), tile).withColumn("b", F.monotonically_increasing_id()))
-    asks = cut(_tiles(spread(asks, parts(n // every)), tile // 4).withColumn("a", F.monotonically_increasing_id()))
+    blocks = cut(_tiles(blocks, n, tile, kind).withColumn("b", F.monotonically_increasing_id()))
+    asks = cut(_tiles(cut(asks), n // every, tile // 4, kind).withColumn("a", F.monotonically_increasing_id()))
     # Which tiles can hold something: one narrow row per tile on either side.
     dot = F.aggregate(F.zip_with("ac", "bc", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
     left = asks.select("a", F.col("centre").alias("ac"), F.col("radius").alias("ar"), F.col("longest").alias("al"), "least")
