@@ -164,7 +164,7 @@ def test_hilbert_neighbours_touch():
 
 def test_neighbours_by_brute_force(spark, sf):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-    rows += [(100_000, None), (100_020, [0.0] * 64), (100_040, [float("nan")] * 64), (100_060, [None] * 64), (100_080, []), (None, [1.0] * 64), (100_100, rows[3][1]), (100_120, rows[3][1])]
+    rows += [(100_000, None), (100_020, [0.0] * 64), (100_040, [float("nan")] * 64), (100_060, [None] * 64), (100_080, []), (None, [1.0] * 64), (100_100, rows[3][1]), (100_120, rows[3][1])] + [(200_000 + i, rows[5][1]) for i in range(60)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "vec_id AS id", "embedding AS v", "vec_id AS key")
     got = {}
     for r in nearest(df, tile=256, window=32).orderBy("query_id", "rank").collect():

@@ -106,8 +106,14 @@ def nearest(vectors: DataFrame, queries_every: int = 20, k: int = 20, curves: in
     square = F.aggregate("v", F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double"))
     n, longest = rows.agg(F.count("*"), F.max(F.sqrt(square))).first()
     kind = rows.schema["v"].dataType.elementType.simpleString()
-    keyed = rows.mapInArrow(_key_rows(curves, longest or 1.0, queries_every, seed), f"curve int, key long, id long, q boolean, v array<{kind}>")
-    keyed = keyed.where((F.col("curve") >= 0))
+    # Of a vector that is there many times, only the smallest ids can be among the k nearest. The limit is
+    # applied before the shuffle, so such a vector is as cheap as any other.
+    place = F.row_number().over(W.partitionBy("v").orderBy("id"))
+    first_ids = cut(rows.withColumn("_p", place).where(F.col("_p") <= k + 1).drop("_p"))
+    schema = f"curve int, key long, id long, q boolean, v array<{kind}>"
+    keyed = first_ids.mapInArrow(_key_rows(curves, longest or 1.0, False, seed), schema).unionByName(
+        rows.where(F.col("id") % queries_every == 0).mapInArrow(_key_rows(curves, longest or 1.0, True, seed), schema)
+    )
     parts = max(1, -(-(n or 0) * curves // (64 * window)))
     ordered = keyed.repartitionByRange(parts, "curve", "key", "id").sortWithinPartitions("curve", "key", "id")
     found = cut(_best(ordered.mapInArrow(_window_rows(window, k), "qid long, id long, score double"), k))
@@ -134,22 +140,15 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return ranked.withColumn("_last", last).where(F.col("score") >= F.col("_last") - _SLACK).select("qid", "id", "score")
 
 
-def _key_rows(curves: int, longest: float, every: int, seed: int):
+def _key_rows(curves: int, longest: float, as_query: bool, seed: int):
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, v = batch.column(0), _matrix(batch.column(1))
-            asks = np.asarray(ids) % every == 0
-            for curve in range(curves):
-                for q, rows in ((False, np.arange(len(v))), (True, np.flatnonzero(asks))):
-                    if len(rows):
-                        at = pa.array(rows)
-                        key = curve_keys(v[rows], curve, longest, q, seed=seed)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(rows), curve, np.int32)), pa.array(key), ids.take(at), pa.array(np.full(len(rows), q)), batch.column(1).take(at)],
-                            ["curve", "key", "id", "q", "v"],
-                        )
+            n = batch.num_rows
+            v = _matrix(batch.column(1)) if n else None
+            for curve in range(curves if n else 0):
+                key = curve_keys(v, curve, longest, as_query, seed=seed)
+                columns = [pa.array(np.full(n, curve, np.int32)), pa.array(key), batch.column(0), pa.array(np.full(n, as_query)), batch.column(1)]
+                yield pa.RecordBatch.from_arrays(columns, ["curve", "key", "id", "q", "v"])
 
     return keys
 
