@@ -111,6 +111,29 @@ def test_passages_by_brute_force(spark, sf):
     assert got == covered_words([(i, words_of(t)) for i, t in rows], 50)
 
 
+def covered_by_operator(spark, rows):
+    got = {}
+    for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+        assert r["n_words"] >= 50 and r["partner_id"] != r["doc_id"]
+    return got
+
+
+def test_passages_whose_parts_are_common(spark):
+    """Two texts share u H v; many others share only H v or only u H, and stand beside them in every order."""
+    rows = []
+    for case in range(20):
+        words = prose(500 + case, 63).split()
+        a, b, at = 30_000 + 1000 * case, 30_001 + 1000 * case, 0
+        rows += [(i, f"{prose(600 + i % 7 + case, 20)} {' '.join(words)} {prose(700 + i % 7 + case, 20)}") for i in (a, b)]
+        for i in range(40):
+            rows.append((a + 100 + i, f"{prose(800 + i, 20)} other{i} {' '.join(words[14:])} x{i} {prose(900 + i, 20)}"))
+            rows.append((a + 200 + i, f"{prose(1000 + i, 20)} y{i} {' '.join(words[:49])} z{i} {prose(1100 + i, 20)}"))
+    want = covered_words([(i, words_of(t)) for i, t in rows], 50)
+    assert all(30_000 + 1000 * case in want for case in range(20))
+    assert covered_by_operator(spark, rows) == want
+
+
 def test_passage_cases(messy, empty):
     rows = repeated_passages(messy).collect()
     assert repeated_passages(empty).count() == 0

@@ -1,9 +1,9 @@
-"""Passages of many words that stand in several documents, by sparse suffix arrays.
+"""Passages of many words that stand in several documents, by minimisers and counted runs.
 
 Suffixes are kept only where a minimiser chooses them, so the same passage keeps
-the same suffixes wherever it stands. Those whose first words are found in
-another document are sorted over all tasks, neighbours are compared, and their
-matches are extended to the left and to the right.
+the same suffixes wherever it stands. Around those whose first words are found
+in another document, every run of as many words as a passage must have is
+counted by its hash; runs found in two documents are put together to passages.
 """
 
 from __future__ import annotations
@@ -71,7 +71,9 @@ def repeated_passages(docs: DataFrame, words: int = 50, id_col: str = "doc_id",
     is one passage from end to end. A null text is empty. Rows without an id
     take no part; rows that repeat an id are one document with several texts.
     Repeats inside one document alone are not reported. Other columns are
-    ignored.
+    ignored. Runs of ``words`` words are compared by hashes of 64 bits; of all
+    that share words of a passage, ``partner_id`` is the smallest id, or, for a
+    run first found in this document, the largest.
     """
     sets = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = sets.schema["_id"].dataType.simpleString()
@@ -123,118 +125,66 @@ def _suffixes(words: int):
 
 
 def _matches(sets: DataFrame, live: DataFrame, words: int, kind: str) -> DataFrame:
-    """_id, s, e, p: the matches of sorted neighbours that are long enough."""
-    before, after = words // 2 + 1, 2 * words
+    """_id, s, e, p: every run of ``words`` words that stands in texts of two ids.
+
+    Each such run holds a shared head, so only runs that hold one are counted.
+    Of a run the smallest and the largest id are kept, which partial sums bring
+    down before the shuffle however often it stands.
+    """
+    half = words // 2
     ids = cut(live.select("_id").distinct())
     texts = sets.join(F.broadcast(ids), "_id", "left_semi") if fits_broadcast(ids) else sets.join(ids, "_id", "left_semi")
 
-    def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            ids, at, left, right = [], [], [], []
-            for row, (text, keys) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
-                h = _hashes(text, known)
-                places = chosen_places(h, words)
-                wanted = np.asarray(keys.values).view(np.uint64)
-                places = places[np.isin(_runs(h, words // 2)[places], wanted)]
-                # Four bytes a word; compared over dozens of words, these decide as the words would.
-                short = (h >> np.uint64(32)).astype(">u4")
-                for p in places.tolist():
-                    ids.append(row)
-                    at.append(p)
-                    right.append(short[p : p + after].tobytes())
-                    left.append(short[max(0, p - before) : p][::-1].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(at, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["_id", "_at", "_left", "_right"])
-
-    rows = texts.join(live, "_id").mapInArrow(contexts, f"_id {kind}, _at long, _left binary, _right binary")
-    rows = cut(rows.withColumn("_head", F.substring("_right", 1, 4 * (words // 2))))
-    found = None
-    # Sorted by what follows, and, among those that begin alike, by what comes before.
-    for order in (["_right", "_left", "_id", "_at"], ["_head", "_left", "_right", "_id", "_at"]):
-        parts = max(1, rows.count() // 50_000 + 1)
-        ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        met = cut(ordered.mapInArrow(_neighbours(words, before, after, kind), f"_id {kind}, s long, e long, p {kind}, _at long, _left binary, _right binary"))
-        # The first and last row of every partition, to meet across partitions: a few rows each.
-        ends = met.where("_left IS NOT NULL").select("_id", "_at", "_left", "_right", F.substring("_right", 1, 4 * (words // 2)).alias("_head"))
-        across = ends.coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours(words, before, after, kind, edges=False), f"_id {kind}, s long, e long, p {kind}, _at long, _left binary, _right binary")
-        both = met.where("_left IS NULL").unionByName(across).select("_id", "s", "e", "p")
-        found = both if found is None else found.unionByName(both)
-    return found
-
-
-def _common(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """How many words two rows share from their beginning."""
-    differ = a != b
-    n = np.where(differ.any(1), differ.argmax(1), a.shape[1])
-    return np.minimum(n, sizes)
-
-
-def _padded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    values = column.to_pylist()
-    sizes = np.array([len(v) // 4 for v in values])
-    joined = b"".join(v.ljust(4 * width, b"\0") for v in values)
-    return np.frombuffer(joined, ">u4").reshape(-1, width), sizes
-
-
-def _neighbours(words: int, before: int, after: int, kind: str, edges: bool = True):
-    names = ["_id", "s", "e", "p", "_at", "_left", "_right"]
-
-    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail, first, last = None, None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch.select(["_id", "_at", "_left", "_right"])]).combine_chunks()
-            first = t.slice(0, 1) if first is None else first
-            last = t.slice(t.num_rows - 1, 1)
-            held = t if tail is None else pa.concat_tables([tail, t]).combine_chunks()
-            yield from compare(held)
-            # Enough of the end to hold the last row of another document.
-            tail = held.slice(max(0, held.num_rows - 64))
-        if edges and first is not None:
-            ends = pa.concat_tables([first, last])
-            none = pa.nulls(2, pa.int64())
-            yield pa.RecordBatch.from_arrays([ends.column("_id").combine_chunks(), none, none, pa.nulls(2, ends.column("_id").type), *[ends.column(c).combine_chunks() for c in ("_at", "_left", "_right")]], names)
-
-    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids = t.column("_id").combine_chunks()
-        code = np.asarray(ids.dictionary_encode().indices)
-        at = t.column("_at").to_numpy()
-        right, n_right = _padded(t.column("_right"), after)
-        left, n_left = _padded(t.column("_left"), before)
-        n = len(code)
-        run = np.r_[True, code[1:] != code[:-1]]
-        begin = np.maximum.accumulate(np.where(run, np.arange(n), 0))
-        stops = np.r_[np.flatnonzero(run)[1:], n]
-        end = stops[np.cumsum(run) - 1]
-        for other in (begin - 1, end):
-            i = np.flatnonzero((other >= 0) & (other < n))
-            j = other[i]
-            r = _common(right[i], right[j], np.minimum(n_right[i], n_right[j]))
-            b = _common(left[i], left[j], np.minimum(n_left[i], n_left[j]))
-            good = r + b >= words
-            i, j, r, b = i[good], j[good], r[good], b[good]
-            for x, y in ((i, j), (j, i)):
-                none = pa.nulls(len(x), pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), pa.array(at[x] - b), pa.array(at[x] + r), ids.take(pa.array(y)), pa.nulls(len(x), pa.int64()), none, none], names)
-
-    return meet
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                rows, at, found = [], [], []
+                for row, (text, keys) in enumerate(zip(part.column(1).to_pylist(), part.column(2))):
+                    h = _hashes(text, known)
+                    places = chosen_places(h, words)
+                    places = places[np.isin(_runs(h, half)[places], np.asarray(keys.values).view(np.uint64))]
+                    if not len(places):
+                        continue
+                    runs = _runs(h, words)
+                    starts = np.arange(len(runs))
+                    # The next shared head from here on must end within the run.
+                    head = np.r_[places, len(h)][np.searchsorted(places, starts)]
+                    starts = starts[head + half <= starts + words]
+                    for piece in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+                        rows.append(row)
+                        at.append(piece[0])
+                        found.append(runs[piece])
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                flat = np.concatenate(found) if found else np.empty(0, np.uint64)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int64()), lists], ["_id", "_at", "_runs"])
+
+    # One row per stretch of runs that follow each other.
+    held = cut(texts.join(live, "_id").select("_id", "_text", "_keys").mapInArrow(stretches, f"_id {kind}, _at long, _runs array<long>"))
+    runs = held.select("_id", "_at", F.posexplode("_runs").alias("_k", "_run"))
+    several = runs.groupBy("_run").agg(F.min("_id").alias("_x"), F.max("_id").alias("_y")).where("_x <> _y")
+    met = runs.join(cut(several).hint("shuffle_hash"), "_run")
+    start = F.col("_at") + F.col("_k")
+    return met.select("_id", start.alias("s"), (start + words).alias("e"), F.when(F.col("_id") == F.col("_x"), F.col("_y")).otherwise(F.col("_x")).alias("p"))
 
 
 def _merge_spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, start, end, partner = [], [], [], []
-        for row, spans in enumerate(batch.column(1).to_pylist()):
-            here: list[list] = []
-            for s, e, p in sorted((x["s"], x["e"], x["p"]) for x in spans):
-                if here and s <= here[-1][1]:
-                    here[-1][1:] = [max(e, here[-1][1]), min(p, here[-1][2])]
-                else:
-                    here.append([s, e, p])
-            for s, e, p in here:
-                rows.append(row), start.append(s), end.append(e), partner.append(p)
-        kind = batch.schema.field(1).type.value_type.field("p").type
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(partner, kind)], ["_id", "s", "e", "p"])
+        spans, kind = batch.column(1), batch.schema.field(1).type.value_type.field("p").type
+        if not len(spans):
+            continue
+        row = np.repeat(np.arange(len(spans)), np.asarray(spans.value_lengths()))
+        s, e, p = (spans.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        # All rows on one line, each beyond the ends of those before it.
+        step = int(e.max()) + 1
+        order = np.argsort(s + row * step, kind="stable")
+        row, p = row[order], p[order]
+        start, end = s[order] + row * step, np.maximum.accumulate(e[order] + row * step)
+        first = np.flatnonzero(np.r_[True, start[1:] > end[:-1]])
+        row, start, end = row[first], start[first], end[np.r_[first[1:], len(end)] - 1]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(start - row * step), pa.array(end - row * step), pa.array(np.minimum.reduceat(p, first), kind)], ["_id", "s", "e", "p"])
 
 
 @query("op8_suffix_array_dedup")
