@@ -134,6 +134,16 @@ def test_passages_whose_parts_are_common(spark):
     assert covered_by_operator(spark, rows) == want
 
 
+def test_passages_repeated_in_one_text(spark):
+    """Rows of one text that tie, more than a batch edge carries over, still meet the other text."""
+    rows = []
+    for case in range(3):
+        common = prose(123 + case, 52)
+        rows.append((40_000 + 10 * case, " ".join(f"{prose(130 + case, 30)} {common}" for _ in range(25_000 if case == 1 else 300))))
+        rows.append((40_001 + 10 * case, f"{prose(140 + case, 20)} {common} {prose(150 + case, 20)}"))
+    assert covered_by_operator(spark, rows) == covered_words([(i, words_of(t)) for i, t in rows], 50)
+
+
 def test_passage_cases(messy, empty):
     rows = repeated_passages(messy).collect()
     assert repeated_passages(empty).count() == 0
