@@ -218,3 +218,20 @@ def test_neighbours_by_brute_force(spark, sf):
     for r in nearest(df, window=32, widen=False).collect():
         rough.setdefault(r["query_id"], set()).add(r["vec_id"])
     assert set(rough) == set(got)
+
+
+def test_neighbours_of_repeated_rows(spark):
+    """Copies of a row, or several vectors of one id, take one of the k places."""
+    rng = np.random.default_rng(8)
+    common = [float(x) for x in rng.standard_normal(8)]
+    rows = [(1, common)] * 30 + [(20, common)] * 30 + [(i, common) for i in range(21, 60)]
+    rows += [(2, [x * (1 + j / 1000) for x in common]) for j in range(60)]
+    rows += [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(100, 140)]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    best = lambda q: {i: max(float(np.dot(a, b)) for k, a in rows if k == q for j, b in rows if j == i) for i in {i for i, _ in rows} - {q}}
+    assert set(got) == {20, 40, 100, 120}
+    for q, found in got.items():
+        score = best(q)
+        assert found == sorted(score, key=lambda i: (-round(score[i], 9), i))[:20]

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ordered import BUCKET, add_value_buckets
-from .common import cut, query, table
+from .common import cut, join_narrow, query, table
 
 _SLACK = 1e-9
 
@@ -103,6 +103,10 @@ def nearest(vectors: DataFrame, queries_every: int = 20, k: int = 20, curves: in
     """
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
     rows = cut(rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda v: v.cast("float")).alias("v") if _is_float(vectors, vector_col) else F.transform(vector_col, lambda v: v.cast("double")).alias("v")))
+    # Rows that repeat an id and its vector are one candidate. Only rows of repeated ids are moved for that.
+    repeated = cut(rows.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select("id"))
+    if not repeated.isEmpty():
+        rows = cut(join_narrow(rows, repeated, ["id"], "left_anti").unionByName(join_narrow(rows, repeated, ["id"], "left_semi").dropDuplicates(["id", "v"])))
     square = F.aggregate("v", F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double"))
     n, longest = rows.agg(F.count("*"), F.max(F.sqrt(square))).first()
     kind = rows.schema["v"].dataType.elementType.simpleString()
@@ -204,6 +208,15 @@ def _window_rows(window: int, k: int):
     return meet
 
 
+def _by_id(ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and their best scores, a column each, so that an id takes one place."""
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
+    if len(first) == len(ids):
+        return ids, score
+    return ids[order][first], np.maximum.reduceat(score[:, order], first, axis=1)
+
+
 def _tiles(rows: DataFrame, n: int, size: int, kind: str) -> DataFrame:
     """One row per about ``size`` neighbours on the curve: ids, limits, flat vectors, centre, radius, longest, least.
 
@@ -258,11 +271,11 @@ def _widened(rows: DataFrame, keyed: DataFrame, limit: DataFrame, n: int, k: int
             for r in range(batch.num_rows):
                 qi, ql, qv, bi, bv = (np.asarray(batch.column(c)[r].values) for c in range(5))
                 q, b = qv.reshape(len(qi), -1), bv.reshape(len(bi), -1)
-                score = q @ b.T
+                bi, score = _by_id(bi, q @ b.T)
                 hit = (score >= ql[:, None] - _SLACK) & (qi[:, None] != bi[None, :])
                 # Where there is no limit yet, or many beat it, the best of this tile are enough.
                 many = np.flatnonzero(hit.sum(1) > 2 * k)
-                if len(many):
+                if len(many) and len(bi) >= k:
                     least = -np.partition(-np.where(hit[many], score[many], -np.inf), k - 1, axis=1)[:, k - 1]
                     hit[many] &= score[many] >= least[:, None] - _SLACK
                 at, to = np.nonzero(hit)
