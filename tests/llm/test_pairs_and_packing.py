@@ -51,6 +51,26 @@ def test_components_by_brute_force(spark, sf, width, percent, listed, monkeypatc
     assert {i: r["component_id"] for i, r in got.items()} == components(sets, percent)
 
 
+@pytest.mark.parametrize("tile", [256, 3])
+def test_link_counts_by_brute_force(spark, tile, monkeypatch):
+    """All links of a class count, also within a component, however the group is cut."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rows = []
+    for i in range(14):
+        words = prose(50, 200).split()
+        words[i * 5 : i * 5 + 3] = [f"x{i}", f"y{i}", f"z{i}"]
+        rows += [(100 + i, " ".join(words)), (200 + i, " ".join(prose(51, 120).split()[: 90 + 2 * i]))]
+    rows += [(300, prose(52, 100)), (301, prose(52, 99)), (302, prose(53, 80)), (303, rows[0][1]), (304, prose(52, 100)), (205, prose(54, 70))]
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(i, []).append(shingles(words_of(t), 3))
+    near = lambda a, b: 100 * len(a & b) >= 90 * len(a | b)
+    got = similar_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    nodes = {r["class_id"] for r in got}
+    want = {i: sum(any(near(a, b) for a in sets[i] for b in sets[j]) for j in nodes if j != i) for i in nodes}
+    assert {r["class_id"]: r["n_links"] for r in got} == want and max(want.values()) > 5
+
+
 @pytest.mark.parametrize("loose", [0, 1, 2, 3])
 def test_signatures_meet(loose):
     """Sets within reach share a signature, however many segments are loose."""

@@ -151,16 +151,16 @@ def signatures(hashes: np.ndarray, bands: list[Band], percent: int) -> np.ndarra
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-def similar_sets(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_sets(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, class_id, component_id, n_links.
 
     Words lie between ASCII white space, with A-Z in lower case. A set holds the
     distinct runs of ``width`` words; a shorter text is one run, a text without
     words or a null one has none and is linked with nothing. Sets link when
     100 * common >= percent * all. ``class_id`` is the smallest id with the same
-    set, ``component_id`` the smallest id reached by links, ``n_links`` the
-    links between the class and other classes that were compared, which are
-    enough to connect every component.
+    set, ``component_id`` the smallest id reached by links, ``n_links`` how
+    many other classes the class links with, all counted; without ``count_links`` there
+    is no such column.
 
     Rows without an id are returned with no class or component and link with
     nothing. Rows that repeat an id are rows of their own, but one node. Other
@@ -176,18 +176,19 @@ def similar_sets(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     counts = {r["b"]: r["n"] for r in classes.groupBy(band.alias("b")).agg(F.count("*").alias("n")).collect()}
     bands = plan_bands(counts, percent)
     copies = digests.where("n_shingles > 0").join(classes, ["_d1", "_d2", "n_shingles"]).where("_id <> class_id").select("_id").distinct()
-    links, parts = _links(sets, classes, stored(copies.join(classes.select(F.col("class_id").alias("_id")), "_id", "left_anti")), bands, width, percent, kind)
-    number = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    parts = _components(sets, stored(copies.join(classes.select(F.col("class_id").alias("_id")), "_id", "left_anti")), bands, width, percent, kind)
     # One row per class that has a link, and the smallest id of its component.
     least = parts.groupBy("component").agg(F.min("node").alias("component_id"))
-    linked = parts.join(least, "component").select(F.col("node").alias("class_id"), "component_id").join(number, "class_id", "left")
+    linked = stored(parts.join(least, "component").select(F.col("node").alias("class_id"), "component_id"))
+    if count_links:
+        linked = linked.join(_link_counts(linked, sets, width, percent, kind), "class_id", "left")
     named = stored(classes.join(linked, "class_id", "left"))
     out = digests.alias("d").join(named.alias("c"), ["_d1", "_d2", "n_shingles"], "left")
     own = F.when(F.col("d._id").isNotNull(), F.coalesce("component_id", "class_id", "d._id"))
     return out.select(
         F.col("d._id").alias(id_col), "n_shingles",
         F.when(F.col("d._id").isNotNull(), F.coalesce("class_id", "d._id")).alias("class_id"),
-        own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        own.alias("component_id"), *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []),
     )
 
 
@@ -225,8 +226,8 @@ def _signature_rows(width: int, bands: list[Band], percent: int):
 LISTED, TILE = 48, 256
 
 
-def _links(sets: DataFrame, classes: DataFrame, copies: DataFrame, bands: list[Band], width: int, percent: int, kind: str) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between classes, named by their smallest ids, and the components (node, component) they make.
+def _components(sets: DataFrame, copies: DataFrame, bands: list[Band], width: int, percent: int, kind: str) -> DataFrame:
+    """The components (node, component) that links between classes, named by their smallest ids, make.
 
     Sets that meet in a signature are a group, and its smallest id is the head.
     First all members are compared with their head: one comparison a member,
@@ -252,7 +253,7 @@ def _links(sets: DataFrame, classes: DataFrame, copies: DataFrame, bands: list[B
     found = members.groupBy("a").agg(F.count("*").alias("_n"), F.min("_part").alias("_x"), F.max("_part").alias("_y"))
     open_ = stored(found.where("_x <> _y").select("a", "_n"))
     if open_.isEmpty():
-        return links, parts
+        return parts
     few = open_.where(F.col("_n") <= LISTED).select(F.col("a").alias("_h"))
     listed = groups.join(few, "_h").join(members.select(F.col("a").alias("_h"), F.col("b").alias("_id"), "_part"), ["_h", "_id"])
     one, other = listed.select("_sig", F.col("_id").alias("a"), F.col("_part").alias("_p")), listed.select("_sig", F.col("_id").alias("b"), F.col("_part").alias("_q"))
@@ -260,7 +261,30 @@ def _links(sets: DataFrame, classes: DataFrame, copies: DataFrame, bands: list[B
     tiled = _tiles(members.join(open_.where(F.col("_n") > LISTED), "a"), sets, width, percent, kind)
     more = stored(near.unionByName(tiled).distinct())
     links = links.unionByName(stored(_verified(more, sets, width, percent)))
-    return links, connected_components(links)
+    return connected_components(links)
+
+
+def _link_counts(linked: DataFrame, sets: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
+    """class_id, n_links: all links of each class, which lie within its component, by hashes of the shingles.
+
+    Two classes that are a component link once. Larger components are compared
+    in tiles, each pair of blocks a row of its own that returns one number per
+    member, so no pair is emitted.
+    """
+    sizes = stored(linked.groupBy("component_id").agg(F.count("*").alias("_n")))
+    sized = stored(join_narrow(linked, sizes, ["component_id"], "inner"))
+    two = sized.where("_n = 2").select("class_id", F.lit(1).cast("long").alias("n_links"))
+    if sized.where("_n > 2").limit(1).isEmpty():
+        return two
+    members = sized.where("_n > 2").select(F.col("component_id").alias("a"), F.col("class_id").alias("b"), F.col("class_id").alias("_part"), "_n")
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield _counted(batch.column(0)[row].values, batch.column(1)[row].values, percent)
+
+    parts = _block_pairs(members, sets, width, kind).mapInArrow(count, f"class_id {kind}, n long")
+    return two.unionByName(parts.groupBy("class_id").agg(F.sum("n").alias("n_links")))
 
 
 def _texts_of(ids: DataFrame, sets: DataFrame) -> DataFrame:
@@ -269,10 +293,14 @@ def _texts_of(ids: DataFrame, sets: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if fits_broadcast(ids) else ids, "_id", "left_semi")
 
 
-def _both_texts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _both_texts(pairs: DataFrame, sets: DataFrame, one_left: bool = False) -> DataFrame:
     """The pairs with both texts, sorted by a: a set that many are compared with is built once."""
     texts = stored(_texts_of(stored(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()), sets))
     left = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_x"))
+    if one_left:
+        # Of an id with several texts one is what all members are compared with.
+        heads = stored(pairs.select("a").distinct())
+        left = join_narrow(left, heads, ["a"], "left_semi").groupBy("a").agg(F.max("_x").alias("_x"))
     right = texts.select(F.col("_id").alias("b"), F.col("_text").alias("_y"))
     return pairs.join(right, "b").join(left, "a")
 
@@ -300,7 +328,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
 
 
 def _tiles(members: DataFrame, sets: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
-    """a, b: for each two components of a head's members that a tile connects, one pair that does, by hashes.
+    """a, b: for each two components of a head's members that a tile connects, one pair that does, by hashes."""
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                found = _connecting(batch.column(0)[row].values, batch.column(1)[row].values, percent)
+                if found is not None:
+                    yield found
+
+    return _block_pairs(members, sets, width, kind).mapInArrow(meet, f"a {kind}, b {kind}").distinct()
+
+
+def _block_pairs(members: DataFrame, sets: DataFrame, width: int, kind: str) -> DataFrame:
+    """_l, _r: each two blocks of a head's members, from a, b, _part and their number _n.
 
     A member is carried as what it and its head do not share, which is little for
     copies: of two members, what they do not share follows from that. A head's
@@ -321,30 +362,19 @@ def _tiles(members: DataFrame, sets: DataFrame, width: int, percent: int, kind:
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(sizes, pa.int64()), pa.array(deltas, pa.list_(pa.int64()))], ["a", "b", "_part", "_blocks", "_s", "_d"])
 
     blocks = F.ceil(F.col("_n") / TILE).cast("int").alias("_blocks")
-    texts = _both_texts(stored(members.select("a", "b", "_part", blocks)), sets).select("a", "b", "_part", "_blocks", "_x", "_y")
+    texts = _both_texts(stored(members.select("a", "b", "_part", blocks)), sets, one_left=True).select("a", "b", "_part", "_blocks", "_x", "_y")
     carried = texts.mapInArrow(unlike, f"a {kind}, b {kind}, _part {kind}, _blocks int, _s long, _d array<long>")
     block = F.pmod(F.xxhash64("b"), F.col("_blocks")).cast("int")
     held = carried.groupBy("a", block.alias("_i")).agg(F.first("_blocks").alias("_blocks"), F.collect_list(F.struct("b", "_part", "_s", "_d")).alias("_m"))
     held = stored(held)
     each = held.select("a", "_i", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_j")).where("_i <= _j")
     left, right = held.select("a", "_i", F.col("_m").alias("_l")), held.select("a", F.col("_i").alias("_j"), F.col("_m").alias("_r"))
-    tiles = each.join(left, ["a", "_i"]).join(right, ["a", "_j"]).select("_l", "_r")
-
-    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                found = _connecting(batch.column(0)[row].values, batch.column(1)[row].values, percent)
-                if found is not None:
-                    yield found
-
-    return tiles.mapInArrow(meet, f"a {kind}, b {kind}").distinct()
+    return each.join(left, ["a", "_i"]).join(right, ["a", "_j"]).select("_l", "_r")
 
 
-def _connecting(left: pa.StructArray, right: pa.StructArray, percent: int) -> pa.RecordBatch | None:
-    """One linking pair of each two components of two blocks of members of one head."""
-    ids, parts, sizes, deltas = zip(*[[side.field(i) for i in range(4)] for side in (left, right)])
-    code = pa.concat_arrays(parts).dictionary_encode().indices.to_numpy()
-    p, q = code[: len(left)], code[len(left) :]
+def _linking(left: pa.StructArray, right: pa.StructArray, percent: int) -> np.ndarray:
+    """Which members of two blocks of one head link, a row for each left and a column for each right one."""
+    sizes, deltas = zip(*[[side.field(i) for i in (2, 3)] for side in (left, right)])
     flat = [np.asarray(d.flatten()) for d in deltas]
     counts = [np.asarray(d.value_lengths()) for d in deltas]
     _, place = np.unique(np.concatenate(flat), return_inverse=True)
@@ -363,7 +393,35 @@ def _connecting(left: pa.StructArray, right: pa.StructArray, percent: int) -> pa
     s, t = (np.asarray(x).astype(np.int64) for x in sizes)
     unlike = counts[0][:, None] + counts[1][None, :] - 2 * shared.astype(np.int64)
     common = (s[:, None] + t[None, :] - unlike) // 2
-    i, j = np.nonzero((100 * common >= percent * (s[:, None] + t[None, :] - common)) & (p[:, None] != q[None, :]))
+    return 100 * common >= percent * (s[:, None] + t[None, :] - common)
+
+
+def _counted(left: pa.StructArray, right: pa.StructArray, percent: int) -> pa.RecordBatch:
+    """How many of the other block each member of two blocks links with; a block with itself counts once.
+
+    An id with several texts is one member, which links as any of them does.
+    """
+    codes, ids = [], []
+    for side in (left, right):
+        own = side.field(0).dictionary_encode()
+        codes.append(own.indices.to_numpy())
+        ids.append(own.dictionary)
+    link = np.zeros((len(ids[0]), len(ids[1])), bool)
+    i, j = np.nonzero(_linking(left, right, percent))
+    link[codes[0][i], codes[1][j]] = True
+    if ids[0].equals(ids[1]):
+        np.fill_diagonal(link, False)
+        return pa.RecordBatch.from_arrays([ids[0], pa.array(link.sum(1), pa.int64())], ["class_id", "n"])
+    both = [pa.array(link.sum(axis), pa.int64()) for axis in (1, 0)]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(both)], ["class_id", "n"])
+
+
+def _connecting(left: pa.StructArray, right: pa.StructArray, percent: int) -> pa.RecordBatch | None:
+    """One linking pair of each two components of two blocks of members of one head."""
+    ids, parts = zip(*[[side.field(i) for i in range(2)] for side in (left, right)])
+    code = pa.concat_arrays(parts).dictionary_encode().indices.to_numpy()
+    p, q = code[: len(left)], code[len(left) :]
+    i, j = np.nonzero(_linking(left, right, percent) & (p[:, None] != q[None, :]))
     if not len(i):
         return None
     both = np.minimum(p[i], q[j]).astype(np.int64) * (int(code.max()) + 1) + np.maximum(p[i], q[j])
@@ -376,7 +434,7 @@ def drop_near_copies(docs: DataFrame, width: int = 3, percent: int = 90, id_col:
 
     Rows without an id or words stay. Rows that share an id stay or go together.
     """
-    found = similar_sets(docs, width, percent, id_col, text_col)
+    found = similar_sets(docs, width, percent, id_col, text_col, count_links=False)
     gone = stored(found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct())
     return join_narrow(docs, gone, [id_col], "left_anti").select(*docs.columns)
 
