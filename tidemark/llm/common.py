@@ -20,6 +20,19 @@ SPACE = r"\x20\x09-\x0D"
 BROADCAST_ROWS = 150_000
 
 
+#: CRC-32 in SQL: a table ``tab`` of one list ``t``, and the checksum of an expression of digits by it.
+CRC_TABLE = """
+    tab AS (
+      SELECT list(v ORDER BY i) AS t
+      FROM (SELECT i, list_reduce(range(8), lambda a, x: CASE WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i::BIGINT) AS v
+            FROM range(256) r(i)))"""
+
+
+def crc32_sql(digits: str) -> str:
+    step = "lambda a, c: xor(a >> 8, t[(xor(a, ascii(c)::BIGINT) & 255) + 1])"
+    return f"xor(list_reduce(string_split({digits}, ''), {step}, 4294967295::BIGINT), 4294967295)"
+
+
 def query(name: str, sql: str | None = None):
     """Register a query of this subpackage, with its SQL twin where one exists."""
 
@@ -66,4 +79,4 @@ def join_narrow(df: DataFrame, narrow: DataFrame, on: list[str], how: str) -> Da
     return df.join(F.broadcast(narrow) if fits_broadcast(narrow) else narrow, on, how)
 
 
-__all__ = ["QUERIES", "SQL", "SPACE", "cut", "fits_broadcast", "join_narrow", "lowered", "query", "stored", "table"]
+__all__ = ["CRC_TABLE", "QUERIES", "SQL", "SPACE", "crc32_sql", "cut", "fits_broadcast", "join_narrow", "lowered", "query", "stored", "table"]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_narrow, query, stored, table
+from .common import CRC_TABLE, crc32_sql, cut, join_narrow, query, stored, table
 from .mixing import words_in
 
 #: A turn's id: 16 bytes of its SHA-256, then its words as four bytes.
@@ -290,10 +290,9 @@ def _digest_rows(rows: list[tuple[bytes, str]]) -> pa.RecordBatch:
 @query(
     "op11_prefix_trie",
     """
-    WITH tab AS (
-      SELECT list(v ORDER BY i) AS t
-      FROM (SELECT i, list_reduce(range(8), lambda a, x: CASE WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i::BIGINT) AS v
-            FROM range(256) r(i))),
+    WITH """
+    + CRC_TABLE
+    + """,
     own AS (
       SELECT conv_id, list(struct_pack(
                id := sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')),
@@ -301,7 +300,9 @@ def _digest_rows(rows: list[tuple[bytes, str]]) -> pa.RecordBatch:
       FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
     drawn AS (
       SELECT conv_id, s, conv_id - conv_id % 20 AS base,
-             (xor(list_reduce(string_split(conv_id::VARCHAR, ''), lambda a, c: xor(a >> 8, t[(xor(a, ascii(c)::BIGINT) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 4)::INT AS h
+             ("""
+    + crc32_sql("conv_id::VARCHAR")
+    + """ % 4)::INT AS h
       FROM own, tab),
     walks AS (
       SELECT d.conv_id, list_concat(CASE WHEN b.s IS NULL THEN [] ELSE b.s[1:h] END, d.s[h + 1:]) AS s
