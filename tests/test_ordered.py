@@ -52,3 +52,20 @@ def test_dense_codes(spark):
     df = spark.range(2000).select(F.concat(F.lit("v"), (F.col("id") * 13 % 500).cast("string")).alias("c"))
     want = {v: i for i, v in enumerate(sorted({r["c"] for r in df.collect()}))}
     assert {r["c"]: r["code"] for r in dense_codes(df, "c").collect()} == want
+
+
+def test_quantiles_of_every_size(spark):
+    import numpy as np
+
+    from tidemark.functions.quantiles import quantiles
+
+    probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
+    sizes = [*range(1, 51), 1498]
+    columns = {f"n{n}": [round((i * 7919 + n) % 1013 / 7.0, 4) for i in range(n)] for n in sizes}
+    rows = [tuple(v[i] if i < len(v) else None for v in columns.values()) for i in range(max(sizes))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns))
+    # At the default accuracy, and so that all but the smallest go through brackets.
+    for accuracy in (10_000, 20):
+        got = {r["feature"]: r["q"] for r in quantiles(df, list(columns), probs, accuracy=accuracy).collect()}
+        for c, values in columns.items():
+            assert np.allclose(got[c], np.quantile(values, probs)), (c, accuracy)

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import PASS_WIDTH, doubles, long_numbers, long_text, named, per_column, union_all
-from .ordered import running_by_value
+from .ordered import running, running_by_value
+from .scratch import BUCKET_ROWS
 
 
 def quantiles(
@@ -21,8 +22,9 @@ def quantiles(
 ) -> DataFrame:
     """feature, n, q array<double>: exact linear-interpolated quantiles per column.
 
-    Spark's ``percentile`` keeps every distinct value of a column in one task.
-    Here a sketch brackets each quantile between two values. Where they are
+    Spark's ``percentile`` keeps every distinct value of a column in one task,
+    so it serves only columns counted to hold few (under ``3 * accuracy``).
+    In others a sketch brackets each quantile between two values. Where they are
     equal that is the answer; elsewhere the rows below the bracket are counted
     and only the few rows inside it are shuffled and ranked.
     """
@@ -46,9 +48,14 @@ def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float], bu
     rows = {r["feature"]: (r["n"], r["q"]) for r in sketch.collect()}
     known: dict[tuple[str, int], float] = {}
     open_: list[tuple[str, int, float, float]] = []
+    # Below this count the slack is less than the rank of error and the two ranks that interpolation needs.
+    few = [c for c in columns if 0 < rows[c][0] < 3 * accuracy]
+    if few:
+        exact = per_column(df, few, {"q": lambda c: F.percentile(c, [float(p) for p in probs])})
+        known.update({(r["feature"], i): v for r in exact.collect() for i, v in enumerate(r["q"])})
     for c in columns:
         n, q = rows[c]
-        for i in range(len(probs) if n else 0):
+        for i in range(len(probs) if n and c not in few else 0):
             low, high = q[2 * i], q[2 * i + 1]
             if low == high:
                 known[c, i] = low
@@ -63,8 +70,11 @@ def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float], bu
 def _ranked_inside(df: DataFrame, brackets: list[tuple[str, int, float, float]], sizes: dict[str, int],
                    probs: Sequence[float], buckets: int | None) -> dict[tuple[str, int], float]:
     """The quantiles of the open brackets: one pass counts the rows below, one ranks those inside."""
-    below = df.agg(*[F.count_if(F.col(c) < low).alias(f"b_{j}") for j, (c, _, low, _) in enumerate(brackets)]).first()
     inside = [F.col(c).between(low, high) for c, _, low, high in brackets]
+    below = df.agg(
+        *[F.count_if(F.col(c) < low).alias(f"b_{j}") for j, (c, _, low, _) in enumerate(brackets)],
+        *[F.count_if(i).alias(f"i_{j}") for j, i in enumerate(inside)],
+    ).first()
     cells = [
         F.when(inside[j], F.struct(F.lit(j).alias("j"), F.col(c).alias("value"))) for j, (c, *_) in enumerate(brackets)
     ]
@@ -77,7 +87,11 @@ def _ranked_inside(df: DataFrame, brackets: list[tuple[str, int, float, float]],
         .groupBy("s.j", "s.value")
         .agg(F.count("*").alias("n"))
     )
-    ranked = running_by_value(counts, ["j"], "value", ["n"], buckets)
+    if buckets is None and sum(below[len(brackets) :]) <= BUCKET_ROWS:
+        # Counted to fit one bucket, so the rows need not be written to be counted.
+        ranked = running(counts, ["j"], [F.col("value")], ["n"])
+    else:
+        ranked = running_by_value(counts, ["j"], "value", ["n"], buckets)
     # Ranks of the two rows around each quantile, within its bracket.
     targets = [probs[i] * (sizes[c] - 1) for c, i, *_ in brackets]
     ranks = [(math.floor(t) - below[j], math.ceil(t) - below[j]) for j, t in enumerate(targets)]

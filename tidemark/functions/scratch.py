@@ -43,6 +43,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table below the checkpoint folder and go on from it: what a model keeps, or a loop repeats."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, parts: int = 64) -> DataFrame:
     """Deal a table over ``parts`` tasks, before work that is heavy per row on a table read by few tasks.
 

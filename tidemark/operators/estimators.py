@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, doubles, per_column
 from ..functions.ordered import number_by_hash
-from ..functions.scratch import spread
-from .pairs import neighbour_vote
+from ..functions.scratch import spread, written
+from .hashing import NeighbourIndex, fit_index
+from .pairs import nearest, vote
 
 SEED = 42
 
@@ -202,7 +203,6 @@ FAMILIES: dict[str, Family] = {
 }
 
 # Families tried when none are named; the others are opt-in.
-# Neighbour models compare all rows with all, so they are searched only where the caller names them.
 DEFAULT_FAMILIES = {
     "classification": [
         "RandomForestClassifier", "GradientBoostingClassifier", "LogisticRegression", "LinearSVC", "GaussianNB",
@@ -250,38 +250,60 @@ def fit_family(df: DataFrame, name: str, features: Sequence[str], label: str | N
 
 
 class NeighbourEstimator(Estimator, DefaultParamsReadable, DefaultParamsWritable):
-    """k nearest neighbours: fitting keeps the training rows as a table."""
+    """k nearest neighbours: fitting keeps the training rows as a table.
+
+    By ``method`` "hashed" they are found through an index of random
+    projections whose share of true neighbours is measured at fit; "exact"
+    compares all rows with all.
+    """
 
     idCol = Param(Params._dummy(), "idCol", "unique row id", TypeConverters.toString)
     k = Param(Params._dummy(), "k", "neighbours", TypeConverters.toInt)
     weights = Param(Params._dummy(), "weights", "uniform or distance", TypeConverters.toString)
     p = Param(Params._dummy(), "p", "1 manhattan, 2 euclidean", TypeConverters.toInt)
     classify = Param(Params._dummy(), "classify", "vote or mean", TypeConverters.toBoolean)
+    method = Param(Params._dummy(), "method", "hashed or exact", TypeConverters.toString)
+    recall = Param(Params._dummy(), "recall", "share of true neighbours the index should find", TypeConverters.toFloat)
 
-    def __init__(self, idCol="id", k=5, weights="uniform", p=2, classify=True):
+    def __init__(self, idCol="id", k=5, weights="uniform", p=2, classify=True, method="hashed", recall=0.9):
         super().__init__()
-        self._set(idCol=idCol, k=k, weights=weights, p=p, classify=classify)
+        if method not in ("hashed", "exact"):
+            raise ValueError(f"unknown method: {method}")
+        self._set(idCol=idCol, k=k, weights=weights, p=p, classify=classify, method=method, recall=recall)
 
     def _fit(self, df: DataFrame) -> "NeighbourModel":
         options = {n.name: self.getOrDefault(n) for n in self.params}
         key = options["idCol"]
-        return NeighbourModel(options, df.select(key, vector_to_array("features").alias("features"), F.col("label").cast("double").alias("label")))
+        # Written, as the rows given may be gone when the model is used.
+        train = written(df.select(key, vector_to_array("features").alias("features"), F.col("label").cast("double").alias("label")), "neighbours")
+        if options["method"] == "exact":
+            return NeighbourModel(options, train)
+        index = fit_index(train.select(key, "features"), key, options["k"], options["p"], options["recall"])
+        return NeighbourModel(options | {"index": index.settings()}, train, index)
 
 
 class NeighbourModel(Model, MLReadable, MLWritable):
     options = Param(Params._dummy(), "options", "settings of the estimator", TypeConverters.identity)
 
-    def __init__(self, options: dict | None = None, train: DataFrame | None = None):
+    def __init__(self, options: dict | None = None, train: DataFrame | None = None, index: NeighbourIndex | None = None):
         super().__init__()
         self._set(options=options or {})
-        self.train = train
+        self.train, self.index = train, index
+
+    @property
+    def recall(self) -> float | None:
+        """The measured share of true neighbours; 1 for the exact form."""
+        return self.index.recall if self.index else 1.0
 
     def _transform(self, df: DataFrame) -> DataFrame:
         o = self.getOrDefault("options")
         key = o["idCol"]
         new = df.select(key, vector_to_array("features").alias("features"))
-        voted = neighbour_vote(self.train, new, key, "label", o["k"], o["weights"], o["p"], o["classify"])
-        return df.join(voted, key)
+        if self.index is None:
+            found = nearest(new, self.train.select(key, "features"), key, o["k"], o["p"], skip_self=False)
+        else:
+            found = self.index.nearest(new, o["k"], skip_self=False)
+        return df.join(vote(found, self.train, key, "label", o["weights"], o["classify"]), key)
 
     def write(self) -> "_NeighbourWriter":
         return _NeighbourWriter(self)
@@ -295,12 +317,17 @@ class _NeighbourWriter(DefaultParamsWriter):
     def saveImpl(self, path: str) -> None:
         super().saveImpl(path)
         self.instance.train.write.mode("overwrite").parquet(f"{path}/train")
+        if self.instance.index:
+            self.instance.index.write(f"{path}/index")
 
 
 class _NeighbourReader(DefaultParamsReader):
     def load(self, path: str) -> NeighbourModel:
         model = super().load(path)
-        model.train = SparkSession.active().read.parquet(f"{path}/train")
+        spark = SparkSession.active()
+        model.train = spark.read.parquet(f"{path}/train")
+        settings = model.getOrDefault("options").get("index")
+        model.index = NeighbourIndex.read(spark, f"{path}/index", settings) if settings else None
         return model
 
 

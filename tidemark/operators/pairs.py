@@ -100,8 +100,13 @@ def nearest(left: DataFrame, right: DataFrame, key: str, k: int, p: int = 2,
         return out[np.isfinite(out["distance"])]
 
     best = block_pairs(left, right, key, reduce, "key long, neighbour long, distance double", block_rows)
+    return place_nearest(best, k)
+
+
+def place_nearest(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of every key in key, neighbour, distance, with their place."""
     place = F.row_number().over(W.partitionBy("key").orderBy("distance", "neighbour"))
-    return best.withColumn("place", place).where(F.col("place") <= k)
+    return found.withColumn("place", place).where(F.col("place") <= k)
 
 
 def neighbour_vote(
@@ -113,6 +118,11 @@ def neighbour_vote(
     Weights are equal, or one over the distance; an exact match then outweighs the rest.
     """
     found = nearest(new.select(key, "features"), train.select(key, "features"), key, k, p, block_rows, False)
+    return vote(found, train, key, label, weights, classify)
+
+
+def vote(found: DataFrame, train: DataFrame, key: str, label: str, weights: str = "uniform", classify: bool = True) -> DataFrame:
+    """key, prediction from neighbours (key, neighbour, distance) and the labels of the training rows."""
     labels = train.select(F.col(key).alias("neighbour"), F.col(label).cast("double").alias("y"))
     voted = found.join(labels, "neighbour")
     if weights == "distance":

@@ -12,6 +12,7 @@ from ..operators import reduce as D
 from ..operators import tuning as T
 from ..operators.dbscan import dbscan
 from ..operators.evaluate import classification_metrics, regression_metrics
+from ..operators.hashing import fit_index
 from ..operators.prepare import LabelEncoder, Scaler
 from ..operators.retrain import update_model
 from ..sources.registry import ModelStore
@@ -167,6 +168,21 @@ def neighbour_mean(spark, sf):
     return rounded(out, 6, "prediction")
 
 
+@query("hashed_neighbours")
+def hashed_neighbours(spark, sf):
+    """The ten nearest rows of every row through an index of random projections."""
+    v = N.vectors(embeddings(spark, sf), "vec_id", "embedding")
+    return fit_index(v, "vec_id", most=10).nearest(v, 10)
+
+
+@query("hashed_neighbour_recall", "SELECT count(*) AS n, CAST(20 AS INTEGER) AS k, TRUE AS reached FROM embeddings")
+def hashed_neighbour_recall(spark, sf):
+    """Whether the index finds nine of ten true neighbours, as measured at fit."""
+    v = N.vectors(embeddings(spark, sf), "vec_id", "embedding")
+    index = fit_index(v, "vec_id", most=20, recall=0.9)
+    return v.agg(F.count("*").alias("n"), F.lit(index.most).alias("k"), F.lit(index.recall >= 0.9).alias("reached"))
+
+
 _CELLS_SQL = """cells AS (SELECT vec_id, label AS c, unnest(range(64)) AS d, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings),
 mid AS (SELECT c, d, avg(x) AS m, count(*) AS n FROM cells GROUP BY 1, 2)"""
 
@@ -335,7 +351,7 @@ def fit_boosting_many_classes(spark, sf):
 def fit_neighbours(spark, sf):
     """Trained on the labelled documents, all scored: the neighbours of a labelled one include the row itself."""
     df = texts(spark, sf)
-    model = E.fit_family(df, "KNeighborsClassifier", MEASURES, "label", {"k": 5}, [Scaler("standard", MEASURES)], id_col="doc_id")
+    model = E.fit_family(df, "KNeighborsClassifier", MEASURES, "label", {"k": 5, "method": "exact"}, [Scaler("standard", MEASURES)], id_col="doc_id")
     return E.score(model, texts(spark, sf, unlabelled=True), ["doc_id"])
 
 
