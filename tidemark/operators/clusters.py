@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import safe_divide
 from ..functions.ordered import hash_order, running_by_value
-from ..functions.scratch import join_lookup
+from ..functions.scratch import join_lookup, written
 from .pairs import BLOCK_ROWS, block_pairs, distances, matrix, vectors
 from .profile import group_shares
 
@@ -34,21 +34,86 @@ def _square_gap(a, b):
     return F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
 
 
-def calinski_harabasz(df: DataFrame, features: Sequence[str], cluster: str) -> DataFrame:
-    """n_clusters, calinski_harabasz, from one pass over the rows."""
-    found = centroids(df, features, cluster)
-    k = len(features)
+def _calinski_harabasz(found: DataFrame, k: int) -> DataFrame:
+    """n_clusters, calinski_harabasz from the ``centroids`` of ``k`` features."""
     mean = F.array(*[F.sum(F.col("n") * F.col("center")[i]) / F.sum("n") for i in range(k)])
-    overall = found.agg(mean.alias("m")).first()["m"]
+    overall = found.agg(mean.alias("m")).first()["m"] or []
     between = F.sum(F.col("n") * _square_gap(F.col("center"), F.array(*map(F.lit, overall))))
     groups = F.count("*")
     score = safe_divide(between * (F.sum("n") - groups), F.sum("within") * (groups - 1))
     return found.agg(groups.alias("n_clusters"), F.when(groups > 1, score).alias("calinski_harabasz"))
 
 
+def calinski_harabasz(df: DataFrame, features: Sequence[str], cluster: str) -> DataFrame:
+    """n_clusters, calinski_harabasz, from one pass over the rows."""
+    return _calinski_harabasz(written(centroids(df, features, cluster), "centroids"), len(features))
+
+
+#: Numbers of all cluster centres together that every task may hold at once.
+HELD_NUMBERS = 1_000_000
+
+
+def squared_silhouette(df: DataFrame, features: Sequence[str], cluster: str) -> DataFrame:
+    """silhouette by squared distance, over all rows, without comparing rows.
+
+    The mean squared distance from a row to a cluster follows from the
+    cluster's centre and spread: the squared distance to the centre plus the
+    mean squared distance of the members to it. So one pass makes a row per
+    cluster, and one more measures every row against those. Rows alone in their
+    cluster count 0; with one cluster the result is null.
+    """
+    return _squared_silhouette(df, features, cluster, written(centroids(df, features, cluster), "centroids"))
+
+
+def _squared_silhouette(df: DataFrame, features: Sequence[str], cluster: str, found: DataFrame) -> DataFrame:
+    groups = found.count()
+    rows = df.select(F.col(cluster).alias("own"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
+    spread = (F.col("within") / F.col("n")).alias("s")
+    if groups * len(features) <= HELD_NUMBERS:
+        # Counted to be few: all clusters as one row.
+        all_of_them = found.select(F.struct("cluster", "n", "center", spread).alias("c")).agg(F.collect_list("c").alias("cs"))
+        each = rows.join(F.broadcast(all_of_them))
+        distance = lambda c: _square_gap(F.col("x"), c["center"]) + c["s"]
+        mine = lambda c: c["cluster"].eqNullSafe(F.col("own"))
+        own = F.filter("cs", mine)[0]
+        sides = each.select(
+            F.when(own["n"] > 1, distance(own) * own["n"] / (own["n"] - 1)).alias("a"),
+            F.array_min(F.transform(F.filter("cs", lambda c: ~mine(c)), distance)).alias("b"),
+        )
+    else:
+        sides = _sides_by_blocks(rows, found.select("cluster", "n", "center", spread))
+    score = safe_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
+    return sides.where("b IS NOT NULL").agg(F.avg(F.coalesce(score, F.lit(0.0))).alias("silhouette"))
+
+
+def _sides_by_blocks(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """a, b of ``_squared_silhouette`` with more centres than a task should hold: a block of rows meets a block of centres."""
+    numbered = written(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
+    names = F.to_json(F.struct(F.col("cluster").alias("c")))
+    centres = found.withColumn("name", names).withColumn("id", F.xxhash64("name")).drop("cluster")
+    asked = numbered.select("id", "x", F.to_json(F.struct(F.col("own").alias("c"))).alias("name"))
+
+    def reduce(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        d = distances(matrix(left["x"]), matrix(right["center"])) ** 2 + right["s"].to_numpy()[None, :]
+        same = left["name"].to_numpy()[:, None] == right["name"].to_numpy()[None, :]
+        n = right["n"].to_numpy()[None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own = np.where(same & (n > 1), d * n / (n - 1), -1.0).max(axis=1)
+        other = np.where(same, np.inf, d).min(axis=1)
+        return pd.DataFrame({"id": left["id"].to_numpy(), "a": own, "b": other})
+
+    parts = block_pairs(asked, centres, "id", reduce, "id long, a double, b double")
+    best = parts.groupBy("id").agg(F.max("a").alias("a"), F.min("b").alias("b"))
+    return best.select(F.when(F.col("a") >= 0, F.col("a")).alias("a"), F.when(F.col("b") < float("inf"), F.col("b")).alias("b"))
+
+
 def davies_bouldin(df: DataFrame, features: Sequence[str], cluster: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """davies_bouldin: mean over clusters of the worst ratio of spread to centre distance."""
-    found = centroids(df, features, cluster).select("cluster", "center")
+    return _davies_bouldin(df, features, cluster, centroids(df, features, cluster), block_rows)
+
+
+def _davies_bouldin(df: DataFrame, features: Sequence[str], cluster: str, centres: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    found = centres.select("cluster", "center")
     rows = vectors(df, cluster, features).withColumnRenamed(cluster, "cluster")
     gap = F.sqrt(_square_gap(F.col("features"), F.col("center")))
     spread = join_lookup(rows, found, ["cluster"]).groupBy("cluster").agg(F.avg(gap).alias("spread"), F.first("center").alias("features"))
@@ -98,15 +163,20 @@ def silhouette(df: DataFrame, key: str, features: Sequence[str] | str, cluster:
 
 
 def cluster_metrics(df: DataFrame, features: Sequence[str], cluster: str = "prediction", key: str | None = None) -> DataFrame:
-    """One row with status, cluster count, Calinski-Harabasz and Davies-Bouldin; silhouette when rows have a key."""
-    if calinski_harabasz(df, features, cluster).first()["n_clusters"] < 2:
+    """One row: status, n_clusters, calinski_harabasz, davies_bouldin and silhouette.
+
+    The silhouette is by squared distance, which needs no comparison of rows;
+    with ``key``, a unique row id, ``silhouette_euclidean`` compares all rows.
+    """
+    found = written(centroids(df, features, cluster), "centroids")
+    if found.count() < 2:
         return df.agg(
             F.count_distinct(cluster).alias("n_clusters"), F.lit("insufficient_clusters").alias("status")
         )
-    out = calinski_harabasz(df, features, cluster).withColumn("_one", F.lit(1))
-    parts = [davies_bouldin(df, features, cluster)]
+    out = _calinski_harabasz(found, len(features)).withColumn("_one", F.lit(1))
+    parts = [_davies_bouldin(df, features, cluster, found), _squared_silhouette(df, features, cluster, found)]
     if key:
-        parts.append(silhouette(df, key, features, cluster))
+        parts.append(silhouette(df, key, features, cluster).withColumnRenamed("silhouette", "silhouette_euclidean"))
     for part in parts:
         out = out.join(part.withColumn("_one", F.lit(1)), "_one")
     return out.drop("_one").withColumn("status", F.lit("success"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import (
     PASS_WIDTH,
@@ -112,21 +117,57 @@ def missing_total(df: DataFrame) -> DataFrame:
     )
 
 
+def _digest(df: DataFrame, name: str) -> Column:
+    """Two hashes of a value, together wide enough to stand for it; null where it is missing."""
+    value = present(df, name)
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        # Zero has no sign.
+        value = value + F.lit(0.0)
+    return F.when(value.isNotNull(), F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(name), value).alias("b")))
+
+
+def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """feature, rows, missing, distinct of every column, from one narrow pass.
+
+    A cell is its column's number and a digest of its value. Cells are counted
+    by value before they are shuffled, so a value that fills a column costs one
+    row per task, and no row is copied whole per column. Missing values are not
+    counted as a value.
+    """
+    columns = df.columns if columns is None else list(columns)
+    parts = []
+    for start in range(0, len(columns), PASS_WIDTH):
+        chunk = columns[start : start + PASS_WIDTH]
+        cells = df.select(F.inline(F.array(*[F.struct(F.lit(start + i).alias("feature"), _digest(df, c).alias("h")) for i, c in enumerate(chunk)])))
+        values = cells.groupBy("feature", F.col("h.a").alias("a"), F.col("h.b").alias("b")).agg(F.count("*").alias("n"))
+        parts.append(values.groupBy("feature").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("a").isNull(), F.col("n"))).alias("missing"), F.count("a").alias("distinct")))
+    # An empty table has columns all the same.
+    names = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("feature"))
+    full = names.join(union_all(parts), "feature", "left") if parts else names.select("feature", *[F.lit(None).cast("long").alias(c) for c in ("rows", "missing", "distinct")])
+    filled = full.select("feature", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("rows", "missing", "distinct")])
+    return named(filled, columns)
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    """feature, distinct: nulls are not counted."""
+    """feature, distinct: nulls are not counted.
+
+    ``approximate`` estimates from sketches in one pass without a shuffle of
+    values (see ``sketches`` for those that can be kept and merged).
+    """
     columns = df.columns if columns is None else columns
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    return per_column(df, columns, {"distinct": lambda c: count(present(df, c))})
+    if approximate:
+        return per_column(df, columns, {"distinct": lambda c: F.approx_count_distinct(present(df, c))})
+    return column_facts(df, columns).select("feature", "distinct")
 
 
 def column_overview(df: DataFrame) -> DataFrame:
-    """feature, type, distinct, missing_pct in column order."""
+    """feature, type, distinct, missing_pct in column order, from one pass."""
     kinds = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())])
     places = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
+    pct = F.coalesce(F.round(safe_divide(F.col("missing") * 100, F.col("rows")), 2), F.lit(0.0))
     return (
-        null_counts(df)
-        .join(distinct_counts(df), "feature")
-        .select("feature", kinds[F.col("feature")].alias("type"), "distinct", "missing_pct")
+        column_facts(df)
+        .select("feature", kinds[F.col("feature")].alias("type"), "distinct", pct.alias("missing_pct"))
         .orderBy(places[F.col("feature")])
     )
 
@@ -274,27 +315,91 @@ def target_profile(df: DataFrame, target: str) -> DataFrame:
     return distinct.unionByName(counts).unionByName(balance)
 
 
-def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def correlations(df: DataFrame, columns: Sequence[str] | None = None, wide: bool | None = None) -> DataFrame:
     """a, b, r for every pair a before b: Pearson over the rows where both are present.
 
-    All pairs of a chunk are aggregated in one pass. A constant column gives null.
+    A constant column gives null. Few columns are aggregated pair by pair. With
+    many (``wide``, by default above the width of one pass) the pairs would take
+    a read for every few columns; sums of products of all are then taken in one.
     """
     columns = numeric_columns(df) if columns is None else columns
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    if wide or (wide is None and len(pairs) > 2 * PASS_WIDTH):
+        return wide_correlations(df, columns)
     df = doubles(df, columns)
-    parts = []
-    for start in range(0, len(pairs), 2 * PASS_WIDTH):
-        chunk = pairs[start : start + 2 * PASS_WIDTH]
-        exprs = []
-        for i, (a, b) in enumerate(chunk):
-            x, y = F.col(a), F.col(b)
-            both_x, both_y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-            spread = F.stddev_samp(both_x) * F.stddev_samp(both_y)
-            r = safe_divide(F.covar_samp(both_x, both_y), spread)
-            exprs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")).alias(f"p_{i}"))
-        row = df.agg(*exprs)
-        parts.append(row.select(F.inline(F.array(*[F.col(f"p_{i}") for i in range(len(chunk))]))))
-    return union_all(parts)
+    exprs = []
+    for i, (a, b) in enumerate(pairs):
+        x, y = F.col(a), F.col(b)
+        both_x, both_y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        spread = F.stddev_samp(both_x) * F.stddev_samp(both_y)
+        r = safe_divide(F.covar_samp(both_x, both_y), spread)
+        exprs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")).alias(f"p_{i}"))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    row = df.agg(*exprs)
+    return row.select(F.inline(F.array(*[F.col(f"p_{i}") for i in range(len(pairs))])))
+
+
+#: Columns of one block of sums, and rows that are multiplied at once.
+GRAM_BLOCK, GRAM_ROWS = 64, 4096
+
+
+def wide_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``correlations`` of any number of columns in one read of the table.
+
+    A task multiplies its rows as matrices: values, squares and marks of
+    presence give, for every pair, the six sums over the rows where both are
+    present. Sums leave a task once, in blocks, and are added up by Spark.
+    Values are taken relative to one that occurs, so that a large mean does not
+    swallow the differences.
+    """
+    columns = list(columns)
+    k = len(columns)
+    slim = doubles(df, columns)
+    some = slim.limit(100).collect()
+    origin = np.array([next((r[i] for r in some if r[i] is not None), 0.0) for i in range(k)])
+    rows = slim.select(F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit(float("nan"))) for c in columns]).alias("x"))
+
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            column = batch.column(0)
+            values = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            for start in range(0, len(values), GRAM_ROWS):
+                x = values[start : start + GRAM_ROWS] - origin
+                there = (~np.isnan(x)).astype("float64")
+                x = np.where(there > 0, x, 0.0)
+                square = x * x
+                part = np.stack([there.T @ there, x.T @ there, square.T @ there, x.T @ x])
+                total = part if total is None else total + part
+        if total is None:
+            return
+        # For row i and column j: how many, sums and squares of either where both are, products.
+        whole = np.stack([total[0], total[1], total[1].T, total[2], total[2].T, total[3]])
+        for low in range(0, k, GRAM_BLOCK):
+            high = min(k, low + GRAM_BLOCK)
+            # Only pairs above the diagonal are asked for.
+            at = np.arange(min(high, k))
+            flat = whole[:, : len(at), low:high].transpose(1, 0, 2).reshape(len(at), -1)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), low, np.int32)), values], ["i", "low", "v"])
+
+    parts = rows.mapInArrow(sums, "i int, low int, v array<double>")
+    added = parts.groupBy("i", "low").agg(Summarizer.sum(array_to_vector("v")).alias("v")).select("i", "low", vector_to_array("v").alias("v"))
+    width = (F.size("v") / 6).cast("int")
+    cell = lambda s, j: F.get("v", s * F.col("_w") + j)
+    sums_of = lambda j: F.struct((F.col("low") + j).alias("j"), *[cell(s, j).alias(n) for s, n in enumerate(("n", "sx", "sy", "sxx", "syy", "sxy"))])
+    pairs = added.withColumn("_w", width).select("i", F.inline(F.transform(F.sequence(F.lit(0), F.col("_w") - 1), sums_of))).where("i < j")
+
+    def variance(square: str, total: str) -> Column:
+        v = F.col(square) - F.col(total) * F.col(total) / F.col("n")
+        # What rounding leaves of a constant is no variance.
+        return F.when(v > F.col(square) * 1e-13, v)
+
+    over = F.sqrt(variance("sxx", "sx")) * F.sqrt(variance("syy", "sy"))
+    r = F.when(F.col("n") > 1, safe_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), over))
+    names = F.array(*map(F.lit, columns))
+    return pairs.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), r.alias("r"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

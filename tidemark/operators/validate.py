@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, per_column, safe_divide, text_columns, union_all
-from .profile import null_counts, distinct_counts, numeric_stats, outlier_counts
+from .profile import column_facts, numeric_stats, outlier_counts
 from .select import column_match
 
 STAT_NAMES = ("count", "mean", "std", "min", "q25", "q50", "q75", "max", "outliers", "lower_bound", "upper_bound")
@@ -64,11 +64,6 @@ def mixed_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     )
 
 
-def column_facts(df: DataFrame) -> DataFrame:
-    """feature, rows, missing, distinct for every column."""
-    return null_counts(df).drop("missing_pct").join(distinct_counts(df), "feature")
-
-
 def issues(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """severity, rule, feature, ratio: every broken rule, from aggregates only."""
     facts = column_facts(df)

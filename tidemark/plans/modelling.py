@@ -17,7 +17,7 @@ from ..operators.prepare import LabelEncoder, Scaler
 from ..operators.retrain import update_model
 from ..sources.registry import ModelStore
 from ..streaming import monitoring as S
-from .base import query, rounded, table, union_sql
+from .base import SQL, query, rounded, table, union_sql
 
 DIMS = 64
 AXES = [f"e{i}" for i in range(DIMS)]
@@ -221,9 +221,26 @@ def silhouette(spark, sf):
     return rounded(C.silhouette(df, "vec_id", "embedding", "cluster", block_rows=256), 6, "silhouette")
 
 
-@query("cluster_report")
+_SQUARED_SQL = """p AS (SELECT a.vec_id, a.label AS own, b.label AS other, count(*) AS n,
+  sum(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) ** 2) AS t FROM embeddings a, embeddings b GROUP BY 1, 2, 3),
+sides AS (SELECT vec_id, max(CASE WHEN own = other THEN t / nullif(n - 1, 0) END) AS a, min(CASE WHEN own <> other THEN t / n END) AS b FROM p GROUP BY 1)"""
+
+
+@query("squared_silhouette", f"WITH {_SQUARED_SQL} SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM sides")
+def squared_silhouette(spark, sf):
+    """From one row per cluster; the SQL compares all rows."""
+    return rounded(C.squared_silhouette(embedding_columns(spark, sf), AXES, "cluster"), 6, "silhouette")
+
+
+@query(
+    "cluster_report",
+    f"""WITH ch AS ({SQL["calinski_harabasz"]}), db AS ({SQL["davies_bouldin"]}), {_SQUARED_SQL},
+sq AS (SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM sides)
+SELECT n_clusters, calinski_harabasz, davies_bouldin, silhouette, 'success' AS status FROM ch, db, sq""",
+)
 def cluster_report(spark, sf):
-    return C.cluster_metrics(embedding_columns(spark, sf), AXES, "cluster", key="vec_id")
+    out = C.cluster_metrics(embedding_columns(spark, sf), AXES, "cluster")
+    return rounded(out, 6, "calinski_harabasz", "davies_bouldin", "silhouette")
 
 
 def _clustered(spark, sf, name, params):

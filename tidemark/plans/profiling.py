@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
+from ..functions.scratch import scratch_path
 from ..operators import profile as P
+from ..operators import sketches as K
 from .base import GAPS_SQL, gappy_lineitem, query, rounded, table, union_sql
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -124,6 +126,25 @@ def distinct_counts(spark, sf):
     return P.distinct_counts(gappy_lineitem(spark, sf))
 
 
+@query(
+    "distinct_by_day",
+    """WITH w AS (SELECT * FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20')
+SELECT 'event_type' AS feature, count(*) AS "rows", count(DISTINCT event_type) AS "distinct", TRUE AS close FROM w
+UNION ALL SELECT 'user_id', count(*), count(DISTINCT user_id), TRUE FROM w
+UNION ALL SELECT 'value', count(*), count(DISTINCT value), TRUE FROM w""",
+)
+def distinct_by_day(spark, sf):
+    """Sketches of all days are stored; those of sixteen days are merged and held against the exact counts."""
+    df = table(spark, sf, "events").select("ts", "event_type", "user_id", "value")
+    root = scratch_path(spark, "sketches")
+    K.record_days(df, root, "ts")
+    days = F.to_date("ts").between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-20").cast("date"))
+    exact = P.distinct_counts(df.where(days), ["event_type", "user_id", "value"])
+    merged = K.profile_of_days(spark, root, "2024-01-05", "2024-01-20").select("feature", "rows", F.col("distinct").alias("estimate"))
+    close = F.abs(F.col("estimate") - F.col("distinct")) <= 0.04 * F.col("distinct")
+    return exact.join(merged, "feature").select("feature", "rows", "distinct", close.alias("close"))
+
+
 @query(
     "column_overview",
     f"""WITH {GAPS_SQL}, per AS ({_NULLS_SQL})
@@ -261,6 +282,19 @@ def correlation_matrix(spark, sf):
     return rounded(P.correlation_matrix(gappy_lineitem(spark, sf), _CORR), 6, "r")
 
 
+@query(
+    "wide_correlations",
+    """WITH cells AS (SELECT vec_id, d, CASE WHEN (vec_id + d) % 7 > 0 THEN x END AS x
+  FROM (SELECT vec_id, unnest(range(64)) AS d, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings))
+SELECT 'e' || a.d AS a, 'e' || b.d AS b, round(corr(a.x, b.x), 6) AS r FROM cells a JOIN cells b ON a.vec_id = b.vec_id AND a.d < b.d
+WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2""",
+)
+def wide_correlations(spark, sf):
+    """All pairs of the 64 axes in one read, with gaps in every column."""
+    cells = [F.when((F.col("vec_id") + d) % 7 > 0, F.col("embedding")[d].cast("double")).alias(f"e{d}") for d in range(64)]
+    return rounded(P.correlations(table(spark, sf, "embeddings").select(cells)), 6, "r")
+
+
 @query(
     "high_correlations",
     """SELECT 'event_id' AS a, 'doubled' AS b, round(abs(corr(event_id, 5 - 2 * event_id)), 6) AS r FROM events""",
