@@ -26,6 +26,7 @@ from ..functions.ordered import hash_order, number_by_hash
 from .clusters import calinski_harabasz, davies_bouldin
 from .evaluate import classification_metrics, regression_metrics, roc_auc
 from .estimators import FAMILIES, SEED, Context, families_for, feature_importance, model_pipeline
+from .samplers import MedianPruner, draw, sampler  # noqa: F401 - draw is part of this module's face
 
 # True where a larger value is better.
 METRICS = {
@@ -101,19 +102,6 @@ def with_folds(df: DataFrame, id_col: str, folds: int = 5, stratify: str | None
     return numbered.select(*df.columns, F.pmod(F.col("position") - 1, F.lit(folds)).cast("int").alias("fold"))
 
 
-def draw(space: dict[str, tuple], rng: random.Random) -> dict:
-    """One random point of a search space."""
-    out = {}
-    for name, (kind, *limits) in space.items():
-        if kind == "int":
-            out[name] = rng.randint(*limits)
-        elif kind == "float":
-            out[name] = rng.uniform(*limits)
-        else:
-            out[name] = rng.choice(limits[0])
-    return out
-
-
 def metric_value(scored: DataFrame, metric: str) -> float:
     """A metric of a table with ``label`` and ``prediction`` (and a score column for auc)."""
     if metric not in METRICS:
@@ -161,12 +149,32 @@ def _each_fold(data: DataFrame, work: Callable[[int], object], folds: int, paral
 
 
 def _fold_scores(data: DataFrame, name: str, params: dict, context: Context, stages: Sequence, metric: str,
-                 folds: int, parallelism: int) -> list[float]:
+                 folds: int, parallelism: int, pruner: MedianPruner | None = None) -> tuple[list[float], bool]:
+    """The score of every fold, and whether the trial was given up before the last.
+
+    While no trial can be given up the folds run side by side. Afterwards they
+    run one after the other, as a fold not begun is what a hopeless trial saves.
+    """
+
     def one(i: int) -> float:
         model = model_pipeline(name, params, context, stages).fit(data.where(F.col("fold") != i).drop("fold"))
         return metric_value(model.transform(data.where(F.col("fold") == i)), metric)
 
-    return _each_fold(data, one, folds, parallelism)
+    sign = -1.0 if METRICS[metric] else 1.0
+    if pruner is None or not pruner.ready:
+        scores = _each_fold(data, one, folds, parallelism)
+        if pruner is not None:
+            pruner.keep([sign * s for s in scores])
+        return scores, False
+    scores = []
+    for i in range(folds):
+        scores.append(one(i))
+        losses = [sign * s for s in scores]
+        if i + 1 < folds and pruner.hopeless(losses):
+            pruner.keep(losses)
+            return scores, True
+    pruner.keep(losses)
+    return scores, False
 
 
 def _better(a: float | None, b: float | None, metric: str) -> bool:
@@ -193,12 +201,19 @@ def search(
     fixed: dict[str, dict] | None = None,
     exact_folds: bool = True,
     callback: Callable[[int, float | None], None] | None = None,
+    draws: str = "parzen",
+    prune: bool = True,
+    startup: int = 10,
 ) -> SearchResult:
-    """Try families with random parameters by cross-validation, and refit the best on all rows.
-
-    ``trials`` and ``time_limit`` hold per family; a family stops early after
-    ``patience`` trials without gain. ``fixed`` sets parameters of a family
-    beforehand. A failing trial is recorded and does not stop the search.
+    """Try families with various parameters by cross-validation, and refit the best on all rows.
+
+    ``draws`` says how parameters are chosen: "parzen" near what went well,
+    after ``startup`` random trials, or "random". With ``prune`` a trial that
+    falls behind the median of its family is given up between folds; it is
+    recorded as pruned, with its mean so far. ``trials`` and ``time_limit`` hold
+    per family; a family stops early after ``patience`` trials without gain.
+    ``fixed`` sets parameters of a family beforehand. A failing trial is
+    recorded and does not stop the search.
     """
     task = task or label_task(df, label)
     metric = metric or DEFAULT_METRIC[task]
@@ -216,9 +231,10 @@ def search(
         for name in names:
             rng = random.Random(f"{seed}-{name}")
             family_best, stale, seen, start = None, 0, set(), time.time()
+            chooser, pruner = sampler(draws, startup), MedianPruner() if prune else None
             for _ in range(trials):
                 space = {k: v for k, v in FAMILIES[name].space.items() if k not in (fixed or {}).get(name, {})}
-                params = {**draw(space, rng), **(fixed or {}).get(name, {})}
+                params = {**chooser.suggest(space, rng), **(fixed or {}).get(name, {})}
                 mark = repr(sorted(params.items()))
                 if mark in seen:
                     # A small space runs out; a repeat would give the same score.
@@ -227,22 +243,24 @@ def search(
                         break
                     continue
                 seen.add(mark)
-                began, score, spread, error = time.time(), None, None, None
+                began, score, spread, error, pruned = time.time(), None, None, None, False
                 try:
-                    got = _fold_scores(data, name, params, context, stages, metric, folds, parallelism)
+                    got, pruned = _fold_scores(data, name, params, context, stages, metric, folds, parallelism, pruner)
                     score = sum(got) / len(got)
                     spread = math.sqrt(sum((g - score) ** 2 for g in got) / len(got))
                 except Exception as failure:  # noqa: BLE001 - a trial may fail for any reason of its model
                     error = f"{type(failure).__name__}: {failure}"[:500]
+                chooser.learn(params, None if score is None else (-score if METRICS[metric] else score))
                 texts = {k: str(v) for k, v in params.items()}
-                status = "completed" if error is None else "failed"
+                status = "failed" if error is not None else "pruned" if pruned else "completed"
                 log.append((len(log), name, texts, metric, score, spread, time.time() - began, status, error))
                 if callback:
                     callback(len(log) - 1, score)
-                stale = 0 if _better(score, family_best, metric) else stale + 1
+                # A trial that was given up is never the best, whatever its folds gave.
+                stale = 0 if not pruned and _better(score, family_best, metric) else stale + 1
                 if stale == 0:
                     family_best = score
-                if _better(score, best[0], metric):
+                if not pruned and _better(score, best[0], metric):
                     best = (score, name, params)
                 if stale >= patience or time.time() - start > time_limit:
                     break
@@ -280,8 +298,8 @@ def cluster_score(clustered: DataFrame, features: Sequence[str], metric: str) ->
 
 def search_clusters(df: DataFrame, features: Sequence[str], models: Sequence[str] | None = None, metric: str = "silhouette",
                     trials: int = 30, stages: Sequence = (), seed: int = SEED, fixed: dict[str, dict] | None = None,
-                    callback: Callable[[int, float | None], None] | None = None) -> SearchResult:
-    """Try clustering families with random parameters and keep the best model by one measure."""
+                    callback: Callable[[int, float | None], None] | None = None, draws: str = "parzen") -> SearchResult:
+    """Try clustering families with various parameters (``draws`` as in ``search``) and keep the best model by one measure."""
     if metric not in CLUSTER_METRICS:
         raise ValueError(f"unknown metric: {metric}")
     data = df.persist()
@@ -290,15 +308,16 @@ def search_clusters(df: DataFrame, features: Sequence[str], models: Sequence[str
         log: list[tuple] = []
         best: tuple = (None, "", {}, None)
         for name in families_for("clustering", models):
-            rng = random.Random(f"{seed}-{name}")
+            rng, chooser = random.Random(f"{seed}-{name}"), sampler(draws)
             for _ in range(trials):
-                params = {**draw(FAMILIES[name].space, rng), **(fixed or {}).get(name, {})}
+                params = {**chooser.suggest(FAMILIES[name].space, rng), **(fixed or {}).get(name, {})}
                 began, score, error, model = time.time(), None, None, None
                 try:
                     model = model_pipeline(name, params, context, stages).fit(data)
                     score = cluster_score(model.transform(data), features, metric)
                 except Exception as failure:  # noqa: BLE001 - a trial may fail for any reason of its model
                     error = f"{type(failure).__name__}: {failure}"[:500]
+                chooser.learn(params, None if score is None else (-score if CLUSTER_METRICS[metric] else score))
                 texts = {k: str(v) for k, v in params.items()}
                 status = "completed" if error is None else "failed"
                 log.append((len(log), name, texts, metric, score, None, time.time() - began, status, error))

@@ -434,6 +434,22 @@ def model_search(spark, sf):
     return result.trials
 
 
+@query("search_by_auc")
+def search_by_auc(spark, sf):
+    """Guided trials by the area under the curve, hopeless ones given up between the five folds."""
+    return T.search(
+        texts(spark, sf), _TEXT_FEATURES, "label", "doc_id", models=["DecisionTreeClassifier", "GaussianNB"], metric="auc",
+        trials=12, startup=6, stages=_TEXT_STAGES,
+    ).trials
+
+
+@query("search_by_f1")
+def search_by_f1(spark, sf):
+    return T.search(
+        texts(spark, sf), _TEXT_FEATURES, "label", "doc_id", models=["LogisticRegression"], metric="f1", trials=8, startup=6, stages=_TEXT_STAGES,
+    ).trials
+
+
 @query("best_trials")
 def best_trials(spark, sf):
     result = T.search(
@@ -471,16 +487,24 @@ def validation_curve(spark, sf):
     return T.validation_curve(texts(spark, sf), "DecisionTreeClassifier", MEASURES, "label", "doc_id", "maxDepth", [2, 6], folds=2)
 
 
-@query("retrained_model")
+@query(
+    "retrained_model",
+    """WITH l AS (SELECT doc_id FROM documents JOIN labels USING (doc_id))
+SELECT 'quality' AS name, 'v1' AS version, 'LogisticRegression' AS model_type, NULL AS parent, 1 AS batches, count(*) FILTER (WHERE doc_id % 3 < 2) AS trained_rows FROM l
+UNION ALL SELECT 'quality', 'v2', 'LogisticRegression', 'v1', 2, count(*) FROM l""",
+)
 def retrained_model(spark, sf):
-    """Two versions saved; the registry rows after it."""
+    """A model of two thirds of the rows, retrained when half of these and the others come in: versions and the rows behind them."""
     store = ModelStore(spark, scratch_path(spark, "models"))
-    for _ in range(2):
-        update_model(
-            store, "quality", texts(spark, sf), MEASURES, "label", "doc_id", models=["LogisticRegression"], trials=1, folds=2,
-            stages=[Scaler("standard", MEASURES)], fixed={"LogisticRegression": {"maxIter": 10}},
-        )
-    return store.models().select("name", "version", "model_type", F.map_keys("metrics").alias("metrics"))
+    rows = texts(spark, sf)
+    for batch in (rows.where("doc_id % 3 < 2"), rows.where("doc_id % 3 > 0")):
+        update_model(store, "quality", batch, MEASURES, "label", "doc_id", models=["LogisticRegression"], trials=1, stages=[Scaler("standard", MEASURES)])
+    parts = []
+    for v in ("v1", "v2"):
+        known = store.training_rows("quality", v, "doc_id").agg(F.lit(v).alias("version"), F.count("*").alias("trained_rows"))
+        parts.append(known)
+    found = store.versions().select("name", "version", "model_type", "parent", F.size("batches").alias("batches"))
+    return found.join(parts[0].unionByName(parts[1]), "version")
 
 
 @query("loaded_model_scores")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,15 +32,38 @@ def log_schema(name: str) -> T.StructType:
 
 
 def append_log(df: DataFrame, root: str, name: str, ts: str = "ts") -> None:
-    """Append a batch of rows. Never called per row: every call writes files."""
+    """Append a batch of rows. Never called per row: every call writes files.
+
+    The batch is written to a folder of its own and its files are moved in, so
+    that writers at the same time do not clear away each other's work.
+    """
     fields = log_schema(name).fields
     shaped = df.select(
         *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
     )
-    shaped.withColumn("day", F.to_date(ts)).write.mode("append").partitionBy("day").parquet(f"{root}/{name}")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
+    staged = f"{root}/.staged/{name}-{uuid.uuid4().hex}"
+    shaped.withColumn("day", F.to_date(ts)).write.partitionBy("day").parquet(staged)
+    move_files(df.sparkSession, staged, f"{root}/{name}")
+
+
+def move_files(spark: SparkSession, source: str, target: str) -> None:
+    """Move the files of a written, partitioned table into another one; names of files are unique."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    origin = path(source)
+    fs = origin.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(origin):
+        if not folder.isDirectory():
+            continue
+        into = path(f"{target}/{folder.getPath().getName()}")
+        fs.mkdirs(into)
+        for file in fs.listStatus(folder.getPath()):
+            if not fs.rename(file.getPath(), path(into, file.getPath().getName())):
+                raise OSError(f"could not move {file.getPath()}")
+    fs.mkdirs(path(target))
+    fs.delete(origin, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
@@ -48,7 +72,7 @@ def read_log(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The whole log, or an empty table before the first append."""
     path = f"{root}/{name}"
     schema = log_schema(name)
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema).withColumn("day", F.lit(None).cast("date"))
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("day", T.DateType())])).parquet(path)
 
