@@ -1,12 +1,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from text_samples import prose
 from tokenizers import Tokenizer
 
 from tidemark.llm import jaccard
-from tidemark.llm.jaccard import Band, drop_near_copies, hashed_shingles, plan_bands, shingles, signatures, similar_sets, words_of, WordHashes
+from tidemark.llm.jaccard import Band, drop_near_copies, hashed_shingles, in_reach, parity_sketch, plan_bands, shingles, signatures, similar_sets, words_of, WordHashes
 from tidemark.llm.neighbours import hilbert_index, nearest
 from tidemark.llm.packing import fullest, pack, pack_lengths
 from tidemark.llm.passages import repeated_passages
@@ -71,11 +72,12 @@ def test_link_counts_by_brute_force(spark, tile, monkeypatch):
     assert {r["class_id"]: r["n_links"] for r in got} == want and max(want.values()) > 5
 
 
+@pytest.mark.parametrize("spare", [0, 1, 4, 30])
 @pytest.mark.parametrize("loose", [0, 1, 2, 3])
-def test_signatures_meet(loose):
-    """Sets within reach share a signature, however many segments are loose."""
+def test_signatures_meet(loose, spare):
+    """Sets within reach share a signature, however many segments are loose or spare."""
     rng = np.random.default_rng(loose)
-    band = [Band(40, 60, max(0, 7 - 2 * loose), loose)]
+    band = [Band(40, 60, max(0, 7 + spare - 2 * loose), loose, spare)]
     for _ in range(200):
         a = np.unique(rng.integers(0, 2**63, 54).astype(np.uint64))
         drop = rng.integers(0, 4)
@@ -84,6 +86,26 @@ def test_signatures_meet(loose):
         assert len(np.intersect1d(signatures(a, band, 90), signatures(b, band, 90)))
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sets_that_link_are_in_reach(percent):
+    """Sketches of different lengths never exclude a link, and exclude most sets that are far apart."""
+    rng = np.random.default_rng(percent)
+    fresh = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    far = 0
+    for _ in range(300):
+        a = fresh(rng.integers(1, 3000))
+        b = np.unique(np.r_[a[rng.integers(0, len(a) // 8 + 1) :], fresh(rng.integers(0, len(a) // 8 + 1))])
+        common = len(np.intersect1d(a, b))
+        links = 100 * common >= percent * (len(a) + len(b) - common)
+        x, y = parity_sketch(a, percent), parity_sketch(b, percent)
+        assert in_reach(len(a), len(b), x, y, percent) or not links
+        c = fresh(len(a))
+        far += in_reach(len(a), len(c), x, parity_sketch(c, percent), percent)
+        block = lambda h, s, k: pa.array([{"b": k, "_part": k, "_s": len(h), "_parity": s}], pa.struct([("b", pa.int64()), ("_part", pa.int64()), ("_s", pa.int64()), ("_parity", pa.binary())]))
+        assert jaccard._reach_matrix(block(a, x, 1), block(b, y, 2), percent)[0, 0] == in_reach(len(a), len(b), x, y, percent)
+    assert far < 15
+
+
 def test_bands_cover_all_sizes():
     bands = plan_bands({0: 5, 3: 10**9, 12: 4}, 90)
     covered = [s for b in bands for s in range(b.low, b.high + 1)]

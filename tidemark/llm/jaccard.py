@@ -5,8 +5,11 @@ most H shingles, H known by band. All possible shingles are split by a hash
 into segments; of H + 1 segments one must hold the same subset in both sets. A
 segment may also stand for two of them when subsets that differ by one shingle
 are found too, by the subsets with one shingle left out. How many of each kind
-a band gets is chosen by cost. Sets that meet in a segment are compared
-exactly, on their words.
+a band gets is chosen by cost. A few segments more than that are spared for
+those that are empty, so that no two sets meet only because both have nothing
+in a segment. Sets that meet are first held against each other by size and by
+the parity of their shingles in a bit array, which proves most of them too far
+apart before a text is moved; the others are compared exactly, on their words.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,12 +80,13 @@ def hashed_shingles(words: list[bytes], width: int, known: WordHashes) -> np.nda
 
 @dataclass(frozen=True)
 class Band:
-    """Set sizes low..high of the smaller set: segments matched exactly, and with one shingle off."""
+    """Set sizes low..high of the smaller set: segments matched exactly, and with one shingle off; spare ones among them."""
 
     low: int
     high: int
     exact: int
     loose: int
+    spare: int = 0
 
 
 def most_different(high: int, percent: int) -> int:
@@ -90,12 +95,25 @@ def most_different(high: int, percent: int) -> int:
     return (high + high * 100 // percent) * (100 - percent) // (100 + percent)
 
 
+def _beyond(mean: float, limit: int) -> float:
+    """How likely a rare event with this mean happens more than ``limit`` times."""
+    if mean > 50:
+        return 0.5 * math.erfc((limit + 0.5 - mean) / math.sqrt(2 * mean))
+    term = total = math.exp(-mean)
+    for k in range(1, limit + 1):
+        term *= mean / k
+        total += term
+    return max(0.0, 1.0 - total)
+
+
 def plan_bands(counts: dict[int, int], percent: int) -> list[Band]:
     """Segments of each band, from how many sets it has: ``counts`` by band number.
 
-    Cost of a segment matched exactly: one row to shuffle, and the other sets
-    that meet it by chance because both have nothing in it. With one shingle off
-    allowed it counts twice, but costs one more row per shingle.
+    A segment matched exactly costs one row to shuffle. With one shingle off
+    allowed it stands for two, but costs one more row per shingle. A spare
+    segment costs its rows too, and allows one more to be empty (or, with one
+    off, to hold one shingle) before a set has to be found by its empty ones as
+    well; that would cost a comparison with others that are as empty.
     """
     bands = []
     # One more at either end, should the two logarithms round apart.
@@ -104,16 +122,19 @@ def plan_bands(counts: dict[int, int], percent: int) -> list[Band]:
         if high < low:
             continue
         h = most_different(high, percent)
+        few = [0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128]
 
-        def cost(loose: int, n: int = counts.get(number, 0), size: float = (low + high) / 2, h: int = h) -> float:
-            exact = h + 1 - 2 * loose
-            m = loose + max(exact, 0)
+        def cost(plan: tuple[int, int], n: int = counts.get(number, 0), size: float = (low + high) / 2, h: int = h) -> float:
+            loose, spare = plan
+            exact = max(h + 1 + spare - 2 * loose, 0)
+            m = exact + loose
             held = size / m
-            empty = n * math.exp(-2 * held)
-            return m + loose * held + 20 * (m * empty + loose * 2 * held * empty)
+            thin = exact * math.exp(-held) + 2 * loose * (1 + held) * math.exp(-held)
+            return exact + loose * (1 + held) + 20 * _beyond(thin, spare) * (1 + n * math.exp(-held))
 
-        loose = min(range((h + 2) // 2 + 1), key=cost) if h < 64 else min((0, (h + 2) // 8, (h + 2) // 4, (h + 2) // 2), key=cost)
-        bands.append(Band(low, high, max(0, h + 1 - 2 * loose), loose))
+        looses = range((h + 2) // 2 + 1) if h < 64 else (0, (h + 2) // 8, (h + 2) // 4, (h + 2) // 2)
+        loose, spare = min(((a, b) for a in looses for b in few), key=cost)
+        bands.append(Band(low, high, max(0, h + 1 + spare - 2 * loose), loose, spare))
     return bands
 
 
@@ -143,14 +164,53 @@ def signatures(hashes: np.ndarray, bands: list[Band], percent: int) -> np.ndarra
         sums = np.r_[np.zeros(1, np.uint64), np.cumsum(value[order], dtype=np.uint64)]
         subset = sums[edges[1:]] - sums[edges[:-1]]
         name = np.arange(m, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + seed
-        out.append(_mix(subset ^ name))
+        held = np.diff(edges)
+        # Of what two sets in reach share, more than ``spare`` counts; if a set's thin segments do not
+        # count for that much, it shares one that is not thin, and what is found there is not empty.
+        thin = np.count_nonzero(held[: band.exact] == 0) + 2 * np.count_nonzero(held[band.exact :] <= 1)
+        whole = thin > band.spare
+        out.append(_mix(subset ^ name)[whole | (held > 0)])
         if band.loose:
             # The last segments are the loose ones; their subsets less one shingle are looked up too.
             mine = order[edges[band.exact] :]
+            mine = mine[whole | (held[segment[mine]] > 1)]
             out.append(_mix((subset[segment[mine]] - value[mine]) ^ name[segment[mine]]))
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
+#: Bits of a parity sketch: so many for each shingle two sets may differ in, within these limits.
+PARITY_BITS, LEAST_BITS, MOST_BITS = 4, 256, 1 << 20
+
+
+def parity_sketch(hashes: np.ndarray, percent: int) -> bytes:
+    """A bit array, each bit the parity of the shingles that fall on it.
+
+    Where two arrays differ, a shingle differs: no more bits differ than
+    shingles. An array of twice the length folds to one of half by xor.
+    """
+    bits = LEAST_BITS
+    while bits < PARITY_BITS * most_different(len(hashes), percent) and bits < MOST_BITS:
+        bits *= 2
+    place = (_mix(hashes ^ np.uint64(0x9FB21C651E98DF25)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def in_reach(n: int, m: int, x: bytes, y: bytes, percent: int) -> bool:
+    """False only if sets of sizes n and m with these sketches cannot link."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    a, b, size = int.from_bytes(x, "little"), int.from_bytes(y, "little"), max(len(x), len(y)) * 8
+    least = min(len(x), len(y)) * 8
+    while size > least:
+        size //= 2
+        mask = (1 << size) - 1
+        if len(x) > len(y):
+            a = (a >> size) ^ (a & mask)
+        else:
+            b = (b >> size) ^ (b & mask)
+    return (a ^ b).bit_count() <= (n + m) * (100 - percent) // (100 + percent)
+
+
 def similar_sets(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, class_id, component_id, n_links.
 
@@ -168,7 +228,7 @@ def similar_sets(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     """
     sets = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = sets.schema["_id"].dataType.simpleString()
-    digests = stored(sets.mapInArrow(_digest_rows(width), f"_id {kind}, n_shingles long, _d1 long, _d2 long"))
+    digests = stored(sets.mapInArrow(_digest_rows(width, percent), f"_id {kind}, n_shingles long, _d1 long, _d2 long, _parity binary"))
     classes = digests.where("n_shingles > 0 AND _id IS NOT NULL").groupBy("_d1", "_d2", "n_shingles").agg(F.min("_id").alias("class_id"))
     classes = stored(classes)
 
@@ -176,14 +236,15 @@ def similar_sets(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     counts = {r["b"]: r["n"] for r in classes.groupBy(band.alias("b")).agg(F.count("*").alias("n")).collect()}
     bands = plan_bands(counts, percent)
     copies = digests.where("n_shingles > 0").join(classes, ["_d1", "_d2", "n_shingles"]).where("_id <> class_id").select("_id").distinct()
-    parts = _components(sets, stored(copies.join(classes.select(F.col("class_id").alias("_id")), "_id", "left_anti")), bands, width, percent, kind)
+    sketches = digests.where("n_shingles > 0 AND _id IS NOT NULL").select("_id", F.col("n_shingles").alias("_n"), "_parity")
+    parts = _components(sets, sketches, stored(copies.join(classes.select(F.col("class_id").alias("_id")), "_id", "left_anti")), bands, width, percent, kind)
     # One row per class that has a link, and the smallest id of its component.
     least = parts.groupBy("component").agg(F.min("node").alias("component_id"))
     linked = stored(parts.join(least, "component").select(F.col("node").alias("class_id"), "component_id"))
     if count_links:
         linked = linked.join(_link_counts(linked, sets, width, percent, kind), "class_id", "left")
     named = stored(classes.join(linked, "class_id", "left"))
-    out = digests.alias("d").join(named.alias("c"), ["_d1", "_d2", "n_shingles"], "left")
+    out = digests.drop("_parity").alias("d").join(named.alias("c"), ["_d1", "_d2", "n_shingles"], "left")
     own = F.when(F.col("d._id").isNotNull(), F.coalesce("component_id", "class_id", "d._id"))
     return out.select(
         F.col("d._id").alias(id_col), "n_shingles",
@@ -192,18 +253,19 @@ def similar_sets(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     )
 
 
-def _digest_rows(width: int):
+def _digest_rows(width: int, percent: int):
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            n, d1, d2 = [], [], []
+            n, d1, d2, parity = [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = hashed_shingles(words_of(text), width, known)
                 n.append(len(h))
                 d1.append(_mix(h).sum(dtype=np.uint64))
                 d2.append(_mix(h ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64))
+                parity.append(parity_sketch(h, percent))
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), as_long(d1), as_long(d2)], ["_id", "n_shingles", "_d1", "_d2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), as_long(d1), as_long(d2), pa.array(parity, pa.binary())], ["_id", "n_shingles", "_d1", "_d2", "_parity"])
 
     return digest
 
@@ -226,26 +288,26 @@ def _signature_rows(width: int, bands: list[Band], percent: int):
 LISTED, TILE = 48, 256
 
 
-def _components(sets: DataFrame, copies: DataFrame, bands: list[Band], width: int, percent: int, kind: str) -> DataFrame:
+def _components(sets: DataFrame, sketches: DataFrame, copies: DataFrame, bands: list[Band], width: int, percent: int, kind: str) -> DataFrame:
     """The components (node, component) that links between classes, named by their smallest ids, make.
 
     Sets that meet in a signature are a group, and its smallest id is the head.
     First all members are compared with their head: one comparison a member,
     which settles groups of copies. Two members that meet share a head, so what
     is left are pairs of members of one head that are in different components.
-    Where a head has few members they are listed; where it has many, they are
-    compared in tiles, which give one link for each two components they connect.
+    Where a head has few members they are listed; where it has many, those in
+    reach of another are compared in tiles, which give one link for each two
+    components they connect. Texts are moved only for sets in reach.
     """
     signed = sets.where("_id IS NOT NULL").mapInArrow(_signature_rows(width, bands, percent), f"_id {kind}, _sigs array<long>")
     # One list per class; an id that is repeated may have several, which does no harm. Copies are mostly
     # fewer than classes, so they are what is taken out.
-    signed = stored(join_narrow(signed, copies, ["_id"], "left_anti"))
-    rows = signed.select(F.explode("_sigs").alias("_sig"), "_id")
-    first = rows.groupBy("_sig").agg(F.min("_id").alias("_h"), F.max("_id").alias("_l")).where("_h <> _l").select("_sig", "_h")
-    heads = stored(first)
-    groups = stored(rows.join(heads.hint("shuffle_hash"), "_sig").where("_h <> _id"))
+    rows = join_narrow(signed, copies, ["_id"], "left_anti").select(F.explode("_sigs").alias("_sig"), "_id")
+    # Signatures are shuffled once. Of a sorted partition the groups are read off as it streams by.
+    placed = rows.repartition("_sig").sortWithinPartitions("_sig", "_id")
+    groups = stored(placed.mapInArrow(_groups_of(kind), f"_sig long, _h {kind}, _id {kind}"))
     pairs = stored(groups.select(F.col("_h").alias("a"), F.col("_id").alias("b")).distinct())
-    links = stored(_verified(pairs, sets, width, percent))
+    links = stored(_verified(stored(_in_reach(pairs, sketches, percent)), sets, width, percent))
     parts = connected_components(links)
 
     part = parts.select(F.col("node").alias("b"), F.col("component").alias("_part"))
@@ -258,12 +320,106 @@ def _components(sets: DataFrame, copies: DataFrame, bands: list[Band], width: in
     listed = groups.join(few, "_h").join(members.select(F.col("a").alias("_h"), F.col("b").alias("_id"), "_part"), ["_h", "_id"])
     one, other = listed.select("_sig", F.col("_id").alias("a"), F.col("_part").alias("_p")), listed.select("_sig", F.col("_id").alias("b"), F.col("_part").alias("_q"))
     near = one.join(other, "_sig").where("a < b AND _p <> _q").select("a", "b").distinct()
-    tiled = _tiles(members.join(open_.where(F.col("_n") > LISTED), "a"), sets, width, percent, kind)
+    near = _in_reach(stored(near), sketches, percent)
+    tiled = _tiles(_with_partners(members.join(open_.where(F.col("_n") > LISTED), "a"), sketches, percent, kind), sets, width, percent, kind)
     more = stored(near.unionByName(tiled).distinct())
     links = links.unionByName(stored(_verified(more, sets, width, percent)))
     return connected_components(links)
 
 
+def _groups_of(kind: str):
+    """From rows sorted by _sig and _id: _sig, the first _id, and each further one. A group may go on in the next batch."""
+
+    def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, head = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            sigs, ids = batch.column(0).to_numpy(), batch.column(1)
+            begins = np.append(sigs[0] != sig, sigs[1:] != sigs[:-1])
+            place = np.maximum.accumulate(np.where(begins, np.arange(n), -1))
+            # The head of a group that began earlier is carried over: it stands behind the ids of this batch.
+            pool = pa.concat_arrays([ids, pa.array([head], ids.type)])
+            heads = pool.take(pa.array(np.where(place < 0, n, place)))
+            sig, head = sigs[-1], heads[n - 1].as_py()
+            out = pa.RecordBatch.from_arrays([batch.column(0), heads, ids], ["_sig", "_h", "_id"])
+            # An id that stands twice in a group is not its own partner.
+            yield out.filter(pc.and_(pa.array(~begins), pc.not_equal(heads, ids)))
+
+    return groups
+
+
+def _in_reach(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and parities allow a link."""
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in "ab"}
+    side = lambda c, n: sketches.select(F.col("_id").alias(c), F.struct("_n", "_parity").alias(n))
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = zip(*(batch.column(i).field(j).to_pylist() for i in (2, 3) for j in (0, 1)))
+            near = [in_reach(n, m, x, y, percent) for n, x, m, y in sides]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    both = pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b").select("a", "b", "_x", "_y")
+    return both.mapInArrow(keep, f"a {kinds['a']}, b {kinds['b']}").distinct()
+
+
+def _with_partners(members: DataFrame, sketches: DataFrame, percent: int, kind: str) -> DataFrame:
+    """The members (a, b, _part, _n) that may link with one of the same head in another component.
+
+    Blocks of sketches of a head's members are compared two by two.
+    """
+    blocks = F.ceil(F.col("_n") / TILE).cast("int")
+    known = members.join(sketches.select(F.col("_id").alias("b"), F.col("_n").alias("_s"), "_parity"), "b")
+    dealt = known.withColumn("_blocks", blocks).withColumn("_i", F.pmod(F.xxhash64("b"), F.col("_blocks")).cast("int"))
+    held = stored(dealt.groupBy("a", "_i").agg(F.first("_blocks").alias("_blocks"), F.collect_list(F.struct("b", "_part", "_s", "_parity")).alias("_m")))
+    each = held.select("a", "_i", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_j")).where("_i <= _j")
+    left, right = held.select("a", "_i", F.col("_m").alias("_l")), held.select("a", F.col("_i").alias("_j"), F.col("_m").alias("_r"))
+
+    def hopeful(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                l, r = batch.column(1)[row].values, batch.column(2)[row].values
+                i, j = np.nonzero(_reach_matrix(l, r, percent))
+                found = pa.concat_arrays([l.field(0).take(pa.array(np.unique(i))), r.field(0).take(pa.array(np.unique(j)))]).unique()
+                heads = pa.array([batch.column(0)[row].as_py()] * len(found), batch.column(0).type)
+                yield pa.RecordBatch.from_arrays([heads, found], ["a", "b"])
+
+    pairs = each.join(left, ["a", "_i"]).join(right, ["a", "_j"]).select("a", "_l", "_r")
+    near = stored(pairs.mapInArrow(hopeful, f"a {kind}, b {kind}").distinct())
+    left_over = members.drop("_n").join(near, ["a", "b"])
+    sizes = near.groupBy("a").agg(F.count("*").alias("_n"))
+    return stored(left_over.join(sizes, "a"))
+
+
+def _reach_matrix(left: pa.StructArray, right: pa.StructArray, percent: int) -> np.ndarray:
+    """Which members of two blocks may link, a row for each left and a column for each right one."""
+    part = pa.concat_arrays([left.field(1), right.field(1)]).dictionary_encode().indices.to_numpy()
+    p, q = part[: len(left)], part[len(left) :]
+    s, t = (np.asarray(side.field(2)).astype(np.int64) for side in (left, right))
+    small, large = np.minimum(s[:, None], t[None, :]), np.maximum(s[:, None], t[None, :])
+    near = (p[:, None] != q[None, :]) & (100 * small >= percent * large)
+    if not near.any():
+        return near
+    sketches = [side.field(3).to_pylist() for side in (left, right)]
+    bytes_ = min(len(x) for side in sketches for x in side)
+    bits = [np.stack([_folded(x, bytes_) for x in side]) for side in sketches]
+    allowed = (s[:, None] + t[None, :]) * (100 - percent) // (100 + percent)
+    for i in range(len(left)):
+        at = np.flatnonzero(near[i])
+        if len(at):
+            near[i, at] = np.bitwise_count(bits[0][i] ^ bits[1][at]).sum(axis=1, dtype=np.int64) <= allowed[i, at]
+    return near
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.view(np.uint64)
+
+
 def _link_counts(linked: DataFrame, sets: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
     """class_id, n_links: all links of each class, which lie within its component, by hashes of the shingles.
 
