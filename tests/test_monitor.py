@@ -166,6 +166,34 @@ def test_column_contracts(spark):
     assert S.scoring_columns(df, ["b", "a"]).columns == ["b", "a"]
 
 
+def settled(spark, listener):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    listener.flush()
+
+
+def test_late_rows_of_many_triggers(spark, tmp_path):
+    """More triggers than a query remembers, a late row in every fourth."""
+    source, counts = str(tmp_path / "in"), str(tmp_path / "late")
+    schema = "k long, ts timestamp, value double"
+    start = dt.datetime(2024, 1, 1)
+    for i in range(112):
+        rows = [(i, start + dt.timedelta(hours=2 * i), 1.0)]
+        if i % 4 == 3:
+            rows.append((1000 + i, start, 1.0))
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{source}/batch={i:03d}")
+    listener = W.LateRows(spark, counts, flush_every=30)
+    spark.streams.addListener(listener)
+    try:
+        stream = W.read_stream(spark, f"{source}/*", spark.createDataFrame([], schema).schema, files_per_batch=1)
+        q = W.append_stream(W.window_metrics(stream, "ts", ["k"], "value", late="0 seconds"), str(tmp_path / "out"), str(tmp_path / "state"))
+        q.awaitTermination()
+        settled(spark, listener)
+    finally:
+        spark.streams.removeListener(listener)
+    row = W.late_rows(spark, counts).first()
+    assert len(q.recentProgress) <= 100 < row["batches"] and row["dropped"] == 28
+
+
 def test_streams_drop_late_rows_and_replay_once(spark, tmp_path):
     """Three files: the second moves the watermark, the third is late."""
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
@@ -179,14 +207,22 @@ def test_streams_drop_late_rows_and_replay_once(spark, tmp_path):
         frame = W.read_stream(spark, source, spark.createDataFrame([], schema).schema)
         q = W.append_stream(W.window_metrics(frame, "ts", ["k"], "value"), out, state)
         q.awaitTermination()
-        return W.late_rows(q)
-
-    feed([(1, hour(0), "a", 1.0), (2, hour(0.5), "a", 3.0)])
-    run()
-    feed([(3, hour(5), "a", 10.0)])
-    run()
-    feed([(4, hour(0.2), "a", 99.0), (5, hour(9), "a", 1.0)])
-    assert run() >= 1
+
+    counts = str(tmp_path / "late")
+    assert W.late_rows(spark, counts).count() == 0
+    listener = W.LateRows(spark, counts)
+    spark.streams.addListener(listener)
+    try:
+        feed([(1, hour(0), "a", 1.0), (2, hour(0.5), "a", 3.0)])
+        run()
+        feed([(3, hour(5), "a", 10.0)])
+        run()
+        feed([(4, hour(0.2), "a", 99.0), (5, hour(9), "a", 1.0)])
+        run()
+        settled(spark, listener)
+    finally:
+        spark.streams.removeListener(listener)
+    assert [r["dropped"] for r in W.late_rows(spark, counts).collect()] == [1]
     got = {r["window_start"]: (r["n"], r["mean"]) for r in spark.read.parquet(out).collect()}
     assert got[hour(0)] == (2, 2.0) and got[hour(5)] == (1, 10.0)
 

@@ -317,14 +317,14 @@ def streamed_alerts(spark, sf):
 
 
 _LATE_SQL = """SELECT p.event_id, p.value AS prediction, l.value AS label FROM events p LEFT JOIN events l
-  ON l.event_type = 'purchase' AND l.user_id % 500 = p.event_id % 500 AND l.ts >= p.ts AND l.ts <= p.ts + INTERVAL 1 DAY
+  ON l.event_type = 'purchase' AND l.user_id = p.user_id AND l.ts >= p.ts AND l.ts <= p.ts + INTERVAL 1 DAY
 WHERE p.event_type = 'click'"""
 
 
 def _late(frame):
-    """Clicks are predictions, and later purchases bring the labels."""
-    p = frame.where("event_type = 'click'").select("event_id", (F.col("event_id") % 500).alias("k"), "ts", F.col("value").alias("prediction"))
-    l = frame.where("event_type = 'purchase'").select((F.col("user_id") % 500).alias("k"), F.col("ts").alias("label_ts"), F.col("value").alias("label"))
+    """Clicks are predictions, and later purchases of the user bring the labels."""
+    p = frame.where("event_type = 'click'").select("event_id", F.col("user_id").alias("k"), "ts", F.col("value").alias("prediction"))
+    l = frame.where("event_type = 'purchase'").select(F.col("user_id").alias("k"), F.col("ts").alias("label_ts"), F.col("value").alias("label"))
     return S.join_late_labels(p, l, "k", "ts", "label_ts", "label").select("event_id", "ts", "prediction", "label")
 
 
@@ -333,12 +333,66 @@ def late_label_join(spark, sf):
     return _late(table(spark, sf, "events")).drop("ts")
 
 
-@query("streamed_label_join", _LATE_SQL + " AND l.value IS NOT NULL")
+@query("streamed_label_join", _LATE_SQL)
 def streamed_label_join(spark, sf):
-    """The labelled rows. A stream sends an unlabelled row once the watermark is past its bound."""
-    path = scratch_path(spark, "labelled")
-    out = _late(_event_stream(spark, sf))
-    run = S.append_stream(out, path, scratch_path(spark, "state"))
-    return _finish(spark, run, path).where("label IS NOT NULL").drop("ts")
+    """As the batch: an unlabelled row is sent once the watermark is past its bound, which two closing rows bring about."""
+    events = table(spark, sf, "events")
+    source, path = scratch_path(spark, "source"), scratch_path(spark, "labelled")
+    events.write.parquet(source)
+    last = events.agg(F.max("ts").alias("t"))
+    closing = last.select(
+        F.lit(-1).cast("long").alias("event_id"), (F.col("t") + F.expr("INTERVAL 3 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("user_id"),
+        F.explode(F.array(F.lit("click"), F.lit("purchase"))).alias("event_type"), F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"),
+    )
+    state = scratch_path(spark, "state")
+    for part in (None, closing):
+        # One stream, gone on with from its state when the closing rows are there.
+        if part is not None:
+            part.write.mode("append").parquet(source)
+        run = S.append_stream(_late(S.read_stream(spark, source, events.schema)), path, state)
+        out = _finish(spark, run, path)
+    return out.where("event_id >= 0").drop("ts")
+
+
+@query(
+    "streamed_sliding_metrics",
+    """SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, strftime(w + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M') AS window_end, event_type,
+  count(*) AS n, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS std, min(value) AS min, max(value) AS max
+FROM (SELECT event_type, value, time_bucket(INTERVAL 1 HOUR, ts) - to_hours(CAST(h AS INTEGER)) AS w FROM events, (SELECT unnest(range(6)) AS h))
+WHERE w + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY w, event_type""",
+)
+def streamed_sliding_metrics(spark, sf):
+    """Closed windows of six hours that begin every hour."""
+    out = S.window_metrics(_event_stream(spark, sf), "ts", ["event_type"], "value", "6 hours", "1 hour")
+    path = scratch_path(spark, "windows")
+    return _readable(_finish(spark, S.append_stream(out, path, scratch_path(spark, "state")), path))
 
 
+@query(
+    "streamed_late_rows",
+    """WITH m AS (SELECT max(ts) AS t FROM events WHERE event_id % 2 = 0)
+SELECT count(*) FILTER (WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= t - INTERVAL 10 MINUTE) AS dropped FROM events, m WHERE event_id % 2 = 1""",
+)
+def streamed_late_rows(spark, sf):
+    """The odd events come after the even ones: those of windows that are closed by then are dropped, and a listener counts them."""
+    events = table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
+    source, path, state, counts = (scratch_path(spark, n) for n in ("source", "windows", "state", "late"))
+    listener = S.LateRows(spark, counts)
+    spark.streams.addListener(listener)
+    try:
+        for half in (0, 1):
+            # One row per event: rows of a window would be put together before they meet the state.
+            events.where(F.col("event_id") % 2 == half).write.mode("append").parquet(source)
+            stream = S.read_stream(spark, source, events.schema)
+            run = S.append_stream(S.window_metrics(stream, "ts", ["event_id"], "value"), path, state)
+            _finish(spark, run, path)
+        _wait_for_listeners(spark)
+    finally:
+        spark.streams.removeListener(listener)
+        listener.flush()
+    return S.late_rows(spark, counts).agg(F.sum("dropped").alias("dropped"))
+
+
+def _wait_for_listeners(spark):
+    """Events reach listeners a little after a query has ended."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)

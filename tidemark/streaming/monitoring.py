@@ -6,6 +6,8 @@ on a stream and on a static table.
 
 from __future__ import annotations
 
+import datetime as dt
+import threading
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -13,10 +15,11 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.drift import drift_scores, ks_drift
 from ..operators.monitor import check_alerts
+from ..sources.logs import exists
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -152,14 +155,53 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, trigger: dict |
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark so far, from the progress reports."""
-    return sum(
-        op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in _as_dict(p).get("stateOperators", [])
-    )
-
+class LateRows(StreamingQueryListener):
+    """Adds up the rows that streams drop behind their watermark, from every trigger's progress.
 
-def _as_dict(progress) -> dict:
-    import json
+    A query remembers the progress of its last triggers only; a listener is told
+    of each. What is counted is kept per query and batch, so that a batch run
+    again after a restart counts once, and is appended to the table at ``path``
+    whenever ``flush_every`` batches have come in, and when a query ends.
+    """
 
-    return progress if isinstance(progress, dict) else json.loads(progress.json)
+    SCHEMA = "query_id string, name string, batch_id long, ts timestamp, dropped long"
+
+    def __init__(self, spark: SparkSession, path: str, flush_every: int = 50):
+        super().__init__()
+        self.spark, self.path, self.flush_every = spark, path, flush_every
+        self.pending: list[tuple] = []
+        self.lock = threading.Lock()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802 - names of the interface
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        dropped = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        with self.lock:
+            self.pending.append((str(p.id), p.name, p.batchId, dt.datetime.fromisoformat(p.timestamp.replace("Z", "+00:00")), dropped))
+            full = len(self.pending) >= self.flush_every
+        if full:
+            self.flush()
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.flush()
+
+    def flush(self) -> None:
+        """Append what has come in to the table: one small file."""
+        with self.lock:
+            rows, self.pending = self.pending, []
+        if rows:
+            self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, batches, dropped: rows dropped behind the watermark, from the table of ``LateRows``."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "query_id string, batches long, dropped long")
+    # A batch that no data asks for has a progress of its own under the next number, or none.
+    per = spark.read.schema(LateRows.SCHEMA).parquet(path).groupBy("query_id", "batch_id").agg(F.max("dropped").alias("dropped"))
+    return per.groupBy("query_id").agg(F.count("*").alias("batches"), F.sum("dropped").alias("dropped"))
