@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
 from ..operators import clusters as C
+from ..operators import contributions as R
 from ..operators import estimators as E
 from ..operators import pairs as N
 from ..operators import reduce as D
@@ -405,6 +406,24 @@ def permutation_importance(spark, sf):
     return E.permutation_importance(model, df, NUMBERS, "row_id", lambda s: regression_metrics(s).first()["r2"])
 
 
+@query("feature_contributions")
+def feature_contributions(spark, sf):
+    """What each feature adds to the price a forest predicts for a line."""
+    df = lines(spark, sf)
+    model = E.fit_family(df, "RandomForestRegressor", NUMBERS, "l_extendedprice", {"numTrees": 10, "maxDepth": 5})
+    return R.feature_contributions(model, df, NUMBERS, ["row_id"])
+
+
+@query("contributions_add_up", "SELECT count(*) AS n, TRUE AS adds_up FROM lineitem")
+def contributions_add_up(spark, sf):
+    """Base and contributions against the model's own prediction, for every line."""
+    df = lines(spark, sf)
+    model = E.fit_family(df, "GradientBoostingRegressor", NUMBERS, "l_extendedprice", {"maxIter": 5, "maxDepth": 4})
+    out = R.feature_contributions(model, model.transform(df).drop("features"), NUMBERS, ["prediction"])
+    close = F.abs(F.col("total") - F.col("prediction")) <= 1e-6 * F.greatest(F.lit(1.0), F.abs("prediction"))
+    return out.agg(F.count("*").alias("n"), F.bool_and(close).alias("adds_up"))
+
+
 @query(
     "form_bounds",
     union_sql([f"SELECT '{c}' AS feature, min({c}) AS low, max({c}) AS high, round(avg({c}), 6) AS start FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax")]),
