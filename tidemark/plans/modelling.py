@@ -8,6 +8,7 @@ from ..functions.scratch import scratch_path
 from ..operators import clusters as C
 from ..operators import contributions as R
 from ..operators import estimators as E
+from ..operators import linkage as L
 from ..operators import pairs as N
 from ..operators import reduce as D
 from ..operators import tuning as T
@@ -270,6 +271,21 @@ def bisecting_kmeans(spark, sf):
     return _clustered(spark, sf, "BisectingKMeans", {"k": 4})
 
 
+@query(
+    "single_linkage",
+    """WITH RECURSIVE c AS (SELECT c_custkey AS id, c_acctbal / 1000 AS x FROM customer),
+o AS (SELECT id, x, x - lag(x) OVER (ORDER BY x, id) AS gap FROM c),
+cuts AS (SELECT x, id FROM o ORDER BY gap DESC NULLS LAST LIMIT 7),
+g AS (SELECT id, (SELECT count(*) FROM cuts WHERE cuts.x < c.x OR (cuts.x = c.x AND cuts.id <= c.id)) AS g FROM c),
+f AS (SELECT g, min(id) AS first FROM g GROUP BY g)
+SELECT id AS c_custkey, CAST((SELECT count(*) FROM f WHERE f.first < (SELECT first FROM f WHERE f.g = g.g)) AS INTEGER) AS cluster FROM g""",
+)
+def single_linkage(spark, sf):
+    """Eight clusters of customers by balance. On a line single linkage cuts the widest gaps, which SQL can say."""
+    df = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("x"))
+    return L.single_linkage(df, "c_custkey", ["x"]).clusters(8)
+
+
 @query("cluster_search")
 def cluster_search(spark, sf):
     """Trials of two families over the first principal axes."""
