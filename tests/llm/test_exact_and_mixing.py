@@ -40,6 +40,14 @@ def test_bytes_are_compared_within_a_hash(spark):
     assert [r["_sha"] for r in odd] == [hashed.where("_id = 3").select(F.sha2("_norm", 256)).first()[0]]
 
 
+def test_rows_repeated_many_times(spark):
+    """Rows that repeat the kept id are not compared with each other: time grows with their number, not its square."""
+    n = 100_000
+    df = spark.range(n).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    row = exact_duplicates(df).agg(F.count("*"), F.min("group_size"), F.count_if("kept"), F.max("keep_id")).first()
+    assert tuple(row) == (n, n, 1, 5)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

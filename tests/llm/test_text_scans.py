@@ -61,6 +61,14 @@ def test_licence_cases(spark, messy, empty):
     assert license_scan(messy).count() == messy.count() and license_scan(empty).count() == 0
 
 
+def test_licence_in_a_long_text(spark):
+    """Thousands of notices in one text: its words are not repeated for each of them."""
+    n = 20_000
+    df = spark.createDataFrame([(1, "Released under the MIT License. " * n), (2, "mit license")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan(df).collect()}
+    assert got[1]["labels"] == "mit" and [m["start"] for m in got[1]["matches"]] == list(range(0, 5 * n, 5)) and got[1]["score"] == 1.0
+
+
 def test_url_components(spark):
     link = '<link rel="canonical" href="{}">'
     rows = [

@@ -138,12 +138,23 @@ def _template_places(rows: DataFrame, templates, vocabulary: list[str], rare_wor
     votes = votes.join(F.broadcast(index), "w").groupBy("_row", "t", (F.col("i") - F.col("at")).alias("start"))
     places = votes.agg(F.sum("idf").alias("got"), F.first("need").alias("need")).where("got >= need - 1e-9")
     places = cut(places.groupBy("_row").agg(F.collect_list(F.struct("t", "start")).alias("_p")))
-    near = files.select("_row", "_words").join(places, "_row").select("_row", "_words", F.explode("_p").alias("p"))
-    near = near.select("_row", "_words", "p.t", "p.start").join(F.broadcast(sheet), "t")
-    word = lambda i: F.get("_words", (F.col("start") + i).cast("int"))
-    equal = F.size(F.filter(F.transform("tw", lambda w, i: word(i) == w), lambda x: x)).cast("double")
-    keyed = F.forall(F.transform("kw", lambda w, i: F.coalesce(word(i + F.col("ka")) == w, F.lit(False))), lambda x: x)
-    return near.select("_row", "label", "start", (equal / F.size("tw")).alias("share"), keyed.alias("_key")).where(F.col("_key") & (F.col("share") >= least_share)).drop("_key")
+    # Templates are compared inside the list of places, so that a text's words are not repeated for each of them.
+    texts = F.array(*[F.struct(F.lit(t.label).alias("label"), _texts(t.words).alias("tw"), _texts(_words(t.key)).alias("kw"), F.lit(t.key_at).alias("ka")) for t in templates])
+
+    def compared(p):
+        t = F.get(texts, p["t"])
+        word = lambda i: F.get("_words", (p["start"] + i).cast("int"))
+        equal = F.size(F.filter(t["tw"], lambda w, i: F.coalesce(word(i) == w, F.lit(False)))).cast("double")
+        keyed = F.forall(F.transform(t["kw"], lambda w, i: F.coalesce(word(i + t["ka"]) == w, F.lit(False))), lambda x: x)
+        share = equal / F.size(t["tw"])
+        return F.when(keyed & (share >= least_share), F.struct(t["label"].alias("label"), p["start"].alias("start"), share.alias("share")))
+
+    near = files.select("_row", "_words").join(places, "_row")
+    return near.select("_row", F.inline(F.array_compact(F.transform("_p", compared))))
+
+
+def _texts(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words))
 
 
 @query("op3_license_scan")
