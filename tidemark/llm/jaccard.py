@@ -56,7 +56,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -258,8 +258,9 @@ def _digest_rows(width: int, percent: int):
         known = WordHashes()
         for batch in batches:
             n, d1, d2, parity = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                h = hashed_shingles(words_of(text), width, known)
+            # One text at a time: a worker should not keep a batch of them as objects.
+            for text in batch.column(1):
+                h = hashed_shingles(words_of(text.as_py()), width, known)
                 n.append(len(h))
                 d1.append(_mix(h).sum(dtype=np.uint64))
                 d2.append(_mix(h ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64))
@@ -276,7 +277,7 @@ def _signature_rows(width: int, bands: list[Band], percent: int):
         for batch in batches:
             for begin in range(0, batch.num_rows, 1024):
                 part = batch.slice(begin, 1024)
-                found = [signatures(hashed_shingles(words_of(t), width, known), bands, percent) for t in part.column(1).to_pylist()]
+                found = [signatures(hashed_shingles(words_of(t.as_py()), width, known), bands, percent) for t in part.column(1)]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["_id", "_sigs"])
@@ -469,10 +470,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
         last, held = None, set()
         for batch in batches:
             keep = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                x = x.as_py()
                 if last != (a, x):
                     last, held = (a, x), shingles(words_of(x), width)
-                other = shingles(words_of(y), width)
+                other = shingles(words_of(y.as_py()), width)
                 # Sizes too far apart need no comparison.
                 near = 100 * min(len(held), len(other)) >= percent * max(len(held), len(other))
                 common = len(held & other) if near else 0
@@ -509,10 +511,11 @@ def _block_pairs(members: DataFrame, sets: DataFrame, width: int, kind: str) ->
         known, last, head = WordHashes(), None, None
         for batch in batches:
             sizes, deltas = [], []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(4), batch.column(5)):
+                x = x.as_py()
                 if last != (a, x):
                     last, head = (a, x), hashed_shingles(words_of(x), width, known)
-                own = hashed_shingles(words_of(y), width, known)
+                own = hashed_shingles(words_of(y.as_py()), width, known)
                 sizes.append(len(own))
                 deltas.append(np.setxor1d(head, own, assume_unique=True).view(np.int64))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(sizes, pa.int64()), pa.array(deltas, pa.list_(pa.int64()))], ["a", "b", "_part", "_blocks", "_s", "_d"])

@@ -27,7 +27,8 @@ def cut_pieces(docs: DataFrame, size: int = 2048, path: str = VOCABULARY, end_id
         merger = Merger(path)
         for batch in batches:
             rows: list[tuple] = []
-            for row, ids in enumerate(merger.encode([t or "" for t in batch.column(1).to_pylist()])):
+            # Texts become objects one group at a time.
+            for row, ids in enumerate(merger.encode(t.as_py() or "" for t in batch.column(1))):
                 ids += tail
                 n = len(ids) // 4
                 # Only the first piece may be shorter.
