@@ -59,7 +59,8 @@ def _collisions(hashed: DataFrame, copies: DataFrame, keep: str) -> DataFrame:
     """Hash and SHA-256 of the texts that differ from the kept text of their hash."""
     members = join_narrow(hashed, copies.select("_hash", "_keep"), ["_hash"], "inner")
     # One text per hash, however many rows repeat the kept id; should they differ, all others are told apart from it.
-    kept = members.where(F.col("_id").eqNullSafe(F.col("_keep"))).groupBy("_hash").agg(F.min("_norm").alias("_first"))
+    # Written, so that the join below shuffles both sides itself and its hot hashes can be split.
+    kept = cut(members.where(F.col("_id").eqNullSafe(F.col("_keep"))).groupBy("_hash").agg(F.min("_norm").alias("_first")))
     different = members.join(kept, "_hash").where(F.col("_norm") != F.col("_first"))
     return different.select("_hash", F.sha2("_norm", 256).alias("_sha"))
 
