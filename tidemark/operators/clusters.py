@@ -209,7 +209,7 @@ def reduction_metrics(df: DataFrame, original: str, reduced: str, components: np
     )
 
 
-def distance_preservation(df: DataFrame, key: str, original: str, reduced: str, points: int = 1000, seed: int = 42) -> DataFrame:
+def distance_preservation(df: DataFrame, key: str, original: str, reduced: str, points: int, seed: int = 42) -> DataFrame:
     """Spearman correlation of the pair distances of a sample in two spaces.
 
     The sample of ``points`` rows is the feature: the measure is defined on it.
@@ -232,7 +232,7 @@ def distance_preservation(df: DataFrame, key: str, original: str, reduced: str,
 
     def ranks(c: str) -> DataFrame:
         counts = pairs.groupBy(c).agg(F.count("*").alias("n"))
-        placed = running_by_value(counts, [], c, ["n"], buckets=1)
+        placed = running_by_value(counts, [], c, ["n"])
         return placed.select(c, (F.col("upto_n") - (F.col("n") - 1) / 2).alias(f"rank_{c}"))
 
     ranked = pairs.join(ranks("u"), "u").join(ranks("v"), "v")

@@ -198,16 +198,16 @@ def last_rows(df: DataFrame, keys: Sequence[str], ts: str, tie: str, n: int = 10
     Rows are counted by series and time range. Ranges that are kept whole are a
     filter; only the rows of the one range where the n-th newest falls are
     ranked, so neither n nor a long series decides how much one task sorts.
+    Ranges hold about equally many rows, however far off some times are.
     """
     seconds = F.col(ts).cast("timestamp").cast("double")
-    # Rows without a time are the oldest, in a range of their own.
-    timed = df.withColumns({"_t": seconds, KEY: F.struct(*keys)})
-    low, high, rows = timed.agg(F.min("_t"), F.max("_t"), F.count("*")).first()
+    timed = df.withColumns({"_t": -seconds, KEY: F.struct(*keys)})
+    rows = timed.count()
     if not rows:
         return df
-    ranges = 64 * bucket_count(rows)
-    width = ((high - low) / ranges if low is not None else 0.0) or 1.0
-    timed = timed.withColumn(BUCKET, F.coalesce(F.floor((F.lit(high) - F.col("_t")) / width), F.lit(1 << 40)).cast("long"))
+    ranged = add_value_buckets(timed, "_t", 64 * bucket_count(rows))
+    # Rows without a time are the oldest, in a range of their own.
+    timed = ranged.withColumn(BUCKET, F.when(F.col("_t").isNull(), F.lit(float("inf"))).otherwise(F.col(BUCKET)))
     cells = timed.groupBy(KEY, BUCKET).agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(W.partitionBy(KEY).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, W.currentRow))
     newest = cells.select(KEY, BUCKET, "_n", upto.alias("_upto")).where(F.col("_upto") - F.col("_n") < n)

@@ -343,9 +343,10 @@ def neighbour_overlap(spark, sf):
 
 @query("distance_preservation")
 def distance_preservation(spark, sf):
+    """On 1000 rows drawn by hash: the measure is one of a sample, and its size is the caller's to name."""
     df = embeddings(spark, sf)
     axes, _ = D.principal_components(df, "embedding", DIMS, 8)
-    return C.distance_preservation(D.project(df, "embedding", axes, "z"), "vec_id", "embedding", "z")
+    return C.distance_preservation(D.project(df, "embedding", axes, "z"), "vec_id", "embedding", "z", points=1000)
 
 
 def _fitted(spark, sf, name, params, label):
