@@ -74,6 +74,30 @@ def test_mix(spark, sf):
     assert all(abs(taken[s] - target[s]) <= 0.05 * target[s] for s in target)
 
 
+def test_mix_fills_from_later_blocks(spark):
+    """Long texts at the edge of a source leave no gap that shorter ones of later blocks can fill."""
+    rows = [(i, "w " * (3000 if i % 40 == 0 else 1 + i % 7), "a" if i % 3 else "b") for i in range(1200)] + [(5000 + i, "w " * 50, None) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in range(3):
+        got = mix(docs, block_docs=16, seed=seed).collect()
+        for source in ("a", "b", None):
+            of = [r for r in got if r["source"] == source]
+            gap = of[0]["target"] - sum(r["taken"] for r in of)
+            spare = [r["size"] for r in of if r["size"] and r["taken"] < 2 * r["size"] and r["copies"] == min(x["copies"] for x in of)]
+            # Every word not yet met is less than the smallest text that is left.
+            assert abs(gap) <= (min(spare) if spare else 1), (seed, source, gap)
+        assert all(len(r["shards"]) == r["copies"] for r in got)
+
+
+def test_mixed_documents_follow_the_mix(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted(r["doc_id"] for r in mix(docs).collect() for _ in range(r["copies"]))
+    once = mixed_documents(docs, part_words=200)
+    assert once.rdd.getNumPartitions() > 16
+    parts = once.rdd.glom().map(lambda rows: [r["doc_id"] for r in rows]).collect()
+    assert sorted(i for part in parts for i in part) == want and max(map(len, parts)) < len(want) / 16
+
+
 def test_mix_cases(messy, empty):
     rows = mix(messy).collect()
     assert len(rows) == messy.count() and mix(empty).count() == 0

@@ -56,8 +56,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most_times: floa
 
     A source is cut into blocks of about ``block_docs`` documents by a hash.
     Every block is drawn as often as the target holds the whole source; for the
-    rest, blocks are drawn in permuted order while they fit, and the block at
-    the edge gives the documents that fill the rest best. ``copies`` says how
+    rest, blocks are drawn in permuted order while they fit; the block at the
+    edge gives the documents that fill the rest best, and what these leave is
+    filled from the blocks after it. ``copies`` says how
     often a document is drawn, ``taken`` its words times that, ``shards`` where
     each draw goes. The same rows give the same mix.
 
@@ -85,8 +86,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most_times: floa
         F.when((F.col("upto__words") > F.col("_rest")) & (F.col("upto__words") - F.col("_words") < F.col("_rest")), F.col("_rest") - F.col("upto__words") + F.col("_words")).alias("_left"),
     )
     drawn = cut(drawn)
-    dealt = deal_blocks(drawn, shards, seed)
-    chosen = _edge_documents(placed, drawn)
+    chosen = _fill(placed, drawn, seed)
+    # A block of which some documents are drawn once more takes part in the deal like a whole one.
+    some = chosen.select("source", "_block", F.lit(True).alias("_some")).distinct()
+    dealt = deal_blocks(drawn.alias("b").join(some.alias("c"), same_source("b", "c") & (F.col("b._block") == F.col("c._block")), "left").select("b.*", "_some"), shards, seed)
 
     blocks_of = drawn.alias("b").join(dealt.alias("s"), same_source("b", "s") & (F.col("b._block") == F.col("s._block")), "left").select("b.*", "s._shards")
     one = placed.alias("u").join(blocks_of.alias("b"), same_source("u", "b") & (F.col("u._block") == F.col("b._block"))).select("u.*", "b._whole", "b.source_size", "b.target", "b._in", "b._shards")
@@ -106,7 +109,7 @@ def deal_blocks(drawn: DataFrame, shards: int, seed: int) -> DataFrame:
     a random order, so how many of each source go left is a multivariate
     hypergeometric draw. The order is cut into ranges, so no node is one task.
     """
-    times = F.col("_whole") + (F.col("_in") | F.col("_left").isNotNull()).cast("int")
+    times = F.col("_whole") + (F.col("_in") | F.coalesce("_some", F.lit(False))).cast("int")
     draws = drawn.where(times > 0).select("source", "_block", F.explode(F.sequence(F.lit(1), times)).alias("_pass"), F.lit(0).alias("_node"))
     for level in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
         order = F.xxhash64("source", "_block", "_pass", F.lit(seed + 100 + level))
@@ -120,12 +123,60 @@ def deal_blocks(drawn: DataFrame, shards: int, seed: int) -> DataFrame:
     return draws.groupBy("source", "_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pass", "_node"))), lambda x: x["_node"]).alias("_shards"))
 
 
-def _edge_documents(placed: DataFrame, drawn: DataFrame) -> DataFrame:
+_UNIT = ["size", "_u", "_k", "_h", "_id"]
+
+
+def _fill(placed: DataFrame, drawn: DataFrame, seed: int) -> DataFrame:
+    """source, _block, the unit and ``_edge``: units of blocks not drawn that fill what whole blocks leave of each target.
+
+    The block at the edge goes first. Of the others, in permuted order, those
+    that fit at all are taken as long as their sum fits, or the largest alone if
+    it fills more; so each round leaves less than half, and a long text never
+    keeps the place of shorter ones behind it. At last one more unit, the
+    smallest, is taken if that comes nearer.
+    """
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    of_unit = lambda a, b: same(a, b) & (F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id"))) & (F.col(f"{a}._u") == F.col(f"{b}._u")) & (F.col(f"{a}._k") == F.col(f"{b}._k")) & (F.col(f"{a}._h") == F.col(f"{b}._h"))
+    edge = drawn.where("_left IS NOT NULL").select("source", "_block", "_left")
+    chosen = cut(_edge_documents(placed, edge))
+    held = chosen.groupBy("source").agg(F.sum("size").alias("_held"))
+    left = cut(edge.alias("e").join(held.alias("h"), same("e", "h"), "left").select("e.source", (F.col("_left") - F.coalesce("_held", F.lit(0))).alias("_left")).where("_left > 0"))
+    # Sources whose target is met take no further part.
+    undrawn = drawn.where("NOT _in").alias("b").join(left.alias("l"), same("b", "l")).select("b.source", "_block", "l._left")
+    free = placed.where("size > 0").alias("u").join(undrawn.alias("b"), same("u", "b") & (F.col("u._block") == F.col("b._block"))).select("u.source", "u._block", *[f"u.{c}" for c in _UNIT], "_left")
+    free = cut(free.alias("f").join(chosen.alias("c"), of_unit("f", "c"), "left_anti"))
+    least = free.groupBy("source").agg(F.min(F.struct(*_UNIT, "_block")).alias("_least"))
+    rounds, fits = [chosen], free
+    while True:
+        fits = cut(fits.where("size <= _left"))
+        if fits.isEmpty():
+            break
+        order = F.xxhash64("source", "_block", F.lit(seed + 1))
+        ranged = fits.withColumns({"_order": order, "_range": F.shiftright(order, 52)})
+        upto = running(ranged, ["source"], [F.col(c) for c in ("_order", "_block", *_UNIT)], ["size"], bucket="_range")
+        sums = upto.groupBy("source").agg(F.max(F.when(F.col("upto_size") <= F.col("_left"), F.col("upto_size"))).alias("_sum"), F.max(F.struct(*_UNIT)).alias("_big"))
+        alone = F.col("_big.size") > F.col("_sum")
+        take = F.when(alone, F.struct(*[f"u.{c}" for c in _UNIT]).eqNullSafe(F.col("_big"))).otherwise(F.col("upto_size") <= F.col("_left"))
+        marked = cut(upto.alias("u").join(sums.alias("s"), same("u", "s")).select("u.source", "_block", *[f"u.{c}" for c in _UNIT], (F.col("_left") - F.greatest("_sum", "_big.size")).alias("_left"), take.alias("_take")))
+        rounds.append(marked.where("_take").select("source", "_block", *_UNIT))
+        fits = marked.where("NOT _take").drop("_take")
+    taken = rounds[0]
+    for part in rounds[1:]:
+        taken = taken.unionByName(part)
+    if len(rounds) > 1:
+        more = taken.groupBy("source").agg(F.sum("size").alias("_held"))
+        left = edge.alias("e").join(more.alias("h"), same("e", "h"), "left").select("e.source", (F.col("_left") - F.coalesce("_held", F.lit(0))).alias("_left"))
+        rest = free.alias("f").join(taken.alias("c"), of_unit("f", "c"), "left_anti")
+        least = rest.groupBy("source").agg(F.min(F.struct(*_UNIT, "_block")).alias("_least"))
+    last = least.alias("m").join(left.alias("l"), same("m", "l")).where("_left > 0 AND _least.size < 2 * _left").select("m.source", "_least.*")
+    return cut(taken.unionByName(last).withColumn("_edge", F.lit(True)))
+
+
+def _edge_documents(placed: DataFrame, edge: DataFrame) -> DataFrame:
     """The units of each source's block at the edge that fill what is left: the largest that still fit, in turn.
 
     At most one block per source, and a block is bounded, so its units fit one row.
     """
-    edge = drawn.where("_left IS NOT NULL").select("source", "_block", "_left")
     here = F.col("u.source").eqNullSafe(F.col("b.source")) & (F.col("u._block") == F.col("b._block"))
     unit = F.struct((-F.col("u.size")).alias("s"), "u._u", "u._id", "u._h", "u._k")
     lists = placed.alias("u").join(edge.alias("b"), here).groupBy("b.source", "b._block").agg(F.array_sort(F.collect_list(unit)).alias("_all"), F.first("_left").alias("_left"))
@@ -134,23 +185,22 @@ def _edge_documents(placed: DataFrame, drawn: DataFrame) -> DataFrame:
         (acc["left"] - F.when(-x["s"] <= acc["left"], -x["s"]).otherwise(0)).alias("left"),
         F.concat(acc["fits"], F.array(-x["s"] <= acc["left"])).alias("fits"),
     )
-    filled = lists.select("source", "_all", F.aggregate("_all", start, fill).alias("_f"))
-    # One more, the smallest left out, if that comes nearer.
-    out = F.filter(F.arrays_zip(F.col("_all").alias("x"), F.col("_f.fits").alias("fits")), lambda z: ~z["fits"])
-    last = F.transform(F.slice(out, -1, 1), lambda z: z["x"])
-    more = F.when((F.size(out) > 0) & (-F.get(last, F.lit(0))["s"] < 2 * F.col("_f.left")), last).otherwise(F.slice(F.col("_all"), 1, 0))
+    filled = lists.select("source", "_block", "_all", F.aggregate("_all", start, fill).alias("_f"))
     fit = F.transform(F.filter(F.arrays_zip(F.col("_all").alias("x"), F.col("_f.fits").alias("fits")), lambda z: z["fits"]), lambda z: z["x"])
-    return filled.select("source", F.explode(F.concat(fit, more)).alias("x")).select("source", "x._u", "x._id", "x._h", "x._k", F.lit(True).alias("_edge"))
+    return filled.select("source", "_block", F.explode(fit).alias("x")).select("source", "_block", (-F.col("x.s")).alias("size"), "x._u", "x._k", "x._h", "x._id")
 
 
-def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 7, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 7, part_words: int = 8_000_000, **options) -> DataFrame:
     """The drawn rows of ``docs``, one per draw, dealt to their shards and shuffled inside each.
 
-    Repeated rows, of one id and text, share their draws.
+    A shard is as many partitions as its words ask for, about ``part_words``
+    each, by the leading digits of the hash that shuffles it. Repeated rows, of
+    one id and text, share their draws.
     """
     found = mix(docs, shards=shards, seed=seed, **options).where("copies > 0")
-    draws = found.groupBy(F.col("doc_id").alias("_id"), "_h").agg(F.flatten(F.collect_list("shards")).alias("_shards"), F.count("*").alias("_rows"))
+    draws = found.groupBy(F.col("doc_id").alias("_id"), "_h").agg(F.flatten(F.collect_list("shards")).alias("_shards"), F.count("*").alias("_rows"), F.sum("taken").alias("_words"))
     draws = cut(draws)
+    parts = max(1, math.ceil((draws.agg(F.sum("_words")).first()[0] or 0) / (shards * part_words)))
     # Whole rows in one column, so that none of their names can clash.
     text = docs.select(F.struct(*docs.columns).alias("_all"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"))
     joined = text.alias("d").join(draws.alias("m"), F.col("d._id").eqNullSafe(F.col("m._id")) & (F.col("d._h") == F.col("m._h")))
@@ -160,9 +210,10 @@ def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 7, **options)
         place = F.row_number().over(W.partitionBy("_id", "_h").orderBy(F.lit(0)))
         many = once.where("_rows > 1").withColumn("_p", place).where("_p = 1").drop("_p")
         once = once.where("_rows = 1").unionByName(many)
-    rows = once.withColumn("_shard", F.explode("_shards"))
-    rows = rows.repartition(shards, "_shard").sortWithinPartitions("_shard", F.xxhash64("_id", "_h", F.lit(seed)))
-    return rows.select("_all.*")
+    order = F.xxhash64("_id", "_h", F.lit(seed))
+    rows = once.withColumns({"_shard": F.explode("_shards"), "_order": order})
+    part = F.col("_shard") * parts + F.floor(F.shiftrightunsigned("_order", 32) * parts / F.lit(1 << 32)).cast("int")
+    return rows.repartitionById(shards * parts, part).sortWithinPartitions("_order").select("_all.*")
 
 
 @query("op6_mixing")
