@@ -89,3 +89,20 @@ def test_search_by_metric(spark, metric):
     df = spark.range(200).select("id", F.sin(F.col("id") * 1.7).alias("f"), (F.sin(F.col("id") * 1.7) + F.cos(F.col("id") * 3.1) > 0).cast("double").alias("label")).persist()
     result = T.search(df, ["f"], "label", "id", models=["GaussianNB", "LogisticRegression"], metric=metric, trials=1, folds=3)
     assert result.metric == metric and 0.6 < result.score <= 1 and result.trials.count() == 2
+
+
+def test_stages_are_fitted_once_a_fold(spark, monkeypatch):
+    """No stage hangs on the parameters of a trial; the rows of a small table are held in one task."""
+    from tidemark.operators import prepare, tuning
+
+    fits, parts = [], []
+    plain = prepare.Scaler._fit
+    monkeypatch.setattr(prepare.Scaler, "_fit", lambda self, df: fits.append(1) or parts.append(df.rdd.getNumPartitions()) or plain(self, df))
+    rows = [(i, float(i % 7), float(i % 3), float(i % 7 > 3)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label double")
+    found = tuning.search(
+        df, ["a", "b"], "label", "id", models=["DecisionTreeClassifier"], trials=3, folds=2, prune=False,
+        stages=[prepare.Scaler("standard", ["a", "b"])],
+    )
+    assert found.trials.where("status = 'completed'").count() > 1
+    assert len(fits) == 2 + 1 and set(parts) == {1}

@@ -227,10 +227,14 @@ def families_for(task: str, names: Sequence[str] | None = None) -> list[str]:
     return chosen
 
 
+def preparation(features: Sequence[str], stages: Sequence = ()) -> Pipeline:
+    """Preparation stages and the feature vector."""
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=list(features), outputCol="features")])
+
+
 def model_pipeline(name: str, params: dict, context: Context, stages: Sequence = ()) -> Pipeline:
     """Preparation stages, the feature vector, and the estimator, fitted as one."""
-    assembler = VectorAssembler(inputCols=list(context.features), outputCol="features")
-    return Pipeline(stages=[*stages, assembler, FAMILIES[name].build(params, context)])
+    return Pipeline(stages=[*preparation(context.features, stages).getStages(), FAMILIES[name].build(params, context)])
 
 
 def fit_family(df: DataFrame, name: str, features: Sequence[str], label: str | None = None, params: dict | None = None,

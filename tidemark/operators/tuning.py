@@ -25,7 +25,7 @@ from ..functions.columns import as_double
 from ..functions.ordered import hash_order, number_by_hash
 from .clusters import calinski_harabasz, davies_bouldin
 from .evaluate import classification_metrics, regression_metrics, roc_auc
-from .estimators import FAMILIES, SEED, Context, families_for, feature_importance, model_pipeline
+from .estimators import FAMILIES, SEED, Context, families_for, feature_importance, model_pipeline, preparation
 from .samplers import MedianPruner, draw, sampler  # noqa: F401 - draw is part of this module's face
 
 # True where a larger value is better.
@@ -46,6 +46,9 @@ DEFAULT_METRIC = {"classification": "accuracy", "regression": "mse"}
 # Fits run at a time.
 PARALLEL_FITS = 4
 
+# Rows of one task of a search. An iteration of a fit is a round of tasks, so a small table is held in few.
+FIT_ROWS = 25_000
+
 TRIAL_SCHEMA = """trial int, model string, params map<string,string>, metric string, score double, score_std double,
 train_seconds double, status string, error string"""
 
@@ -148,7 +151,33 @@ def _each_fold(data: DataFrame, work: Callable[[int], object], folds: int, paral
         return list(pool.map(inheritable_thread_target(data.sparkSession)(work), range(folds)))
 
 
-def _fold_scores(data: DataFrame, name: str, params: dict, context: Context, stages: Sequence, metric: str,
+def _dealt(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """The table in as many tasks as its counted rows ask for, in an order of its own, so that reruns add up alike."""
+    return df.repartition(-(-rows // FIT_ROWS) or 1, id_col).sortWithinPartitions(id_col)
+
+
+class _PreparedFolds:
+    """Training and validation rows of every fold. No stage hangs on the parameters of a trial, so each is fitted once a fold."""
+
+    def __init__(self, data: DataFrame, features: Sequence[str], stages: Sequence, id_col: str, rows: int):
+        self.data, self.id_col, self.rows = data, id_col, rows
+        self.steps = preparation(features, stages)
+        self.held: dict[int, tuple[DataFrame, DataFrame]] = {}
+
+    def of(self, i: int) -> tuple[DataFrame, DataFrame]:
+        if i not in self.held:
+            train, valid = (self.data.where(side).drop("fold") for side in (F.col("fold") != i, F.col("fold") == i))
+            ready = self.steps.fit(train)
+            self.held[i] = tuple(_dealt(ready.transform(side), self.id_col, self.rows).persist() for side in (train, valid))
+        return self.held[i]
+
+    def release(self) -> None:
+        for pair in self.held.values():
+            for side in pair:
+                side.unpersist()
+
+
+def _fold_scores(prepared: _PreparedFolds, name: str, params: dict, context: Context, metric: str,
                  folds: int, parallelism: int, pruner: MedianPruner | None = None) -> tuple[list[float], bool]:
     """The score of every fold, and whether the trial was given up before the last.
 
@@ -157,12 +186,12 @@ def _fold_scores(data: DataFrame, name: str, params: dict, context: Context, sta
     """
 
     def one(i: int) -> float:
-        model = model_pipeline(name, params, context, stages).fit(data.where(F.col("fold") != i).drop("fold"))
-        return metric_value(model.transform(data.where(F.col("fold") == i)), metric)
+        train, valid = prepared.of(i)
+        return metric_value(FAMILIES[name].build(params, context).fit(train).transform(valid), metric)
 
     sign = -1.0 if METRICS[metric] else 1.0
     if pruner is None or not pruner.ready:
-        scores = _each_fold(data, one, folds, parallelism)
+        scores = _each_fold(prepared.data, one, folds, parallelism)
         if pruner is not None:
             pruner.keep([sign * s for s in scores])
         return scores, False
@@ -222,10 +251,13 @@ def search(
     names = families_for(task, models)
     data = df.withColumn("label", as_double(df, label)) if label != "label" else df
     strata = "label" if task == "classification" else None
-    data = with_folds(data, id_col, folds, strata, seed, exact_folds).persist()
+    rows = data.count()
+    data = _dealt(with_folds(data, id_col, folds, strata, seed, exact_folds), id_col, rows).persist()
+    prepared = None
     try:
         classes = data.select("label").distinct().count() if task == "classification" else 2
         context = Context(data, list(features), classes, id_col)
+        prepared = _PreparedFolds(data, features, stages, id_col, rows)
         log: list[tuple] = []
         best: tuple[float | None, str, dict] = (None, "", {})
         for name in names:
@@ -245,7 +277,7 @@ def search(
                 seen.add(mark)
                 began, score, spread, error, pruned = time.time(), None, None, None, False
                 try:
-                    got, pruned = _fold_scores(data, name, params, context, stages, metric, folds, parallelism, pruner)
+                    got, pruned = _fold_scores(prepared, name, params, context, metric, folds, parallelism, pruner)
                     score = sum(got) / len(got)
                     spread = math.sqrt(sum((g - score) ** 2 for g in got) / len(got))
                 except Exception as failure:  # noqa: BLE001 - a trial may fail for any reason of its model
@@ -274,6 +306,8 @@ def search(
         metrics = {f"cv_{metric}": best[0], **{f"train_{k}": v for k, v in final.items() if v is not None}}
         return SearchResult(task, best[1], best[2], metric, best[0], metrics, feature_importance(model, features), model, table)
     finally:
+        if prepared is not None:
+            prepared.release()
         data.unpersist()
 
 
