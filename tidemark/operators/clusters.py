@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import safe_divide
 from ..functions.ordered import hash_order, running_by_value
 from ..functions.scratch import join_lookup, written
-from .pairs import BLOCK_ROWS, block_pairs, distances, matrix, vectors
+from .pairs import BLOCK_ROWS, block_pairs, distance_sums, distances, matrix, vectors
 from .profile import group_shares
 
 
@@ -136,7 +136,6 @@ def silhouette(df: DataFrame, key: str, features: Sequence[str] | str, cluster:
     rows = vectors(df, key, features, [F.col(cluster).cast("long").alias("cluster")])
 
     def reduce(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = distances(matrix(a["features"]), matrix(b["features"]))
         groups, place = np.unique(b["cluster"].to_numpy(), return_inverse=True)
         member = np.zeros((len(b), len(groups)))
         member[np.arange(len(b)), place] = 1.0
@@ -145,13 +144,13 @@ def silhouette(df: DataFrame, key: str, features: Sequence[str] | str, cluster:
                 "key": np.repeat(a[key].to_numpy(), len(groups)),
                 "own": np.repeat(a["cluster"].to_numpy(), len(groups)),
                 "cluster": np.tile(groups, len(a)),
-                "total": (d @ member).ravel(),
+                "total": distance_sums(matrix(a["features"]), matrix(b["features"]), member).ravel(),
                 "n": np.tile(member.sum(axis=0), len(a)),
             }
         )
 
     schema = "key long, own long, cluster long, total double, n double"
-    sums = block_pairs(rows, rows, key, reduce, schema, block_rows)
+    sums = block_pairs(rows, rows, key, reduce, schema, block_rows, wide=True)
     per = sums.groupBy("key", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     mine = F.col("own") == F.col("cluster")
     sides = per.groupBy("key").agg(
