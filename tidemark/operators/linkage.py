@@ -6,7 +6,9 @@ clusters. In a round every component picks its shortest edge to another one, so
 components at least halve in number, and a table of a billion rows takes thirty
 rounds. Edges come from the nearest neighbours of every row. Where these all
 lie in a row's own component and could hide a shorter edge than the component
-knows of, the row is searched for its nearest row outside.
+knows of, the row is searched for its nearest row outside: in few dimensions in
+the cells (``cells``) that can hold it, else among all rows. Equal rows are
+joined first, at distance 0 to their smallest id, and go on as one.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from ..functions.ordered import dense_codes
 from ..functions.scratch import written
 from .dbscan import connected
-from .pairs import BLOCK_ROWS, block_pairs, distances, matrix, nearest, vectors
+from .cells import MOST_DIMS, Boxes, boxes_of, digest, finite, fit_tree, placed, to_cells
+from .pairs import BLOCK_ROWS, FEW_BLOCKS, block_pairs, distances, matrix, nearest, vectors
 
 
 @dataclass
@@ -60,18 +63,22 @@ def single_linkage(df: DataFrame, key: str, features: Sequence[str] | str, neigh
     the edge with the smaller ids comes first.
     """
     v = written(vectors(df.withColumn(key, F.col(key).cast("long")), key, features).where(F.col("features").isNotNull()), "vectors")
-    near = written(nearest(v, v, key, neighbours, p, block_rows), "near")
+    first = written(v.where(finite("features")).groupBy(digest("features").alias("_d")).agg(F.min(key).alias(key), F.min("features").alias("features"), F.collect_set(key).alias("_same")), "points")
+    copies = first.select(F.col(key).alias("a"), F.explode(F.array_remove("_same", F.col(key))).alias("b"), F.lit(0.0).alias("distance"))
+    points = first.select(key, "features")
+    near = written(nearest(points, points, key, neighbours, p, block_rows), "near")
+    cells = _cells(points, key, block_rows)
     edge = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.col("distance")]
     edges = written(near.select(edge("key", "neighbour")).distinct(), "edges")
     # How far each row has seen: everything, if it knows fewer rows than it asked for.
     seen = near.groupBy("key").agg(F.count("*").alias("_n"), F.max("distance").alias("_far"))
-    reach = written(v.select(F.col(key).alias("key")).join(seen, "key", "left").select("key", F.when(F.col("_n") >= neighbours, F.col("_far")).alias("_far")), "reach")
-    parts = v.select(F.col(key).alias("node"), F.col(key).alias("part"))
-    tree = edges.limit(0)
+    reach = written(points.select(F.col(key).alias("key")).join(seen, "key", "left").select("key", F.when(F.col("_n") >= neighbours, F.col("_far")).alias("_far")), "reach")
+    parts = points.select(F.col(key).alias("node"), F.col(key).alias("part"))
+    tree = written(copies, "tree")
     while True:
         parts = written(parts, "parts")
         best = written(_shortest(edges, parts), "shortest")
-        more = _beyond_sight(v, key, near, reach, parts, best, p, block_rows)
+        more = _beyond_sight(points, key, near, reach, parts, best, p, block_rows, cells)
         if more is not None:
             edges = written(edges.unionByName(more.select(edge("key", "neighbour"))).distinct(), "edges")
             best = written(_shortest(edges, parts), "shortest")
@@ -94,7 +101,17 @@ def _shortest(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return least.select("part", "m.other", "m.a", "m.b", "m.distance")
 
 
-def _beyond_sight(v: DataFrame, key: str, near: DataFrame, reach: DataFrame, parts: DataFrame, best: DataFrame, p: int, block_rows: int) -> DataFrame | None:
+def _cells(points: DataFrame, key: str, block_rows: int) -> tuple[DataFrame, Boxes] | None:
+    """The points with their cells, and the boxes; nothing for few points or many coordinates."""
+    size = points.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("d")).first()
+    if size["n"] <= FEW_BLOCKS * block_rows or not 0 < size["d"] <= MOST_DIMS:
+        return None
+    held = written(placed(points, fit_tree(points, key, size["n"])), "cells")
+    return held, boxes_of(held, size["d"])
+
+
+def _beyond_sight(v: DataFrame, key: str, near: DataFrame, reach: DataFrame, parts: DataFrame, best: DataFrame, p: int, block_rows: int,
+                  cells: tuple[DataFrame, Boxes] | None = None) -> DataFrame | None:
     """key, neighbour, distance: the nearest row outside for rows that may have a shorter edge than their component knows of.
 
     The largest component needs none: the others find the edges to it.
@@ -107,20 +124,41 @@ def _beyond_sight(v: DataFrame, key: str, near: DataFrame, reach: DataFrame, par
     sees_out = near.join(of("key", "_p"), "key").join(of("neighbour", "_q"), "neighbour").where("_p <> _q").select("key").distinct()
     inside = parts.where(F.col("part") != largest["part"]).withColumnRenamed("node", "key").join(sees_out, "key", "left_anti")
     doubtful = inside.join(reach.where("_far IS NOT NULL"), "key").join(best.select("part", "distance"), "part", "left")
-    doubtful = doubtful.where("distance IS NULL OR _far <= distance").select(F.col("key").alias(key), "part")
+    doubtful = doubtful.where("distance IS NULL OR _far <= distance").select(F.col("key").alias(key), "part", F.coalesce("distance", F.lit(float("inf"))).alias("known"))
     asked = written(v.join(doubtful, key), "asked")
     if asked.isEmpty():
         return None
     others = v.join(parts.withColumnRenamed("node", key), key)
 
     def nearest_outside(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"key": [], "neighbour": [], "distance": []})
         b = b.sort_values(key, kind="stable")
-        d = distances(matrix(a["features"]), matrix(b["features"]), p)
-        d[a["part"].to_numpy()[:, None] == b["part"].to_numpy()[None, :]] = np.inf
-        at = d.argmin(axis=1)
-        out = pd.DataFrame({"key": a[key].to_numpy(), "neighbour": b[key].to_numpy()[at], "distance": d[np.arange(len(a)), at]})
+        x, y, best_d, best_at = matrix(a["features"]), matrix(b["features"]), [], []
+        for low in range(0, len(a), BLOCK_ROWS):
+            d = distances(x[low : low + BLOCK_ROWS], y, p)
+            d[a["part"].to_numpy()[low : low + BLOCK_ROWS, None] == b["part"].to_numpy()[None, :]] = np.inf
+            best_at.append(d.argmin(axis=1))
+            best_d.append(d.min(axis=1))
+        out = pd.DataFrame({"key": a[key].to_numpy(), "neighbour": b[key].to_numpy()[np.concatenate(best_at)], "distance": np.concatenate(best_d)})
         return out[np.isfinite(out["distance"])]
 
-    found = block_pairs(asked, others, key, nearest_outside, "key long, neighbour long, distance double", block_rows)
+    schema = "key long, neighbour long, distance double"
+    if cells is None:
+        found = block_pairs(asked, others, key, nearest_outside, schema, block_rows)
+    else:
+        held, boxes = cells
+        theirs = written(held.join(parts.withColumnRenamed("node", key), key), "others")
+        ends = theirs.groupBy("cell").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).toPandas().sort_values("cell")
+        low, high = ends["lo"].to_numpy(), ends["hi"].to_numpy()
+
+        def within(rows: pd.DataFrame, x: np.ndarray) -> np.ndarray:
+            part = rows["part"].to_numpy()[:, None]
+            # A cell that holds a row of another part has one no farther than its farthest corner.
+            foreign = (low[None, :] != part) | (high[None, :] != part)
+            sure = np.where(foreign, boxes.most(x, p), np.inf).min(axis=1)
+            return foreign & (boxes.least(x, p) <= np.minimum(sure, rows["known"].to_numpy())[:, None])
+
+        found = to_cells(asked, boxes, within).groupBy("cell").cogroup(theirs.groupBy("cell")).applyInPandas(nearest_outside, schema)
     first = found.groupBy("key").agg(F.min(F.struct("distance", "neighbour")).alias("m"))
     return first.select("key", F.col("m.neighbour").alias("neighbour"), F.col("m.distance").alias("distance"))
