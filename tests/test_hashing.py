@@ -86,3 +86,14 @@ def test_model_by_both_methods(spark, points, tmp_path):
     assert {r["id"]: r["prediction"] for r in again.transform(df).collect()} == got["hashed"]
     with pytest.raises(ValueError):
         E.NeighbourEstimator(method="other")
+
+
+def test_recall_is_reached_without_structure(spark, tmp_path):
+    """The tables allowed cannot find nine of ten: all rows are compared."""
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(24)]) for i in range(600)], "id long, features array<double>").persist()
+    index = fit_index(df, "id", most=5, bucket_rows=32, tables=1, most_tables=2)
+    assert index.recall >= 0.9
+    assert as_sets(index.nearest(df, 5)) == as_sets(N.nearest(df, df, "id", 5))
+    index.write(str(tmp_path / "index"))
+    assert NeighbourIndex.read(spark, str(tmp_path / "index"), index.settings()).recall == index.recall

@@ -4,7 +4,9 @@ Every table of the index is a tree of buckets: a bucket that holds more rows
 than wanted is divided by the next projection, so buckets are small however the
 rows lie. A row is compared with the rows of its bucket in every table, and
 the candidates are ranked by their true distances. The share of true neighbours
-that is found is measured at fit, and tables are added until it is as wanted.
+that is found is measured at fit, and tables are added until it is as wanted. Where
+the share of the tables so far says that the most tables would not reach it, as
+of data without structure, all rows are compared instead.
 
 Rows with equal features cannot be told apart by any projection. They enter as
 one, with as many of their smallest ids as can be among the nearest.
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import first_by_hash
 from ..functions.scratch import LOOKUP_ROWS, join_lookup, written
-from .pairs import distances, matrix, nearest, place_nearest
+from .cells import digest, distinct_rows
+from .pairs import k_closest, matrix, nearest, place_nearest
 
 NODE = "node"
 #: Halvings of a digit's width between the first and the finest, and levels of buckets counted in one pass.
@@ -36,12 +39,12 @@ class NeighbourIndex:
     """A fitted index: projections, the rows with their buckets, and the divided buckets of each table."""
 
     def __init__(self, key: str, most: int, p: int, bucket_rows: int, tables: int, digits: int, projections: BucketedRandomProjectionLSHModel,
-                 rows: DataFrame, placed: DataFrame, divided: DataFrame, depth: int, recall: float | None = None):
+                 rows: DataFrame, placed: DataFrame, divided: DataFrame, depth: int, recall: float | None = None, exact: bool = False):
         self.key, self.most, self.p, self.bucket_rows, self.tables, self.digits = key, most, p, bucket_rows, tables, digits
-        self.projections, self.rows, self.placed, self.divided, self.depth, self.recall = projections, rows, placed, divided, depth, recall
+        self.projections, self.rows, self.placed, self.divided, self.depth, self.recall, self.exact = projections, rows, placed, divided, depth, recall, exact
 
     def settings(self) -> dict:
-        return {n: getattr(self, n) for n in ("key", "most", "p", "bucket_rows", "tables", "digits", "depth", "recall")}
+        return {n: getattr(self, n) for n in ("key", "most", "p", "bucket_rows", "tables", "digits", "depth", "recall", "exact")}
 
     def write(self, path: str) -> None:
         self.projections.write().overwrite().save(f"{path}/projections")
@@ -66,10 +69,15 @@ class NeighbourIndex:
             raise ValueError(f"the index was fitted for at most {self.most} neighbours")
         key = self.key
         # Equal queries are asked once.
-        asked = written(queries.where(F.col("features").isNotNull()).withColumn("_d", _digest("features")), "asked")
+        asked = written(queries.where(F.col("features").isNotNull()).withColumn("_d", digest("features")), "asked")
         distinct = asked.groupBy("_d").agg(F.min(key).alias("_q"), F.min("features").alias("features"))
-        located = _located(_hashed(self.projections, distinct, self.tables, self.digits), self.divided, self.depth)
-        best = _ranked_in_buckets(located, self.placed, k + 1, self.p, self.bucket_rows)
+        if self.exact:
+            new, held = (df.select(F.col(c).alias(key), "features") for df, c in ((distinct, "_q"), (self.rows, "i")))
+            all_rows = nearest(new, held, key, k + 1, self.p, skip_self=False).select(F.col("key").alias("q"), F.col("neighbour").alias("i"), "distance")
+            best = all_rows.join(self.rows.select("i", "ids"), "i")
+        else:
+            located = _located(_hashed(self.projections, distinct, self.tables, self.digits), self.divided, self.depth)
+            best = _ranked_in_buckets(located, self.placed, k + 1, self.p, self.bucket_rows)
         # One id may be found in several tables.
         found = best.groupBy("q", "i").agg(F.min("distance").alias("distance"), F.first("ids").alias("ids"))
         place = F.row_number().over(W.partitionBy("q").orderBy("distance", "i"))
@@ -82,19 +90,6 @@ class NeighbourIndex:
         return place_nearest(answers, k)
 
 
-def _digest(features: str):
-    """Equal features, equal digest; zero has no sign."""
-    return F.sha2(F.array_join(F.transform(features, lambda v: (v + 0.0).cast("string")), ","), 256)
-
-
-def _distinct_rows(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """i, features, ids: one row per different features, with its smallest ``most`` ids."""
-    held = rows.withColumn("_d", _digest("features"))
-    # Spark keeps only the first ones of a group before the shuffle.
-    first = held.withColumn("_n", F.row_number().over(W.partitionBy("_d").orderBy(key))).where(F.col("_n") <= most)
-    return first.groupBy("_d").agg(F.min(key).alias("i"), F.min("features").alias("features"), F.sort_array(F.collect_list(key)).alias("ids")).drop("_d")
-
-
 def _hashed(projections: BucketedRandomProjectionLSHModel, rows: DataFrame, tables: int, digits: int) -> DataFrame:
     """One row per row and table, with ``nodes``: the buckets it may be in, from the largest to the smallest."""
     hashed = projections.transform(rows.withColumn("_v", array_to_vector("features"))).drop("_v")
@@ -161,17 +156,9 @@ def _ranked_in_buckets(asked: DataFrame, placed: DataFrame, k: int, p: int, buck
         if left.empty or right.empty:
             return pd.DataFrame({"q": [], "i": [], "distance": [], "ids": []})
         right = right.sort_values("i", kind="stable")
-        d = distances(matrix(left["features"]), matrix(right["features"]), p)
-        top = np.argsort(d, axis=1, kind="stable")[:, :k]
+        row, column, found = k_closest(matrix(left["features"]), matrix(right["features"]), k, p)
         ids = right["ids"].to_numpy()
-        return pd.DataFrame(
-            {
-                "q": np.repeat(left["_q"].to_numpy(), top.shape[1]),
-                "i": right["i"].to_numpy()[top].ravel(),
-                "distance": np.take_along_axis(d, top, axis=1).ravel(),
-                "ids": list(ids[top].ravel()),
-            }
-        )
+        return pd.DataFrame({"q": left["_q"].to_numpy()[row], "i": right["i"].to_numpy()[column], "distance": found, "ids": list(ids[column])})
 
     cells = [NODE, "_a", "_b"]
     return a.groupBy(*cells).cogroup(b.groupBy(*cells)).applyInPandas(compare, "q long, i long, distance double, ids array<long>")
@@ -183,11 +170,12 @@ def fit_index(rows: DataFrame, key: str, most: int = 20, p: int = 2, recall: flo
 
     Of ``probes`` rows, drawn by hash, the true neighbours are found by
     comparing them with all rows; tables are doubled from ``tables`` until the
-    index finds a share of ``recall`` of them, or ``most_tables`` is reached. The
-    share is kept as ``index.recall``. Rows without features take no part.
+    index finds a share of ``recall`` of them. If ``most_tables`` would not, the
+    index compares all rows (``index.exact``). The share is kept as
+    ``index.recall``. Rows without features take no part.
     """
     present = rows.select(F.col(key).cast("long").alias(key), "features").where(F.col("features").isNotNull())
-    distinct = written(_distinct_rows(present, key, most + 1), "rows")
+    distinct = written(distinct_rows(present, key, most + 1), "rows")
     vectors = distinct.select("i", array_to_vector("features").alias("_v"))
     spread = vectors.agg(Summarizer.variance(F.col("_v")).alias("v")).first()["v"] if not distinct.isEmpty() else None
     total = float(np.sum(spread.toArray())) if spread is not None else 0.0
@@ -208,7 +196,12 @@ def fit_index(rows: DataFrame, key: str, most: int = 20, p: int = 2, recall: flo
         if truth is None:
             truth = written(nearest(sample, present, key, k, p), "truth")
         index.recall = found_share(index.nearest(sample, k), truth)
-        if index.recall is None or index.recall >= recall or tables >= most_tables:
+        if index.recall is None or index.recall >= recall:
+            return index
+        # Tables find a neighbour independently of each other.
+        if tables >= most_tables or 1 - (1 - index.recall) ** (most_tables / tables) < recall:
+            index.exact = True
+            index.recall = found_share(index.nearest(sample, k), truth)
             return index
         tables = min(most_tables, 2 * tables)
 
