@@ -210,3 +210,16 @@ def test_draw_stays_inside_the_space():
             got = T.draw({k: v}, random.Random(seed))[k]
             assert got in v[1] if v[0] == "choice" else v[1] <= got <= v[2], name
             assert not (isinstance(got, float) and math.isnan(got))
+
+
+def test_permutations_share_one_join(spark, monkeypatch):
+    """All features are dealt anew by the same two orders, numbered once; values as of one feature at a time."""
+    df = spark.createDataFrame([(i, float(i % 5), float(i % 7), i * 0.5) for i in range(60)], "id long, a double, b double, label double")
+    model = E.fit_family(df, "LinearRegression", ["a", "b"], "label")
+    metric = lambda s: s.selectExpr("sum(prediction * label)").first()[0]
+    base = metric(model.transform(df))
+    want = [(f, pytest.approx(base - metric(model.transform(E.permuted(df, f, "id"))))) for f in ("a", "b")]
+    calls, plain = [], E.number_by_hash
+    monkeypatch.setattr(E, "number_by_hash", lambda *a: calls.append(1) or plain(*a))
+    assert [tuple(r) for r in E.permutation_importance(model, df, ["a", "b"], "id", metric).collect()] == want
+    assert len(calls) == 2

@@ -373,18 +373,32 @@ def importance_table(spark: SparkSession, model: str, importance: dict[str, floa
     return spark.createDataFrame([(model, k, v) for k, v in importance.items()], "model string, feature string, importance double")
 
 
+def _givers(df: DataFrame, columns: Sequence[str], id_col: str, seed: int) -> tuple[DataFrame, dict[str, str]]:
+    """The table with, for each of ``columns``, the value of row i of another hash order beside row i of one; and the names of these."""
+    names = {c: f"_given_{i}" for i, c in enumerate(columns)}
+    takers = number_by_hash(df, [], id_col, seed).drop("group_size")
+    held = df.select(id_col, *[F.col(c).alias(n) for c, n in names.items()])
+    givers = number_by_hash(held, [], id_col, seed + 1).select("position", *names.values())
+    return takers.join(givers, "position").select(*df.columns, *names.values()), names
+
+
 def permuted(df: DataFrame, column: str, id_col: str, seed: int = SEED) -> DataFrame:
     """The table with one column dealt anew: row i in one hash order gets the value of row i in another."""
-    takers = number_by_hash(df, [], id_col, seed).drop("group_size", column)
-    givers = number_by_hash(df.select(id_col, column), [], id_col, seed + 1).select("position", column)
-    return takers.join(givers, "position").select(*df.columns)
+    dealt, names = _givers(df, [column], id_col, seed)
+    return dealt.select(*[F.col(names.get(c, c)).alias(c) for c in df.columns])
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], id_col: str,
                            metric: Callable[[DataFrame], float], seed: int = SEED) -> DataFrame:
-    """feature, importance: the drop of a score when a feature loses its tie to the label."""
+    """feature, importance: the drop of a score when a feature loses its tie to the label.
+
+    All features are dealt anew by the same two orders, so the table is ordered and joined once.
+    """
     base = metric(model.transform(df))
-    rows = [(f, float(base - metric(model.transform(permuted(df, f, id_col, seed))))) for f in features]
+    dealt, names = _givers(df, list(dict.fromkeys(features)), id_col, seed)
+    dealt = written(dealt, "permuted")
+    swapped = lambda f: dealt.select(*[F.col(names[f] if c == f else c).alias(c) for c in df.columns])
+    rows = [(f, float(base - metric(model.transform(swapped(f))))) for f in features]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
