@@ -6,7 +6,7 @@ import pytest
 from text_samples import prose
 from tokenizers import Tokenizer
 
-from tidemark.llm import jaccard
+from tidemark.llm import jaccard, neighbours
 from tidemark.llm.jaccard import Band, drop_near_copies, hashed_shingles, in_reach, parity_sketch, plan_bands, shingles, signatures, similar_sets, words_of, WordHashes
 from tidemark.llm.neighbours import hilbert_index, nearest
 from tidemark.llm.packing import fullest, pack, pack_lengths
@@ -262,6 +262,32 @@ def test_neighbours_by_brute_force(spark, sf):
     assert set(rough) == set(got)
 
 
+def test_neighbours_in_no_more_tasks_than_partitions(spark):
+    """No step runs a task for each pair of partitions; centres sent in several turns find the same."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(8)]) for i in range(600)], "vec_id long, embedding array<double>").repartition(4)
+    plain = [tuple(r) for r in nearest(df, tile=64, window=32).orderBy("query_id", "rank").collect()]
+    held = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in held}
+    group, context = "neighbours-in-few-tasks", spark.sparkContext
+    try:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+        context.setJobGroup(group, group)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(neighbours, "_BROADCAST_NUMBERS", 10, raising=False)
+            got = [tuple(r) for r in nearest(df, tile=64, window=32).orderBy("query_id", "rank").collect()]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    tasks = [i.numTasks for i in map(tracker.getStageInfo, stages) if i]
+    assert got == plain and len(plain) == 600
+    assert len(tasks) > 10 and max(tasks) < 5 * 23
+
+
 def test_neighbours_of_repeated_rows(spark):
     """Copies of a row, or several vectors of one id, take one of the k places."""
     rng = np.random.default_rng(8)

@@ -12,6 +12,7 @@ is nearly every block, and each is met by the queries in tiles.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,12 @@ from .common import cut, join_narrow, query, table
 
 _SLACK = 1e-9
 
+#: What one task is given at least of tables that were counted: vectors, results, numbers of rows by bucket.
+_TASK_VECTORS, _TASK_HITS, _TASK_COUNTS = 4096, 200_000, 1000
+
+#: Numbers of tile centres that are broadcast at once: 8 MB.
+_BROADCAST_NUMBERS = 1_000_000
+
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     """Places along the Hilbert curve of integer cells (rows) of ``bits`` bits a dimension.
@@ -104,27 +111,32 @@ def nearest(vectors: DataFrame, queries_every: int = 20, k: int = 20, curves: in
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
     rows = cut(rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda v: v.cast("float")).alias("v") if _is_float(vectors, vector_col) else F.transform(vector_col, lambda v: v.cast("double")).alias("v")))
     # Rows that repeat an id and its vector are one candidate. Only rows of repeated ids are moved for that.
-    repeated = cut(rows.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select("id"))
+    repeated = rows.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select("id")
     if not repeated.isEmpty():
+        repeated = cut(repeated)
         rows = cut(join_narrow(rows, repeated, ["id"], "left_anti").unionByName(join_narrow(rows, repeated, ["id"], "left_semi").dropDuplicates(["id", "v"])))
     square = F.aggregate("v", F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double"))
-    n, longest = rows.agg(F.count("*"), F.max(F.sqrt(square))).first()
+    asking = F.col("id") % queries_every == 0
+    n, asked, longest = rows.agg(F.count("*"), F.count_if(asking), F.max(F.sqrt(square))).first()
     kind = rows.schema["v"].dataType.elementType.simpleString()
     # Of a vector that is there many times, only the smallest ids can be among the k nearest. The limit is
     # applied before the shuffle, so such a vector is as cheap as any other.
     place = F.row_number().over(W.partitionBy("v").orderBy("id"))
-    first_ids = cut(rows.withColumn("_p", place).where(F.col("_p") <= k + 1).drop("_p"))
+    first_ids = cut(_in_few(rows.withColumn("_p", place).where(F.col("_p") <= k + 1).drop("_p"), n, _TASK_VECTORS))
     schema = f"curve int, key long, id long, q boolean, v array<{kind}>"
-    keyed = first_ids.mapInArrow(_key_rows(curves, longest or 1.0, False, seed), schema).unionByName(
-        rows.where(F.col("id") % queries_every == 0).mapInArrow(_key_rows(curves, longest or 1.0, True, seed), schema)
-    )
+
+    def keys(df: DataFrame, count: int, as_query: bool) -> DataFrame:
+        return df.mapInArrow(_key_rows(count, longest or 1.0, as_query, seed), schema)
+
+    queries = rows.where(asking)
+    keyed = keys(first_ids, curves, False).unionByName(keys(queries, curves, True))
     parts = max(1, -(-(n or 0) * curves // (64 * window)))
     ordered = keyed.repartitionByRange(parts, "curve", "key", "id").sortWithinPartitions("curve", "key", "id")
-    found = cut(_best(ordered.mapInArrow(_window_rows(window, k), "qid long, id long, score double"), k))
+    found = cut(_in_few(_best(ordered.mapInArrow(_window_rows(window, k), "qid long, id long, score double"), k), asked * k, _TASK_HITS))
     if widen:
         limit = found.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).alias("limit"))
-        more = _widened(rows, keyed, limit, n or 0, k, tile, queries_every, kind)
-        found = cut(_best(found.unionByName(more), k))
+        more = _widened(keys(first_ids, 1, False), keys(queries, 1, True), limit, n, asked, k, tile)
+        found = cut(_in_few(_best(found.unionByName(more), k), asked * k, _TASK_HITS))
     exact = found.join(rows.withColumnRenamed("v", "_c"), "id").join(rows.select(F.col("id").alias("qid"), F.col("v").alias("_q")), "qid")
     product = F.aggregate(F.zip_with("_q", "_c", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
     scored = exact.groupBy("qid", "id").agg(F.max(product).alias("score"))
@@ -136,9 +148,15 @@ def _is_float(df: DataFrame, column: str) -> bool:
     return df.schema[column].dataType.simpleString() == "array<float>"
 
 
+def _in_few(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """A table of about ``rows`` rows in as many tasks as they ask for, if that is fewer than a shuffle dealt it out to."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query, and others that rounding cannot tell from the last of them."""
-    once = found.groupBy("qid", "id").agg(F.max("score").alias("score"))
+    # One shuffle serves the groups and the window.
+    once = found.repartition("qid").groupBy("qid", "id").agg(F.max("score").alias("score"))
     ranked = once.withColumn("_r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id")))
     last = F.min(F.when(F.col("_r") <= k, F.col("score"))).over(W.partitionBy("qid"))
     return ranked.withColumn("_last", last).where(F.col("score") >= F.col("_last") - _SLACK).select("qid", "id", "score")
@@ -217,18 +235,20 @@ def _by_id(ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[order][first], np.maximum.reduceat(score[:, order], first, axis=1)
 
 
-def _tiles(rows: DataFrame, n: int, size: int, kind: str) -> DataFrame:
+def _tiles(rows: DataFrame, n: int, size: int) -> DataFrame:
     """One row per about ``size`` neighbours on the curve: ids, limits, flat vectors, centre, radius, longest, least.
 
     Tiles are ranges of the curve, by a sketch of the keys. Where one key holds
     more rows than a tile, as of a vector that is there many times, they are
     dealt to several by id. So a tile is bounded whatever the data.
     """
-    ranged = add_value_buckets(rows.withColumn("_k", F.col("key").cast("double")), "_k", -(-max(n, 1) // size))
-    counts = cut(ranged.groupBy(BUCKET).agg(F.ceil(F.count("*") / size).alias("_parts")))
+    buckets = -(-max(n, 1) // size)
+    ranged = add_value_buckets(rows.withColumn("_k", F.col("key").cast("double")), "_k", buckets)
+    counts = _in_few(ranged.groupBy(BUCKET).agg(F.ceil(F.count("*") / size).alias("_parts")), buckets, _TASK_COUNTS)
     # One narrow row per tile.
     dealt = ranged.join(F.broadcast(counts), BUCKET).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")))
     lists = dealt.groupBy(BUCKET, "_part").agg(F.collect_list(F.struct("id", "limit", "v")).alias("m")).select("m")
+    lists = _in_few(lists, n, size)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64()]
@@ -246,17 +266,17 @@ def _tiles(rows: DataFrame, n: int, size: int, kind: str) -> DataFrame:
     return lists.mapInArrow(pack, "ids array<long>, limits array<double>, flat array<double>, centre array<double>, radius double, longest double, least double")
 
 
-def _widened(rows: DataFrame, keyed: DataFrame, limit: DataFrame, n: int, k: int, tile: int, every: int, kind: str) -> DataFrame:
+def _widened(blocks: DataFrame, asks: DataFrame, limit: DataFrame, n: int, asked: int, k: int, tile: int) -> DataFrame:
     """Vectors that beat the limit of a query, from all tiles whose centre and radius allow one.
 
-    Candidates are tiles of neighbours on the first curve, queries likewise. A
-    pair of tiles is one row, so work is dealt evenly whatever the data.
+    Candidates (``blocks``) are tiles of neighbours on the first curve, queries
+    (``asks``) likewise. A pair of tiles is one row, so work is dealt evenly
+    whatever the data.
     """
-    first = keyed.where("curve = 0")
-    blocks = first.where("NOT q").select("key", "id", "v", F.lit(0.0).alias("limit"))
-    asks = first.where("q").join(limit, F.col("id") == F.col("qid"), "left").select("key", "id", "v", F.coalesce("limit", F.lit(float("-inf"))).alias("limit"))
-    blocks = cut(_tiles(blocks, n, tile, kind).withColumn("b", F.monotonically_increasing_id()))
-    asks = cut(_tiles(cut(asks), n // every, tile // 4, kind).withColumn("a", F.monotonically_increasing_id()))
+    blocks = blocks.select("key", "id", "v", F.lit(0.0).alias("limit"))
+    asks = asks.join(limit, F.col("id") == F.col("qid"), "left").select("key", "id", "v", F.coalesce("limit", F.lit(float("-inf"))).alias("limit"))
+    blocks = cut(_tiles(cut(blocks), n, tile).withColumn("b", F.monotonically_increasing_id()))
+    asks = cut(_tiles(cut(_in_few(asks, asked, _TASK_VECTORS)), asked, tile // 4).withColumn("a", F.monotonically_increasing_id()))
     # Which tiles can hold something: one narrow row per tile on either side.
     dot = F.aggregate(F.zip_with("ac", "bc", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
     left = asks.select("a", F.col("centre").alias("ac"), F.col("radius").alias("ar"), F.col("longest").alias("al"), "least")
@@ -264,7 +284,12 @@ def _widened(rows: DataFrame, keyed: DataFrame, limit: DataFrame, n: int, k: int
     norm_b = F.sqrt(F.aggregate("bc", F.lit(0.0), lambda acc, x: acc + x * x))
     # q.v = ac.bc + (q - ac).bc + q.(v - bc)
     bound = dot + F.col("ar") * norm_b + F.col("al") * F.col("br")
-    pairs = cut(left.join(right, bound >= F.col("least") - _SLACK).select("a", "b"))
+    # The narrow rows of the queries go to all tasks, so many numbers at once. Tasks for each pair of partitions
+    # on either side would be more than there are pairs of tiles.
+    numbers = left.agg(F.sum(F.size("ac") + 4)).first()[0] or 0
+    turns = -(-numbers // _BROADCAST_NUMBERS) or 1
+    met = [right.join(F.broadcast(left.where(F.pmod(F.xxhash64("a"), F.lit(turns)) == turn)), bound >= F.col("least") - _SLACK) for turn in range(turns)]
+    pairs = cut(reduce(DataFrame.unionByName, met).select("a", "b"))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
