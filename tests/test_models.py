@@ -223,3 +223,21 @@ def test_permutations_share_one_join(spark, monkeypatch):
     monkeypatch.setattr(E, "number_by_hash", lambda *a: calls.append(1) or plain(*a))
     assert [tuple(r) for r in E.permutation_importance(model, df, ["a", "b"], "id", metric).collect()] == want
     assert len(calls) == 2
+
+
+def test_classes_are_fitted_one_by_one_from_rows_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(i):
+        read.add(1)
+        return float(i % 3)
+
+    rows = spark.range(90).select(counted("id").alias("label"), (F.col("id") % 3 * 10 + F.col("id") % 7).cast("double").alias("x"))
+    model = E.fit_family(rows, "GradientBoostingClassifier", ["x"], "label", {"maxIter": 2, "maxDepth": 2})
+    assert read.value == 90
+    assert len(model.stages[-1].models) == 3
+    out = E.score(model, spark.range(90).select("id", (F.col("id") % 3 * 10 + F.col("id") % 7).cast("double").alias("x")), ["id"]).collect()
+    assert len(out) == 90 and all(r["predicted_value"] == r["id"] % 3 for r in out)
+    for family in ("GradientBoostingClassifier", "LinearSVC"):
+        assert E.FAMILIES[family].build({}, E.Context(rows, ["x"], 3)).getParallelism() == 1

@@ -84,11 +84,15 @@ def _plain(cls: type, **fixed) -> Callable[[dict, Context], Estimator]:
 
 
 def _per_class(build: Callable[[dict, Context], Estimator]) -> Callable[[dict, Context], Estimator]:
-    """Two-class estimators serve more classes one against the rest."""
+    """Two-class estimators serve more classes one against the rest.
+
+    One class at a time: boosting holds rows of its own for each class it is
+    fitted for, and the tasks of one class fill a cluster.
+    """
 
     def made(params: dict, context: Context) -> Estimator:
         base = build(params, context)
-        return base if context.classes <= 2 else OneVsRest(classifier=base, parallelism=2)
+        return base if context.classes <= 2 else OneVsRest(classifier=base, parallelism=1)
 
     return made
 
@@ -240,14 +244,14 @@ def model_pipeline(name: str, params: dict, context: Context, stages: Sequence =
 def fit_family(df: DataFrame, name: str, features: Sequence[str], label: str | None = None, params: dict | None = None,
                stages: Sequence = (), id_col: str | None = None, weight_col: str | None = None) -> PipelineModel:
     """Fit one family with given parameters; the label column is passed on as ``label``."""
-    classes = 2
-    if label is not None and FAMILIES[name].task == "classification":
-        classes = df.select(label).distinct().count()
     data = df if label in (None, "label") else df.withColumn("label", as_double(df, label))
-    context = Context(df, features, classes, id_col, weight_col)
-    # Every stage and most estimators read the rows several times.
+    # The count of classes, every stage and most estimators read the rows, some several times.
     held = spread(data).persist()
     try:
+        classes = 2
+        if label is not None and FAMILIES[name].task == "classification":
+            classes = held.select(label).distinct().count()
+        context = Context(held, features, classes, id_col, weight_col)
         return model_pipeline(name, params or {}, context, stages).fit(held)
     finally:
         held.unpersist()
