@@ -3,13 +3,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from text_samples import prose
 from tokenizers import Tokenizer
 
-from tidemark.llm import jaccard, neighbours
+from tidemark.llm import jaccard, neighbours, packing
 from tidemark.llm.jaccard import Band, drop_near_copies, hashed_shingles, in_reach, parity_sketch, plan_bands, shingles, signatures, similar_sets, words_of, WordHashes
 from tidemark.llm.neighbours import hilbert_index, nearest
-from tidemark.llm.packing import fullest, pack, pack_lengths
+from tidemark.llm.packing import cut_pieces, fullest, pack, pack_lengths
 from tidemark.llm.passages import repeated_passages
 from tidemark.llm.tokens import VOCABULARY
 
@@ -222,6 +223,23 @@ def test_packing(spark, sf, messy, empty):
     assert len(messy_rows[messy_rows["doc_id"] == 8]) == 2 and messy_rows["doc_id"].isna().sum() >= 1
 
 
+def test_workers_get_few_bytes_at_once(spark, monkeypatch):
+    class Scale:
+        """Gives each text of a batch as many ids as the batch has MB."""
+
+        def __init__(self, path):
+            pass
+
+        def encode(self, texts):
+            held = list(texts)
+            return [bytes(4 * (sum(map(len, held)) >> 20))] * len(held)
+
+    monkeypatch.setattr(packing, "Merger", Scale)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+    lengths = [r["length"] for r in cut_pieces(docs).select("length").collect()]
+    assert len(lengths) == 3000 and max(lengths) - 1 <= 4
+
+
 def test_pack_lengths_leave_little():
     lengths = np.random.default_rng(1).integers(1, 1200, 3000).tolist()
     bins, offsets = pack_lengths(lengths, 2048)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import fits_broadcast, join_narrow, query, stored, table
 from .components import connected_components
-from .workers import released
+from .workers import in_workers
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Bands of set sizes end at powers of this.
@@ -229,7 +229,7 @@ def similar_sets(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     """
     sets = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = sets.schema["_id"].dataType.simpleString()
-    digests = stored(sets.mapInArrow(released(_digest_rows(width, percent)), f"_id {kind}, n_shingles long, _d1 long, _d2 long, _parity binary"))
+    digests = stored(in_workers(sets, _digest_rows(width, percent), f"_id {kind}, n_shingles long, _d1 long, _d2 long, _parity binary"))
     classes = digests.where("n_shingles > 0 AND _id IS NOT NULL").groupBy("_d1", "_d2", "n_shingles").agg(F.min("_id").alias("class_id"))
     classes = stored(classes)
 
@@ -301,13 +301,13 @@ def _components(sets: DataFrame, sketches: DataFrame, copies: DataFrame, bands:
     reach of another are compared in tiles, which give one link for each two
     components they connect. Texts are moved only for sets in reach.
     """
-    signed = sets.where("_id IS NOT NULL").mapInArrow(released(_signature_rows(width, bands, percent)), f"_id {kind}, _sigs array<long>")
+    signed = in_workers(sets.where("_id IS NOT NULL"), _signature_rows(width, bands, percent), f"_id {kind}, _sigs array<long>")
     # One list per class; an id that is repeated may have several, which does no harm. Copies are mostly
     # fewer than classes, so they are what is taken out.
     rows = join_narrow(signed, copies, ["_id"], "left_anti").select(F.explode("_sigs").alias("_sig"), "_id")
     # Signatures are shuffled once. Of a sorted partition the groups are read off as it streams by.
     placed = rows.repartition("_sig").sortWithinPartitions("_sig", "_id")
-    groups = stored(placed.mapInArrow(released(_groups_of(kind)), f"_sig long, _h {kind}, _id {kind}"))
+    groups = stored(in_workers(placed, _groups_of(kind), f"_sig long, _h {kind}, _id {kind}"))
     pairs = stored(groups.select(F.col("_h").alias("a"), F.col("_id").alias("b")).distinct())
     links = stored(_verified(stored(_in_reach(pairs, sketches, percent)), sets, width, percent))
     parts = connected_components(links)
@@ -364,7 +364,7 @@ def _in_reach(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     both = pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b").select("a", "b", "_x", "_y")
-    return both.mapInArrow(released(keep), f"a {kinds['a']}, b {kinds['b']}").distinct()
+    return in_workers(both, keep, f"a {kinds['a']}, b {kinds['b']}").distinct()
 
 
 def _with_partners(members: DataFrame, sketches: DataFrame, percent: int, kind: str) -> DataFrame:
@@ -389,7 +389,7 @@ def _with_partners(members: DataFrame, sketches: DataFrame, percent: int, kind:
                 yield pa.RecordBatch.from_arrays([heads, found], ["a", "b"])
 
     pairs = each.join(left, ["a", "_i"]).join(right, ["a", "_j"]).select("a", "_l", "_r")
-    near = stored(pairs.mapInArrow(released(hopeful), f"a {kind}, b {kind}").distinct())
+    near = stored(in_workers(pairs, hopeful, f"a {kind}, b {kind}").distinct())
     left_over = members.drop("_n").join(near, ["a", "b"])
     sizes = near.groupBy("a").agg(F.count("*").alias("_n"))
     return stored(left_over.join(sizes, "a"))
@@ -441,7 +441,7 @@ def _link_counts(linked: DataFrame, sets: DataFrame, width: int, percent: int, k
             for row in range(batch.num_rows):
                 yield _counted(batch.column(0)[row].values, batch.column(1)[row].values, percent)
 
-    parts = _block_pairs(members, sets, width, kind).mapInArrow(released(count), f"class_id {kind}, n long")
+    parts = in_workers(_block_pairs(members, sets, width, kind), count, f"class_id {kind}, n long")
     return two.unionByName(parts.groupBy("class_id").agg(F.sum("n").alias("n_links")))
 
 
@@ -483,7 +483,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = _both_texts(pairs, sets).select("a", "b", "_x", "_y")
-    return both.mapInArrow(released(compare), f"a {kinds['a']}, b {kinds['b']}").distinct()
+    return in_workers(both, compare, f"a {kinds['a']}, b {kinds['b']}").distinct()
 
 
 def _tiles(members: DataFrame, sets: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
@@ -496,7 +496,7 @@ def _tiles(members: DataFrame, sets: DataFrame, width: int, percent: int, kind:
                 if found is not None:
                     yield found
 
-    return _block_pairs(members, sets, width, kind).mapInArrow(released(meet), f"a {kind}, b {kind}").distinct()
+    return in_workers(_block_pairs(members, sets, width, kind), meet, f"a {kind}, b {kind}").distinct()
 
 
 def _block_pairs(members: DataFrame, sets: DataFrame, width: int, kind: str) -> DataFrame:
@@ -523,7 +523,7 @@ def _block_pairs(members: DataFrame, sets: DataFrame, width: int, kind: str) ->
 
     blocks = F.ceil(F.col("_n") / TILE).cast("int").alias("_blocks")
     texts = _both_texts(stored(members.select("a", "b", "_part", blocks)), sets, one_left=True).select("a", "b", "_part", "_blocks", "_x", "_y")
-    carried = texts.mapInArrow(released(unlike), f"a {kind}, b {kind}, _part {kind}, _blocks int, _s long, _d array<long>")
+    carried = in_workers(texts, unlike, f"a {kind}, b {kind}, _part {kind}, _blocks int, _s long, _d array<long>")
     block = F.pmod(F.xxhash64("b"), F.col("_blocks")).cast("int")
     held = carried.groupBy("a", block.alias("_i")).agg(F.first("_blocks").alias("_blocks"), F.collect_list(F.struct("b", "_part", "_s", "_d")).alias("_m"))
     held = stored(held)

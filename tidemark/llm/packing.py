@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .bpe import Merger
 from .common import cut, query, table
 from .tokens import VOCABULARY
-from .workers import released
+from .workers import in_workers
 
 #: Pieces that one task packs together.
 POOL = 8192
@@ -44,7 +44,7 @@ def cut_pieces(docs: DataFrame, size: int = 2048, path: str = VOCABULARY, end_id
             )
 
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return slim.mapInArrow(released(pieces), f"_id {slim.schema['_id'].dataType.simpleString()}, {_PIECE}")
+    return in_workers(slim, pieces, f"_id {slim.schema['_id'].dataType.simpleString()}, {_PIECE}")
 
 
 def fullest(counts: dict[int, int], lengths: list[int], room: int) -> list[int]:

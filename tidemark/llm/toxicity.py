@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, query, table
 from .jaccard import WordHashes, hashed_shingles, words_of
-from .workers import released
+from .workers import in_workers
 
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -103,7 +103,7 @@ def _windows(train: DataFrame, cues: dict[str, bool]) -> DataFrame:
             known = known if len(known) < 200_000 else {}
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(cue, pa.list_(pa.int32())), pa.array(toxic, pa.int64())], ["at", "cue", "toxic"])
 
-    return train.select("_text", "_toxic").mapInArrow(released(find), "at array<int>, cue array<int>, toxic long")
+    return in_workers(train.select("_text", "_toxic"), find, "at array<int>, cue array<int>, toxic long")
 
 
 def train_field(train: DataFrame, n_toxic: int, n_clean: int, most_windows: int = 10_000, rounds: int = 80) -> Field:
@@ -265,7 +265,7 @@ def _with_least_hashes(train: DataFrame) -> DataFrame:
             h = [b"".join((f * factor).min().tobytes() for factor in factors) if len(f) else b"" for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h, pa.binary())], ["_text", "_toxic", "_h"])
 
-    return train.select("_text", "_toxic").mapInArrow(released(least), "_text string, _toxic int, _h binary")
+    return in_workers(train.select("_text", "_toxic"), least, "_text string, _toxic int, _h binary")
 
 
 def _fold(id_: Column, of: int) -> Column:
@@ -290,7 +290,7 @@ def scored(rows: DataFrame, field: Field | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), pa.array(spans, _SPAN_ARROW)], ["_row", "score", "spans"])
 
     kind = rows.schema["_row"].dataType.simpleString()
-    return rows.select("_row", "_text").mapInArrow(released(score), f"_row {kind}, score double, spans {_SPANS}")
+    return in_workers(rows.select("_row", "_text"), score, f"_row {kind}, score double, spans {_SPANS}")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
