@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -32,6 +33,28 @@ def test_special_strings_and_long_runs():
         assert ids(text) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["'", "s", "re", "ll", "ve", "x", " ", "\n", "\xa0", "é", "日", "😀", "7", "!", "<|endoftext|>"]), max_size=8).map("".join), max_size=6))
+def test_texts_encoded_together(texts):
+    got = [np.frombuffer(i, "<u4").tolist() for i in MERGER.encode(texts)]
+    assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_seen_before_cost_little():
+    texts = [prose(i % 50, 3000) for i in range(80)]
+
+    def least_seconds(work):
+        taken = []
+        for _ in range(5):
+            began = time.process_time()
+            work()
+            taken.append(time.process_time() - began)
+        return min(taken)
+
+    words = re.compile(r" ?[^ ]+")
+    assert least_seconds(lambda: list(MERGER.encode(texts))) < 1.5 * least_seconds(lambda: [words.findall(t) for t in texts])
+
+
 def test_token_counts(messy, empty):
     rows = token_counts(messy).collect()
     texts = [r["text"] or "" for r in messy.select("text").collect()]
