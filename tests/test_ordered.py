@@ -1,5 +1,9 @@
 """Bucketed windows equal plain ones, whatever the skew."""
 
+import hashlib
+import re
+
+import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -69,3 +73,21 @@ def test_quantiles_of_every_size(spark):
         got = {r["feature"]: r["q"] for r in quantiles(df, list(columns), probs, accuracy=accuracy).collect()}
         for c, values in columns.items():
             assert np.allclose(got[c], np.quantile(values, probs)), (c, accuracy)
+
+
+@pytest.mark.parametrize("kind", ["string", "long", "double"])
+def test_number_by_hash_follows_the_hash(spark, kind):
+    """Positions by MD5 of every key, null keys too; an id that no later step reads is not moved."""
+    rows = [(float(i), None if i % 5 == 0 else f"k{i % 3}", i * 0.5) for i in range(700)]
+    df = spark.createDataFrame(rows, "id double, k string, v double").withColumn("id", F.col("id").cast(kind))
+    out = number_by_hash(df, ["k"], "id", seed=9)
+    text = {r["id"]: r["t"] for r in df.select("id", F.col("id").cast("string").alias("t")).collect()}
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r["k"], []).append((hashlib.md5(f"{text[r['id']]}|9".encode()).hexdigest(), r["id"]))
+    want = {i: (n, len(g)) for g in groups.values() for n, (_, i) in enumerate(sorted(g), 1)}
+    got = {r["id"]: (r["position"], r["group_size"]) for r in out.collect()}
+    assert got == want and out.dtypes[-2:] == [("position", "bigint"), ("group_size", "bigint")]
+    if kind != "double":
+        plan = out.select("v", "position")._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"windowspecdefinition\([^)]*\bid#", plan)

@@ -106,3 +106,44 @@ def test_stages_are_fitted_once_a_fold(spark, monkeypatch):
     )
     assert found.trials.where("status = 'completed'").count() > 1
     assert len(fits) == 2 + 1 and set(parts) == {1}
+
+
+def test_large_table_is_held_once(spark, monkeypatch):
+    """Beyond a count of rows one narrow copy is written and no fold is a copy of its own; the trials are the same."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tidemark.operators import tuning
+
+    rows = [(f"r{i}", i % 7, float(i % 3), i % 7 * 2.0 + i % 3 + (i * 37 % 11) / 10, "x" * 50) for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, a int, b double, y double, more string")
+    find = lambda stages=(): tuning.search(
+        df, ["a", "b"], "y", "id", task="regression", models=["LinearRegression", "Ridge"], trials=2, folds=3, metric="rmse", stages=stages
+    )
+    held, tables = [], []
+    plain_persist, plain_written = DataFrame.persist, tuning.written if hasattr(tuning, "written") else None
+    small = find()
+    monkeypatch.setattr(tuning, "HELD_ROWS", 100, raising=False)
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *a: held.append(self.columns) or plain_persist(self, *a))
+    monkeypatch.setattr(tuning, "written", lambda t, name: tables.append(t.columns) or plain_written(t, name), raising=False)
+    large = find()
+    assert not held and [sorted(t) for t in tables] == [["a", "b", "fold", "label"]]
+    same = ("trial", "model", "params", "status")
+    was, now = (sorted(r.trials.collect(), key=lambda x: x["trial"]) for r in (small, large))
+    assert [[x[c] for c in same] for x in was] == [[x[c] for c in same] for x in now]
+    assert [x["score"] for x in now] == pytest.approx([x["score"] for x in was], rel=1e-9)
+    assert large.metrics == pytest.approx(small.metrics, rel=1e-9)
+    # A stage may read any column, so all of them are kept.
+    from tidemark.operators.prepare import Scaler
+
+    assert find([Scaler("standard", ["a", "b"])]).trials.count() == len(now) and not held
+    assert sorted(tables[1]) == ["a", "b", "fold", "id", "label", "more", "y"]
+
+
+def test_neighbours_of_a_large_table_keep_the_id(spark, monkeypatch):
+    from tidemark.operators import tuning
+
+    df = spark.range(90).select("id", F.sin(F.col("id") * 1.7).alias("f"), (F.sin(F.col("id") * 1.7) > 0).cast("double").alias("label"))
+    find = lambda: tuning.search(df, ["f"], "label", "id", models=["KNeighborsClassifier"], trials=1, folds=2)
+    small = find().score
+    monkeypatch.setattr(tuning, "HELD_ROWS", 10, raising=False)
+    assert find().score == pytest.approx(small)

@@ -14,6 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import bucket_count, cut, join_lookup
 
@@ -130,11 +131,17 @@ def number_by_hash(df: DataFrame, keys: Sequence[str], id_col: str, seed: int =
     """Add ``position`` (1..n within keys, in hash order) and ``group_size``.
 
     The first hex digits of the hash cut every key into equal ranges, so a hot
-    key is spread over as many tasks.
+    key is spread over as many tasks. A row takes the 16 bytes of its hash along
+    when it is moved, and an id that is a text or a whole number only if the
+    caller goes on with it.
     """
     tagged = df.withColumn("_h", hash_order(id_col, seed=seed)).withColumn("_one", F.lit(1).cast("long"))
-    tagged = tagged.withColumn(BUCKET, _hash_range())
-    out = running(tagged, keys, [F.col("_h"), F.col(id_col)], ["_one"], bucket=BUCKET)
+    # The bytes sort as their hex digits do.
+    tagged = tagged.withColumn(BUCKET, _hash_range()).withColumn("_h", F.unhex("_h"))
+    # Texts or whole numbers of one hash are equal; others may only look alike as texts.
+    told_apart = isinstance(df.select(id_col).schema[0].dataType, (T.StringType, T.IntegralType))
+    order = [F.col("_h")] if told_apart else [F.col("_h"), F.col(id_col)]
+    out = running(tagged, keys, order, ["_one"], bucket=BUCKET)
     return out.withColumnsRenamed({"upto__one": "position", "total__one": "group_size"}).drop("_h", "_one", BUCKET)
 
 

@@ -223,6 +223,17 @@ def register_family(name: str, family: Family) -> None:
     FAMILIES[name] = family
 
 
+# The families of this module read the features and the label; these the row id as well.
+_OWN, _BY_ID = dict(FAMILIES), ("KNeighborsClassifier", "KNeighborsRegressor")
+
+
+def columns_read(names: Sequence[str], features: Sequence[str], id_col: str) -> list[str] | None:
+    """What fits of these families read besides the label; None where one is the caller's own, which may read any column."""
+    if any(FAMILIES[n] is not _OWN.get(n) for n in names):
+        return None
+    return list(dict.fromkeys([*features, *([id_col] if any(n in _BY_ID for n in names) else [])]))
+
+
 def families_for(task: str, names: Sequence[str] | None = None) -> list[str]:
     chosen = list(names) if names else DEFAULT_FAMILIES[task]
     unknown = [n for n in chosen if n not in FAMILIES or FAMILIES[n].task != task]

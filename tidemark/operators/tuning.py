@@ -23,9 +23,10 @@ from pyspark.sql import types as T
 
 from ..functions.columns import as_double
 from ..functions.ordered import hash_order, number_by_hash
+from ..functions.scratch import written
 from .clusters import calinski_harabasz, davies_bouldin
 from .evaluate import classification_metrics, regression_metrics, roc_auc
-from .estimators import FAMILIES, SEED, Context, families_for, feature_importance, model_pipeline, preparation
+from .estimators import FAMILIES, SEED, Context, columns_read, families_for, feature_importance, model_pipeline, preparation
 from .samplers import MedianPruner, draw, sampler  # noqa: F401 - draw is part of this module's face
 
 # True where a larger value is better.
@@ -49,6 +50,10 @@ PARALLEL_FITS = 4
 # Rows of one task of a search. An iteration of a fit is a round of tasks, so a small table is held in few.
 FIT_ROWS = 25_000
 
+# A search holds the prepared rows of every fold up to so many rows. Of a larger table there is one copy,
+# with the columns that are read, and rows are prepared each time they are read.
+HELD_ROWS = 2_000_000
+
 TRIAL_SCHEMA = """trial int, model string, params map<string,string>, metric string, score double, score_std double,
 train_seconds double, status string, error string"""
 
@@ -156,6 +161,12 @@ def _dealt(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     return df.repartition(-(-rows // FIT_ROWS) or 1, id_col).sortWithinPartitions(id_col)
 
 
+def _folds_written(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
+    """The table with its folds, written once: with these columns, or all if none are named or some are not plain columns."""
+    known = columns is not None and set(columns) <= set(df.columns)
+    return written(df.select(*dict.fromkeys([*columns, "label", "fold"])) if known else df, "folds")
+
+
 class _PreparedFolds:
     """Training and validation rows of every fold. No stage hangs on the parameters of a trial, so each is fitted once a fold."""
 
@@ -168,7 +179,10 @@ class _PreparedFolds:
         if i not in self.held:
             train, valid = (self.data.where(side).drop("fold") for side in (F.col("fold") != i, F.col("fold") == i))
             ready = self.steps.fit(train)
-            self.held[i] = tuple(_dealt(ready.transform(side), self.id_col, self.rows).persist() for side in (train, valid))
+            sides = [ready.transform(side) for side in (train, valid)]
+            if self.rows <= HELD_ROWS:
+                sides = [_dealt(side, self.id_col, self.rows).persist() for side in sides]
+            self.held[i] = tuple(sides)
         return self.held[i]
 
     def release(self) -> None:
@@ -252,7 +266,11 @@ def search(
     data = df.withColumn("label", as_double(df, label)) if label != "label" else df
     strata = "label" if task == "classification" else None
     rows = data.count()
-    data = _dealt(with_folds(data, id_col, folds, strata, seed, exact_folds), id_col, rows).persist()
+    data = with_folds(data, id_col, folds, strata, seed, exact_folds)
+    if rows <= HELD_ROWS:
+        data = _dealt(data, id_col, rows).persist()
+    else:
+        data = _folds_written(data, None if stages else columns_read(names, features, id_col))
     prepared = None
     try:
         classes = data.select("label").distinct().count() if task == "classification" else 2
